@@ -21,15 +21,10 @@ def by_language(language: Column, choose, specs: tuple[LanguageSpec, ...] = LANG
     return choice
 
 
-def function_id(keys: tuple[str, ...] = PR_KEYS) -> Column:
-    """Stable id of a function occurrence, equal on every replay."""
-    parts = [F.col(k).cast("string") for k in keys]
-    return F.sha2(
-        F.concat_ws(
-            ":", *parts, F.col("file_path"), F.col("start_line").cast("string"), F.col("function_name")
-        ),
-        256,
-    )
+def function_id(line: Column, keys: tuple[str, ...] = PR_KEYS) -> Column:
+    """Stable id of a function: keys, path, signature line and name."""
+    parts = [F.col(k).cast("string") for k in (*keys, "file_path")]
+    return F.sha2(F.concat_ws(":", *parts, line.cast("string"), F.col("function_name")), 256)
 
 
 def functions_of_files(
@@ -38,8 +33,9 @@ def functions_of_files(
     line_mode: str = "true",
     compat: bool = False,
     specs: tuple[LanguageSpec, ...] = LANGUAGES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Functions found in ``added_text`` rows.
+    """Functions found in ``added_text`` rows; ``carry`` names columns to keep.
 
     ``line_mode="true"`` gives the target line of the signature;
     ``"file_first"`` gives every function the file's first added line.
@@ -50,7 +46,7 @@ def functions_of_files(
     found = by_language(
         F.col("language"), lambda spec: functions_in(spec, F.col("added_text"), compat), specs
     )
-    rows = texts.select(*keys, "file_path", "language", "line_numbers", F.inline(found))
+    rows = texts.select(*keys, *carry, "file_path", "language", "line_numbers", F.inline(found))
     source = strip(F.col("source"))
     numbers = F.col("line_numbers")
     if line_mode == "true":
@@ -61,7 +57,9 @@ def functions_of_files(
         start = F.get(numbers, F.lit(0))
         end = start + F.col("lines") + extra
     return rows.select(
+        function_id(F.get(numbers, F.col("first_line")), keys).alias("function_id"),
         *keys,
+        *carry,
         "file_path",
         "function_name",
         source.alias("source_code"),
@@ -78,12 +76,14 @@ def changed_functions(
     compat: bool = False,
     configs: DataFrame | None = None,
     specs: tuple[LanguageSpec, ...] = LANGUAGES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Diff rows to changed functions without a shuffle.
 
-    Pass ``configs`` to apply the repositories' exclude patterns.
+    Pass ``configs`` to apply the repositories' exclude patterns and ``carry``
+    to keep more columns of the diff rows.
     """
-    files = supported_files(diff_files(diffs, keys), specs)
+    files = supported_files(diff_files(diffs, (*keys, *carry)), specs)
     if configs is not None:
         files = drop_excluded(files, configs)
-    return functions_of_files(added_text(files), keys, line_mode, compat, specs)
+    return functions_of_files(added_text(files), keys, line_mode, compat, specs, carry)

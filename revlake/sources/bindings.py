@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.functions.signing import sign_body
+from revlake.sources.readers import spread
 
 WEBHOOK_SECRET = "review-hook-secret"
 
@@ -71,7 +72,8 @@ _EXTENSIONS = {0: ".py", 1: ".js", 2: ".rs", 3: ".go", 4: ".md"}
 
 def orders_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the counts that their generated code will hold."""
-    orders = table(spark, sf_dir, "orders")
+    wanted = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select(*wanted))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     n_if = F.floor(k / 5) % 7
     return orders.select(
@@ -261,3 +263,393 @@ def functions_cte() -> str:
         f"start_2 + ({SECOND_LINES_SQL}) - 1 AS end_line, 1 AS score "
         f"FROM code WHERE language IS NOT NULL AND has_second = 1)"
     )
+
+
+# --- configuration ----------------------------------------------------------
+
+
+def repo_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every even nation; thresholds 4–11, null where the key ends in 4."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").filter(n % 2 == 0).select(
+        n.cast("bigint").alias("id"),
+        F.concat(F.lit("org/r"), n.cast("string")).alias("repo_full_name"),
+        F.when(n % 10 != 4, 4 + n % 8).cast("int").alias("cc_threshold"),
+        (n % 3 != 0).alias("bandit_enabled"),
+        F.when(n % 4 == 0, "openai").when(n % 6 == 0, "").alias("llm_provider"),
+        F.when(n % 8 == 0, "gpt-4o-mini").alias("llm_model"),
+        (n % 4 != 2).alias("auto_post"),
+        (n % 6 != 4).alias("post_all_clear"),
+        F.when(n % 4 == 0, "docs/*, src/F/*.rs").otherwise("").alias("exclude_patterns"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+
+
+CONFIGS_CTE = (
+    "cfg AS (SELECT n_nationkey::BIGINT AS id, 'org/r' || n_nationkey AS repo_full_name, "
+    "CASE WHEN n_nationkey % 10 <> 4 THEN 4 + n_nationkey % 8 END AS cc_threshold, "
+    "n_nationkey % 3 <> 0 AS bandit_enabled, "
+    "CASE WHEN n_nationkey % 4 = 0 THEN 'openai' WHEN n_nationkey % 6 = 0 THEN '' END AS llm_provider, "
+    "CASE WHEN n_nationkey % 8 = 0 THEN 'gpt-4o-mini' END AS llm_model, "
+    "n_nationkey % 4 <> 2 AS auto_post, n_nationkey % 6 <> 4 AS post_all_clear, "
+    "CASE WHEN n_nationkey % 4 = 0 THEN 'docs/*, src/F/*.rs' ELSE '' END AS exclude_patterns "
+    "FROM nation WHERE n_nationkey % 2 = 0)"
+)
+
+
+def config_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches from orders: the customer picks the repository, the order key is the sequence."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("org/r"), (c % 40).cast("string")).alias("repo_full_name"),
+        k.alias("seq"),
+        F.when(k % 3 == 0, k % 20).cast("int").alias("cc_threshold"),
+        F.when(k % 5 == 0, k % 2 == 0).alias("bandit_enabled"),
+        F.when(c % 7 == 0, "ollama").alias("llm_provider"),
+        F.lit(None).cast("string").alias("llm_model"),
+        F.when(k % 7 == 0, k % 4 != 0).alias("auto_post"),
+        F.lit(None).cast("boolean").alias("post_all_clear"),
+        F.when(k % 11 == 0, F.concat(F.lit("gen/"), k.cast("string"))).alias("exclude_patterns"),
+    )
+
+
+# --- scanner and complexity reports -------------------------------------------
+
+FUNCTION_ID_SQL = (
+    "sha256(repo_full_name || ':' || pr_number || ':' || file_path || ':' || start_1 || ':f' || k)"
+)
+
+
+def _first_function_id() -> Column:
+    return F.sha2(
+        F.concat_ws(
+            ":", "repo_full_name", F.col("pr_number").cast("string"), "file_path",
+            F.col("start_1").cast("string"), F.concat(F.lit("f"), F.col("k").cast("string")),
+        ),
+        256,
+    )
+
+
+def _issue_numbers() -> Column:
+    n = (F.col("k") % 4).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A security report per source file, holding 0–3 issues; some cannot be read."""
+    code = orders_code(spark, sf_dir).filter(F.col("k") % 5 != 4)
+    k = F.col("k")
+    line = lambda i: (k % 50 + i).cast("int")
+    text = lambda i: F.format_string("issue %d of %d", i, k)
+    level = lambda i: F.when(i == 1, "HIGH").otherwise("LOW")
+    bandit = F.to_json(
+        F.struct(
+            F.transform(
+                _issue_numbers(),
+                lambda i: F.struct(
+                    F.format_string("B%d", i).alias("test_id"),
+                    text(i).alias("issue_text"),
+                    F.when(i != 3, level(i)).alias("issue_severity"),
+                    F.lit("MEDIUM").alias("issue_confidence"),
+                    F.when(i != 2, line(i)).alias("line_number"),
+                ),
+            ).alias("results")
+        )
+    )
+    gosec = F.to_json(
+        F.struct(
+            F.transform(
+                _issue_numbers(),
+                lambda i: F.struct(
+                    F.format_string("G%d", i).alias("rule_id"),
+                    text(i).alias("details"),
+                    level(i).alias("severity"),
+                    F.when(i != 3, "HIGH").alias("confidence"),
+                    F.when(i == 2, F.concat(line(i).cast("string"), F.lit("-99")))
+                    .otherwise(line(i).cast("string"))
+                    .alias("line"),
+                ),
+            ).alias("Issues")
+        )
+    )
+    eslint = F.to_json(
+        F.array(
+            F.struct(
+                F.transform(
+                    _issue_numbers(),
+                    lambda i: F.struct(
+                        F.when(i == 3, "no-undef")
+                        .otherwise(F.format_string("security/rule-%d", i))
+                        .alias("ruleId"),
+                        F.when(i == 1, 2).otherwise(1).alias("severity"),
+                        text(i).alias("message"),
+                        line(i).alias("line"),
+                    ),
+                ).alias("messages")
+            )
+        )
+    )
+    clippy = F.concat(
+        F.lit('{"reason":"build-script-executed"}\nnot json\n'),
+        F.array_join(
+            F.transform(
+                _issue_numbers(),
+                lambda i: F.to_json(
+                    F.struct(
+                        F.lit("compiler-message").alias("reason"),
+                        F.struct(
+                            F.struct(
+                                F.when(i == 3, "unused_variables")
+                                .otherwise(F.format_string("clippy::lint_%d", i))
+                                .alias("code")
+                            ).alias("code"),
+                            F.when(i == 1, "error").otherwise("warning").alias("level"),
+                            text(i).alias("message"),
+                            F.when(i == 1, F.array(F.struct(line(i).alias("line_start")))).alias("spans"),
+                        ).alias("message"),
+                    )
+                ),
+            ),
+            "\n",
+        ),
+    )
+    kind = k % 5
+    tool = (
+        F.when(kind == 0, "bandit").when(kind == 1, "eslint_security").when(kind == 2, "clippy")
+        .otherwise("gosec")
+    )
+    stdout = F.when(kind == 0, bandit).when(kind == 1, eslint).when(kind == 2, clippy).otherwise(gosec)
+    return code.select(
+        _first_function_id().alias("function_id"),
+        tool.alias("tool"),
+        F.when(k % 13 == 0, F.substring(stdout, 1, 9)).otherwise(stdout).alias("stdout"),
+    )
+
+
+REPORTS_CTE = (
+    "rep AS (SELECT *, " + FUNCTION_ID_SQL + " AS function_id, unnest(range(1, k % 4 + 1)) AS i "
+    "FROM code WHERE language IS NOT NULL AND k % 13 <> 0), "
+    "issues AS ("
+    "SELECT function_id, 'bandit' AS tool, 'B' || i AS test_id, 'issue ' || i || ' of ' || k AS description, "
+    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'LOW' END AS severity, 'MEDIUM' AS confidence, "
+    "CASE WHEN i <> 2 THEN k % 50 + i ELSE 0 END AS line_number FROM rep WHERE language = 'python' "
+    "UNION ALL SELECT function_id, 'gosec', 'G' || i, 'issue ' || i || ' of ' || k, "
+    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'LOW' END, CASE WHEN i <> 3 THEN 'HIGH' ELSE 'LOW' END, "
+    "CASE WHEN i <> 2 THEN k % 50 + i ELSE 0 END FROM rep WHERE language = 'go' "
+    "UNION ALL SELECT function_id, 'eslint_security', 'security/rule-' || i, 'issue ' || i || ' of ' || k, "
+    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 'MEDIUM', k % 50 + i "
+    "FROM rep WHERE language = 'javascript' AND i <> 3 "
+    "UNION ALL SELECT function_id, 'clippy', 'clippy::lint_' || i, 'issue ' || i || ' of ' || k, "
+    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 'MEDIUM', "
+    "CASE WHEN i = 1 THEN k % 50 + i ELSE 0 END FROM rep WHERE language = 'rust' AND i <> 3)"
+)
+
+
+def complexity_tool_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gocyclo text for Go files and eslint JSON for JavaScript files."""
+    code = orders_code(spark, sf_dir).filter((F.col("k") % 5).isin(1, 3))
+    k = F.col("k")
+    score = (2 + k % 40).cast("int")
+    go = F.format_string(
+        "%d main f%d src/f.go:3:1\nnothing here\n %d main (*T).m%d src/f.go:9:1 \n", score, k, score + 1, k
+    )
+    name = (
+        F.when(k % 4 == 0, F.format_string("Function 'f%d' has a complexity of %d.", k, score))
+        .when(k % 4 == 1, F.format_string("Method 'f%d' has a complexity of %d.", k, score))
+        .when(k % 4 == 2, F.format_string("Arrow function 'f%d' has a complexity of %d.", k, score))
+        .otherwise(F.format_string("Arrow function has a complexity of %d.", score))
+    )
+    message = lambda rule, text: F.struct(
+        F.lit(rule).alias("ruleId"), F.lit(2).alias("severity"), text.alias("message"), F.lit(1).alias("line")
+    )
+    js = F.to_json(
+        F.array(F.struct(F.array(message("complexity", name), message("semi", F.lit("x"))).alias("messages")))
+    )
+    return code.select(
+        _first_function_id().alias("function_id"),
+        F.when(k % 5 == 3, "gocyclo").otherwise("eslint_complexity").alias("tool"),
+        F.when(k % 13 == 0, "[broken").when(k % 5 == 3, go).otherwise(js).alias("stdout"),
+        F.col("repo_full_name"),
+    )
+
+
+# --- triage replies -------------------------------------------------------------
+
+TRIAGE_SEVERITY_SQL = (
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' "
+    "WHEN '3-MEDIUM' THEN 'medium' ELSE 'none' END"
+)
+ISSUE_TYPE_NAMES = ("security", "crash", "data_loss", "concurrency", "correctness", "none")
+_ISSUE_TYPE_SQL = (
+    "CASE o_custkey % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(ISSUE_TYPE_NAMES)) + " END"
+)
+
+
+def triage_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply per order's first function; some break the reply schema."""
+    code = orders_code(spark, sf_dir).filter(F.col("k") % 5 != 4)
+    k = F.col("k")
+    severity = F.when(k % 17 == 0, "urgent").otherwise(F.expr(TRIAGE_SEVERITY_SQL))
+    reply = F.to_json(
+        F.struct(
+            severity.alias("severity"),
+            F.expr(_ISSUE_TYPE_SQL).alias("issue_type"),
+            F.when(k % 19 != 0, F.format_string("risk %d", k)).alias("summary"),
+            F.when(k % 2 == 0, F.format_string("fix %d", k)).alias("suggested_fix"),
+            F.format_string("because %d", F.col("o_custkey")).alias("explanation"),
+        )
+    )
+    return code.select(
+        _first_function_id().alias("function_id"),
+        F.concat(F.lit("f"), k.cast("string")).alias("result_name"),
+        F.when(k % 23 == 0, F.concat(F.lit("{"), reply)).otherwise(reply).alias("response_json"),
+    )
+
+
+TRIAGE_CTE = (
+    "triage AS (SELECT *, " + FUNCTION_ID_SQL + " AS function_id, 'f' || k AS result_name, "
+    f"{TRIAGE_SEVERITY_SQL} AS severity, {_ISSUE_TYPE_SQL} AS issue_type, "
+    "'risk ' || k AS summary, CASE WHEN k % 2 = 0 THEN 'fix ' || k END AS suggested_fix, "
+    "'because ' || o_custkey AS explanation, "
+    "(k % 17 <> 0 AND k % 19 <> 0 AND k % 23 <> 0) AS is_valid "
+    "FROM code WHERE language IS NOT NULL)"
+)
+
+
+# --- reviews, jobs, comments ----------------------------------------------------
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored review per order, with nulls, unknown priorities and whole-day times."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        F.concat(F.lit("org/r"), (c % 25).cast("string")).alias("repo_full_name"),
+        (c + 1).alias("pr_number"),
+        F.format_string("Change %d", c).alias("pr_title"),
+        F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("function_name"),
+        F.when(k % 11 != 0, F.format_string("src/%s/m%d.py", F.col("o_orderstatus"), k % 97)).alias("file_path"),
+        F.when(k % 7 != 0, k % 300).cast("int").alias("line_number"),
+        F.when(k % 9 != 0, (1 + k % 31).cast("double")).alias("complexity_score"),
+        F.format_string("note %d", k).alias("suggestion"),
+        F.expr(
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' "
+            "WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE 'High' END"
+        ).alias("priority"),
+        F.expr("CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'pending' ELSE 'error' END").alias("status"),
+        F.when(
+            k % 50 != 0, F.timestamp_add("SECOND", (k % 86400).cast("int"), F.col("o_orderdate").cast("timestamp"))
+        ).alias("created_at"),
+    )
+
+
+REVIEWS_CTE = (
+    "rev AS (SELECT o_orderkey AS id, 'org/r' || (o_custkey % 25) AS repo_full_name, "
+    "o_custkey + 1 AS pr_number, 'Change ' || o_custkey AS pr_title, "
+    "CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'f' || o_orderkey END AS function_name, "
+    "CASE WHEN o_orderkey % 11 <> 0 THEN 'src/' || o_orderstatus || '/m' || (o_orderkey % 97) || '.py' END AS file_path, "
+    "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 300 END::INTEGER AS line_number, "
+    "CASE WHEN o_orderkey % 9 <> 0 THEN (1 + o_orderkey % 31)::DOUBLE END AS complexity_score, "
+    "'note ' || o_orderkey AS suggestion, "
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' "
+    "WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE 'High' END AS priority, "
+    "CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'pending' ELSE 'error' END AS status, "
+    "CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate + to_seconds(o_orderkey % 86400) END AS created_at "
+    "FROM orders)"
+)
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A webhook delivery per event. Errors are signed with another secret,
+    some have no signature, some bodies are not JSON, some lack fields."""
+    return delivery_rows(table(spark, sf_dir, "events"))
+
+
+def delivery_rows(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    action = F.expr(
+        "CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'synchronize' "
+        "WHEN 'purchase' THEN 'closed' WHEN 'signup' THEN 'opened' ELSE 'opened' END"
+    )
+    payload = F.to_json(
+        F.struct(
+            action.alias("action"),
+            F.struct(
+                (F.col("user_id") % 90).alias("number"),
+                F.when(e % 3 != 0, F.format_string("Título %d", e)).alias("title"),
+            ).alias("pull_request"),
+            F.struct(
+                F.when(e % 29 == 0, "")
+                .otherwise(F.concat(F.lit("org/r"), (F.col("user_id") % 25).cast("string")))
+                .alias("full_name")
+            ).alias("repository"),
+            F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("id")).alias("installation"),
+        )
+    )
+    body = F.when(e % 31 == 0, F.lit("{oops")).otherwise(payload)
+    opened = events.select("*", body.alias("body"))
+    secret_used = F.when(F.col("event_type") == "error", sign_body(F.col("body"), "wrong"))
+    signature = (
+        F.when(e % 37 == 0, "")
+        .when(e % 41 == 0, F.lit(None).cast("string"))
+        .otherwise(F.coalesce(secret_used, sign_body(F.col("body"), WEBHOOK_SECRET)))
+    )
+    return opened.select(
+        e.cast("string").alias("delivery_id"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+        signature.alias("signature"),
+        "body",
+    )
+
+
+DELIVERIES_CTE = (
+    "del AS (SELECT *, CASE event_type WHEN 'click' THEN 'synchronize' WHEN 'purchase' THEN 'closed' "
+    "ELSE 'opened' END AS action, user_id % 90 AS pr_number, "
+    "CASE WHEN event_id % 3 <> 0 THEN 'Título ' || event_id ELSE '' END AS pr_title, "
+    "CASE WHEN event_id % 29 = 0 THEN '' ELSE 'org/r' || (user_id % 25) END AS repo_full_name, "
+    "json_extract_string(props, '$.k')::BIGINT AS installation_id FROM events), "
+    "sorted AS (SELECT *, CASE "
+    "WHEN event_id % 37 = 0 OR event_id % 41 = 0 OR event_type = 'error' THEN 'unauthorized' "
+    "WHEN event_id % 31 = 0 THEN 'malformed' WHEN action = 'closed' THEN 'ignored' "
+    "WHEN repo_full_name = '' OR pr_number = 0 OR installation_id = 0 THEN 'invalid' "
+    "ELSE 'enqueued' END AS disposition FROM del)"
+)
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status events per user; times are cut to hours so that ties occur."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("task_id"),
+        F.col("event_id").alias("seq"),
+        F.expr(
+            "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' "
+            "WHEN 'error' THEN 'failed' ELSE 'complete' END"
+        ).alias("status"),
+        F.when(F.col("event_type") == "error", F.format_string("error %d", F.col("event_id"))).alias("error_message"),
+        F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("ts"),
+    )
+
+
+def pr_comments(spark: SparkSession, sf_dir: str, all_clear: str, nothing: str) -> DataFrame:
+    """Comments from conversation turns; user turns carry one marker, system turns none."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    marker = F.when(turn % 3 == 0, all_clear).when(turn % 3 == 1, nothing).otherwise("")
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("org/r"), (conv % 25).cast("string")).alias("repo_full_name"),
+        conv.alias("pr_number"),
+        (conv * 1000 + turn).alias("comment_id"),
+        F.when(turn != 7, F.concat(marker, F.lit("\n"), F.col("text"))).alias("body"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits from order lines: the ship date orders them, the line breaks ties."""
+    k = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.lit("org/r").alias("repo_full_name"),
+        k.alias("pr_number"),
+        F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("commit_seq"),
+        F.format_string("c%d-%d-%d", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("commit_sha"),
+    )
