@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlake.functions.text import blank_to_null, let, rest_from
+from revlake.functions.text import blank_to_null, let, newlines, rest_from
 from revlake.languages import FLAGS, LanguageSpec
 
 # Window widths, in signature chunks, tried in turn for the end of a body.
-# The last try always sees the whole text, so no body is cut short.
-BODY_WINDOWS = (1, 4, 16, 64)
+# The last one always reaches the end of the text, so no body is cut short.
+_WHOLE_TEXT = 2**31 - 1
+BODY_WINDOWS = (1, 4, 16, 64, _WHOLE_TEXT)
 
 OPEN, DROPPED = 0, -1
 
@@ -156,15 +157,21 @@ def brace_function(
 
         return let(body_end(spec, rest_from(text, head + 1)), source)
 
-    tries = []
-    for seen, width in zip((0, *BODY_WINDOWS), BODY_WINDOWS):
-        # A narrower window that already reached the end makes this one moot.
-        attempt = let(_joined(chunks, first, width), closed)
-        tries.append(attempt if seen == 0 else F.when(index + seen < count, attempt))
-    everything = _joined(chunks, first, count)
-    tries.append(F.when(index + BODY_WINDOWS[-1] < count, let(everything, closed)))
-    tries.append(everything if spec.keep_unclosed else F.lit(""))
-    block = F.coalesce(*tries)
+    def widen(found: Column, window: Column) -> Column:
+        # A window that already reached the end makes the wider ones moot.
+        attempt = let(_joined(chunks, first, window["width"]), closed)
+        return F.when(found.isNotNull(), found).when(index + window["seen"] < count, attempt)
+
+    windows = F.array(
+        *[
+            F.struct(F.lit(seen).alias("seen"), F.lit(width).alias("width"))
+            for seen, width in zip((0, *BODY_WINDOWS), BODY_WINDOWS)
+        ]
+    )
+    block = F.coalesce(
+        F.aggregate(windows, F.lit(None).cast("string"), widen),
+        _joined(chunks, first, count) if spec.keep_unclosed else F.lit(""),
+    )
     if spec.nested:
         return block
 
@@ -182,7 +189,9 @@ def brace_function(
     return F.when(has_block, block).otherwise(F.substring(own, F.lit(1), head + stop))
 
 
-def functions_in(spec: LanguageSpec, text: Column, compat: bool = False, nested: bool | None = None) -> Column:
+def functions_in(
+    spec: LanguageSpec, text: Column, compat: bool = False, nested: bool | None = None
+) -> Column:
     """Functions of a text, in order, as structs.
 
     ``first_line`` is the number of line ends before the signature and ``lines``
@@ -209,7 +218,7 @@ def functions_in(spec: LanguageSpec, text: Column, compat: bool = False, nested:
                 F.when(is_function, name_of(spec, signature)).alias("name"),
                 F.when(is_function, source(signature)).otherwise("").alias("source"),
                 F.length(chunk).alias("size"),
-                _newline_count(chunk).alias("breaks"),
+                newlines(chunk).alias("breaks"),
             )
 
         return let(signature_of(spec, chunk), entry)
@@ -222,7 +231,7 @@ def functions_in(spec: LanguageSpec, text: Column, compat: bool = False, nested:
             entry["name"].alias("function_name"),
             entry["source"].alias("source"),
             state["breaks"].alias("first_line"),
-            _newline_count(entry["source"]).alias("lines"),
+            newlines(entry["source"]).alias("lines"),
         )
         return F.struct(
             (state["offset"] + entry["size"]).alias("offset"),
@@ -247,6 +256,3 @@ def functions_in(spec: LanguageSpec, text: Column, compat: bool = False, nested:
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), fold)
 
-
-def _newline_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

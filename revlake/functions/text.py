@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,24 @@ WHITE_SPACE = "".join(
 )
 
 
+def reused(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build an expression once per JVM and set of (hashable) arguments.
+
+    Large expressions take thousands of calls to the JVM to put together. They
+    name their input columns, so the same one serves every plan.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -41,7 +61,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def rest_from(text: Column, start: Column) -> Column:

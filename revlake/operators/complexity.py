@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.functions.lexing import blank_literals, functions_in, match_arms
-from revlake.functions.text import let, strip
+from revlake.functions.text import let, reused, strip
 from revlake.languages import FLAGS, LANGUAGES, RUST, LanguageSpec
 from revlake.operators.extraction import by_language
 
@@ -65,27 +65,24 @@ def _flag(rows: DataFrame, threshold: Column) -> DataFrame:
     )
 
 
+@reused
+def _source_results(specs: tuple[LanguageSpec, ...]) -> Column:
+    return by_language(
+        F.col("language"), lambda spec: _named_results(spec, F.col("source_code")), specs
+    )
+
+
 def analyze_sources(
     sources: DataFrame, threshold: Column | int, specs: tuple[LanguageSpec, ...] = LANGUAGES
 ) -> DataFrame:
     """Results for rows of (language, source_code); an unknown language gives none."""
-    results = by_language(
-        F.col("language"), lambda spec: _named_results(spec, F.col("source_code")), specs
-    )
-    rows = sources.select("*", F.posexplode(results).alias("result_no", "_r"))
+    rows = sources.select("*", F.posexplode(_source_results(specs)).alias("result_no", "_r"))
     rows = rows.select(*sources.columns, "result_no", "_r.result_name", "_r.score")
     return _flag(rows, F.lit(threshold) if isinstance(threshold, int) else threshold)
 
 
-def score_functions(
-    functions: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGES
-) -> DataFrame:
-    """Results for extracted functions, before any threshold is known.
-
-    An extracted function is its own only outermost function, so it is scored
-    without being searched again; Rust lists inner functions too.
-    """
-
+@reused
+def _function_results(specs: tuple[LanguageSpec, ...]) -> Column:
     def results(spec: LanguageSpec) -> Column:
         source = F.col("source_code")
         whole = F.array(_result(F.col("function_name"), score_of(spec, source)))
@@ -94,11 +91,23 @@ def score_functions(
         signatures = F.regexp_count(source, F.lit(FLAGS + spec.plain_signature))
         return F.when(signatures > 1, _named_results(spec, source)).otherwise(whole)
 
-    exploded = functions.select(
-        "*", F.posexplode(by_language(F.col("language"), results, specs)).alias("result_no", "_r")
-    )
+    return F.when(F.col("function_name").isNotNull(), by_language(F.col("language"), results, specs))
+
+
+def score_functions(
+    functions: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGES, keep_all: bool = False
+) -> DataFrame:
+    """Results for extracted functions, before any threshold is known.
+
+    An extracted function is its own only outermost function, so it is scored
+    without being searched again; Rust lists inner functions too.
+    """
+    listed = (F.posexplode_outer if keep_all else F.posexplode)(_function_results(specs))
+    exploded = functions.select("*", listed.alias("result_no", "_r"))
     rows = exploded.select(*functions.columns, "result_no", "_r.result_name", "_r.score")
-    return rows.withColumn("rank", rank_of(F.col("score"), F.col("language")))
+    return rows.withColumn(
+        "rank", F.when(F.col("score").isNotNull(), rank_of(F.col("score"), F.col("language")))
+    )
 
 
 def go_with_package(source: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.functions import unified
-from revlake.functions.text import pin
+from revlake.functions.text import pin, reused
 from revlake.languages import LANGUAGES, LanguageSpec
+from revlake.operators.joins import lookup_join
 
 PR_KEYS = ("repo_full_name", "pr_number")
 
@@ -56,20 +57,50 @@ def exclusion_regex(patterns: Column) -> Column:
     return F.nullif(joined, F.lit(""))
 
 
-def drop_excluded(files: DataFrame, configs: DataFrame, path: str = "file_path") -> DataFrame:
-    """Drop files that match their repository's exclude patterns (an opt-in)."""
+def with_excluded(files: DataFrame, configs: DataFrame, path: str = "file_path") -> DataFrame:
+    """Mark files that match their repository's exclude patterns in ``is_excluded``."""
     rules = configs.select(
         "repo_full_name", exclusion_regex(F.col("exclude_patterns")).alias("_excluded")
     ).filter(F.col("_excluded").isNotNull())
-    joined = files.join(rules, "repo_full_name", "left")
-    hit = F.coalesce(F.expr(f"{path} rlike _excluded"), F.lit(False))
-    return joined.filter(~hit).drop("_excluded")
+    joined = lookup_join(files, rules, "repo_full_name", F.col(path))
+    hit = F.coalesce(F.regexp_like(F.col(path), F.col("_excluded")), F.lit(False))
+    return joined.withColumn("is_excluded", hit).drop("_excluded")
+
+
+def drop_excluded(files: DataFrame, configs: DataFrame, path: str = "file_path") -> DataFrame:
+    """Drop files that match their repository's exclude patterns (an opt-in)."""
+    return with_excluded(files, configs, path).filter(~F.col("is_excluded")).drop("is_excluded")
+
+
+@reused
+def _sections() -> Column:
+    return unified.file_sections(F.col("diff_text"))
+
+
+@reused
+def _hunk_texts() -> Column:
+    return F.flatten(F.transform("hunks", unified.added_lines))
 
 
 def diff_files(diffs: DataFrame, keys: tuple[str, ...] = PR_KEYS) -> DataFrame:
     """One row per changed file: keys, file_path, file_no, hunks."""
-    return diffs.select(*keys, F.inline(unified.file_sections(F.col("diff_text")))).withColumnRenamed(
-        "path", "file_path"
+    return diffs.select(*keys, F.inline(_sections())).withColumnRenamed("path", "file_path")
+
+
+def source_files(
+    diffs: DataFrame,
+    keys: tuple[str, ...] = PR_KEYS,
+    specs: tuple[LanguageSpec, ...] = LANGUAGES,
+    keep_all: bool = False,
+) -> DataFrame:
+    """Files some language handles; the others go before any line is looked at.
+
+    ``keep_all`` keeps a diff without such files as one row of null fields.
+    """
+    handled = F.filter(_sections(), lambda f: language_of(f["path"], specs).isNotNull())
+    rows = diffs.select(*keys, (F.inline_outer if keep_all else F.inline)(handled))
+    return rows.withColumnRenamed("path", "file_path").withColumn(
+        "language", language_of(F.col("file_path"), specs)
     )
 
 
@@ -94,7 +125,7 @@ def diff_added_lines(diffs: DataFrame, keys: tuple[str, ...] = PR_KEYS) -> DataF
 
 
 def supported_files(files: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGES) -> DataFrame:
-    """Keep files some language handles; done before any line is looked at."""
+    """Keep files some language handles, as ``source_files`` does on diff rows."""
     return files.withColumn("language", language_of(F.col("file_path"), specs)).filter(
         F.col("language").isNotNull()
     )
@@ -102,14 +133,18 @@ def supported_files(files: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGE
 
 def added_text(files: DataFrame) -> DataFrame:
     """Replace hunks by the file's added text and the line number of each of its lines."""
-    lines = F.flatten(F.transform("hunks", unified.added_lines))
-    return pin(files, added=lines).select(
+    return pin(files, added=_hunk_texts()).select(
         *[c for c in files.columns if c != "hunks"],
         F.array_join(F.col("added.text"), "\n").alias("added_text"),
         F.col("added.line_no").alias("line_numbers"),
     )
 
 
+def with_consistency(diffs: DataFrame) -> DataFrame:
+    """Add ``diff_ok``: whether every hunk agrees with its header."""
+    return diffs.withColumn("diff_ok", unified.diff_is_consistent(F.col("diff_text")))
+
+
 def diff_errors(diffs: DataFrame, keys: tuple[str, ...] = PR_KEYS) -> DataFrame:
     """Keys of diffs whose hunks disagree with their headers."""
     return diffs.filter(~unified.diff_is_consistent(F.col("diff_text"))).select(

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.functions.lexing import functions_in
-from revlake.functions.text import newlines, strip
+from revlake.functions.text import newlines, reused, strip
 from revlake.languages import LANGUAGES, LanguageSpec
-from revlake.operators.diffs import PR_KEYS, added_text, diff_files, drop_excluded, supported_files
+from revlake.operators.diffs import (
+    PR_KEYS, added_text, drop_excluded, source_files, with_excluded,
+)
 
 
 def by_language(language: Column, choose, specs: tuple[LanguageSpec, ...] = LANGUAGES) -> Column:
@@ -27,6 +29,13 @@ def function_id(line: Column, keys: tuple[str, ...] = PR_KEYS) -> Column:
     return F.sha2(F.concat_ws(":", *parts, line.cast("string"), F.col("function_name")), 256)
 
 
+@reused
+def _found(compat: bool, specs: tuple[LanguageSpec, ...]) -> Column:
+    return by_language(
+        F.col("language"), lambda spec: functions_in(spec, F.col("added_text"), compat), specs
+    )
+
+
 def functions_of_files(
     texts: DataFrame,
     keys: tuple[str, ...] = PR_KEYS,
@@ -34,6 +43,7 @@ def functions_of_files(
     compat: bool = False,
     specs: tuple[LanguageSpec, ...] = LANGUAGES,
     carry: tuple[str, ...] = (),
+    keep_all: bool = False,
 ) -> DataFrame:
     """Functions found in ``added_text`` rows; ``carry`` names columns to keep.
 
@@ -43,10 +53,8 @@ def functions_of_files(
     """
     if line_mode not in ("true", "file_first"):
         raise ValueError(f"unknown line_mode: {line_mode}")
-    found = by_language(
-        F.col("language"), lambda spec: functions_in(spec, F.col("added_text"), compat), specs
-    )
-    rows = texts.select(*keys, *carry, "file_path", "language", "line_numbers", F.inline(found))
+    listed = (F.inline_outer if keep_all else F.inline)(_found(compat, specs))
+    rows = texts.select(*keys, *carry, "file_path", "language", "line_numbers", listed)
     source = strip(F.col("source"))
     numbers = F.col("line_numbers")
     if line_mode == "true":
@@ -77,13 +85,21 @@ def changed_functions(
     configs: DataFrame | None = None,
     specs: tuple[LanguageSpec, ...] = LANGUAGES,
     carry: tuple[str, ...] = (),
+    keep_all: bool = False,
 ) -> DataFrame:
     """Diff rows to changed functions without a shuffle.
 
     Pass ``configs`` to apply the repositories' exclude patterns and ``carry``
-    to keep more columns of the diff rows.
+    to keep more columns of the diff rows. With ``keep_all`` a file or diff
+    without functions stays as a row whose function_name is null, so that
+    later counts need no second look at the diffs.
     """
-    files = supported_files(diff_files(diffs, (*keys, *carry)), specs)
-    if configs is not None:
+    files = source_files(diffs, (*keys, *carry), specs, keep_all)
+    if configs is not None and keep_all:
+        marked = with_excluded(files, configs)
+        files = marked.withColumn("hunks", F.when(~F.col("is_excluded"), F.col("hunks")))
+    elif configs is not None:
         files = drop_excluded(files, configs)
-    return functions_of_files(added_text(files), keys, line_mode, compat, specs, carry)
+    return functions_of_files(
+        added_text(files), keys, line_mode, compat, specs, carry, keep_all
+    )

@@ -96,7 +96,7 @@ _HUNKS = (
 
 @_register(
     "diff_added_lines",
-    _HUNKS + " SELECT pr_number, path, hunk, n AS added, first_line, first_line + n - 1 AS last_line FROM hunks",
+    _HUNKS + " SELECT pr_number, path, hunk, n::BIGINT AS added, first_line, first_line + n - 1 AS last_line FROM hunks",
 )
 def diff_added_lines(spark, sf_dir):
     lines = D.diff_added_lines(B.diffs(spark, sf_dir))
@@ -283,11 +283,11 @@ def report_unreadable(spark, sf_dir):
 
 _TOOL_RESULTS = (
     _CODE + ", tool_results AS (SELECT " + B.FUNCTION_ID_SQL + " AS function_id, 'gocyclo' AS tool, "
-    "'f' || k AS result_name, 2 + k % 40 AS score FROM code WHERE language = 'go' AND k % 13 <> 0 "
-    "UNION ALL SELECT " + B.FUNCTION_ID_SQL + ", 'gocyclo', '(*T).m' || k, 3 + k % 40 FROM code "
+    "'f' || k AS result_name, (2 + k % 40)::INTEGER AS score FROM code WHERE language = 'go' AND k % 13 <> 0 "
+    "UNION ALL SELECT " + B.FUNCTION_ID_SQL + ", 'gocyclo', '(*T).m' || k, (3 + k % 40)::INTEGER FROM code "
     "WHERE language = 'go' AND k % 13 <> 0 "
     "UNION ALL SELECT " + B.FUNCTION_ID_SQL + ", 'eslint_complexity', "
-    "CASE WHEN k % 4 = 3 THEN 'anonymous' ELSE 'f' || k END, 2 + k % 40 FROM code "
+    "CASE WHEN k % 4 = 3 THEN 'anonymous' ELSE 'f' || k END, (2 + k % 40)::INTEGER FROM code "
     "WHERE language = 'javascript' AND k % 13 <> 0)"
 )
 
@@ -507,10 +507,15 @@ def _run(spark: SparkSession, sf_dir: str) -> P.ReviewRun:
         B.repo_configs(spark, sf_dir),
         B.triage_responses(spark, sf_dir),
         B.scan_reports(spark, sf_dir),
-        staged=False,
     )
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = P.scored_results(B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir), keep_all=True)
+    replies = L.validate_replies(B.triage_responses(spark, sf_dir))
+    return P.pr_outcomes(P.pr_activity(results, replies))
+
+
 @_register(
     "pr_counts",
     _RESULTS + " SELECT repo_full_name, pr_number, count(*) AS function_count, "
@@ -590,7 +595,7 @@ def rollback_failed(spark, sf_dir):
     "comment_kind, CASE WHEN outcome = 'failed' THEN 'failed' ELSE 'complete' END AS job_status FROM spoken",
 )
 def pr_outcome(spark, sf_dir):
-    return _run(spark, sf_dir).outcomes.select(
+    return _outcomes(spark, sf_dir).select(
         "repo_full_name", "pr_number", "outcome", "function_count", "analyzed_count", "reviews_posted",
         "comment_kind", "job_status",
     )
@@ -603,7 +608,7 @@ def pr_outcome(spark, sf_dir):
     "reviews_posted FROM spoken",
 )
 def run_summary(spark, sf_dir):
-    return _run(spark, sf_dir).outcomes.select("pr_number", "message", "reviews_posted")
+    return _outcomes(spark, sf_dir).select("pr_number", "message", "reviews_posted")
 
 
 @_register(
@@ -616,7 +621,7 @@ def run_summary(spark, sf_dir):
     + " AS comment_body FROM spoken WHERE comment_kind = 'all_clear'",
 )
 def all_clear_comment(spark, sf_dir):
-    outcomes = _run(spark, sf_dir).outcomes.filter(F.col("comment_kind") == "all_clear")
+    outcomes = _outcomes(spark, sf_dir).filter(F.col("comment_kind") == "all_clear")
     return outcomes.select("pr_number", "comment_body")
 
 
@@ -630,7 +635,7 @@ def all_clear_comment(spark, sf_dir):
     + " AS comment_body FROM spoken WHERE comment_kind = 'nothing_to_scan'",
 )
 def nothing_to_scan_comment(spark, sf_dir):
-    outcomes = _run(spark, sf_dir).outcomes.filter(F.col("comment_kind") == "nothing_to_scan")
+    outcomes = _outcomes(spark, sf_dir).filter(F.col("comment_kind") == "nothing_to_scan")
     return outcomes.select("pr_number", "comment_body")
 
 
@@ -640,7 +645,7 @@ def nothing_to_scan_comment(spark, sf_dir):
     "AS value FROM spoken WHERE outcome NOT IN ('no_functions', 'failed')",
 )
 def notifications(spark, sf_dir):
-    return _run(spark, sf_dir).notifications
+    return P.notifications(_outcomes(spark, sf_dir))
 
 
 @_register(
@@ -872,7 +877,7 @@ def top_files(spark, sf_dir):
 
 @_register(
     "activity_heatmap",
-    _REVIEWS + " SELECT dayofweek(created_at) + 1 AS weekday, hour(created_at) AS hour, count(*) AS reviews "
+    _REVIEWS + " SELECT (dayofweek(created_at) + 1)::INTEGER AS weekday, hour(created_at)::INTEGER AS hour, count(*) AS reviews "
     "FROM rev WHERE created_at IS NOT NULL GROUP BY 1, 2",
 )
 def activity_heatmap(spark, sf_dir):

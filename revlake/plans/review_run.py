@@ -15,7 +15,7 @@ from revlake.languages import LANGUAGES
 from revlake.operators import comments as C
 from revlake.operators.complexity import score_functions
 from revlake.operators.configs import with_run_config
-from revlake.operators.diffs import PR_KEYS, diff_errors
+from revlake.operators.diffs import PR_KEYS, with_consistency
 from revlake.operators.extraction import changed_functions
 from revlake.operators.security import gate_issues, issue_lists, scan_functions, security_issues
 from revlake.operators.triage import POSTED_SEVERITIES, severity_gate, validate_replies
@@ -28,16 +28,28 @@ NO_FUNCTIONS, NOTHING_TO_SCAN, ALL_CLEAR, REVIEWED, FAILED = (
     "no_functions", "nothing_to_scan", "all_clear", "reviewed", "failed",
 )
 BAD_REPLY = "triage reply does not meet the schema"
+BAD_DIFF = "diff does not match its hunk headers"
 
 
 def scored_results(
-    diffs: DataFrame, configs: DataFrame, apply_exclusions: bool = False, **extraction
+    diffs: DataFrame,
+    configs: DataFrame,
+    apply_exclusions: bool = False,
+    keep_all: bool = False,
+    **extraction,
 ) -> DataFrame:
-    """Scored functions with their repository's settings and flag."""
+    """Scored functions with their repository's settings and flag.
+
+    With ``keep_all`` every PR has at least one row and carries ``diff_ok``, so
+    this one table holds all that reviews and outcomes need from the diffs.
+    """
+    carry = ("pr_title",)
+    if keep_all:
+        diffs, carry = with_consistency(diffs), ("pr_title", "diff_ok")
     found = changed_functions(
-        diffs, configs=configs if apply_exclusions else None, carry=("pr_title",), **extraction
+        diffs, configs=configs if apply_exclusions else None, carry=carry, keep_all=keep_all, **extraction
     )
-    return flag_results(score_functions(found), configs)
+    return flag_results(score_functions(found, keep_all=keep_all), configs)
 
 
 def flag_results(scored: DataFrame, configs: DataFrame) -> DataFrame:
@@ -120,48 +132,44 @@ def failed_prs(flagged: DataFrame, replies: DataFrame, parse_errors: DataFrame |
     return failed.groupBy(*PR_KEYS).agg(F.min("reason").alias("error_message"))
 
 
+def parse_failures(results: DataFrame) -> DataFrame:
+    """PRs whose diff does not parse, from ``keep_all`` results."""
+    return results.filter(~F.col("diff_ok")).select(*PR_KEYS, F.lit(BAD_DIFF).alias("reason"))
+
+
 def without_failed(reviews: DataFrame, failed: DataFrame) -> DataFrame:
     """All or nothing per PR: a failed run keeps none of its reviews."""
     return reviews.join(failed.select(*PR_KEYS), list(PR_KEYS), "left_anti")
 
 
 def pr_activity(results: DataFrame, replies: DataFrame) -> DataFrame:
-    """Everything an outcome needs, per PR, from one grouping."""
-    severity = F.when(F.col("is_valid"), F.col("severity"))
-    narrow = results.select(*PR_KEYS, *RESULT_KEYS, "result_no", "language", "is_flagged")
-    answered = narrow.join(
-        replies.select(*RESULT_KEYS, severity.alias("severity"), "is_valid"), list(RESULT_KEYS), "left"
+    """Everything an outcome needs, per PR, from one grouping of ``keep_all`` results."""
+    narrow = results.select(
+        *PR_KEYS, *RESULT_KEYS, "result_no", "language", "is_flagged", "diff_ok", "auto_post", "post_all_clear"
     )
-    flagged = F.col("is_flagged")
+    answers = replies.select(*RESULT_KEYS, "severity", "is_valid")
+    # A row without a function keeps a function_id of its own, which matches no
+    # reply and spreads such rows over all partitions.
+    answered = narrow.join(answers, list(RESULT_KEYS), "left")
+    flagged, valid = F.col("is_flagged"), F.col("is_valid")
     return answered.groupBy(*PR_KEYS).agg(
         F.count_if(F.col("result_no") == 0).alias("function_count"),
         F.count_if(flagged).alias("analyzed_count"),
-        F.count_if(flagged & F.col("severity").isin(*POSTED_SEVERITIES)).alias("reviews_posted"),
-        F.count_if(flagged & ~F.col("is_valid")).alias("rejected_replies"),
+        F.count_if(flagged & valid & F.col("severity").isin(*POSTED_SEVERITIES)).alias("reviews_posted"),
+        F.count_if(flagged & ~valid).alias("rejected_replies"),
+        F.bool_and("diff_ok").alias("diff_ok"),
+        F.bool_or("auto_post").alias("auto_post"),
+        F.bool_or("post_all_clear").alias("post_all_clear"),
         *[F.count_if(flagged & (F.col("language") == s.language)).alias(f"n_{s.language}") for s in LANGUAGES],
     )
 
 
-def pr_outcomes(
-    prs: DataFrame,
-    activity: DataFrame,
-    configs: DataFrame,
-    parse_errors: DataFrame | None = None,
-    style: C.CommentStyle = C.STYLE,
-) -> DataFrame:
+def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFrame:
     """Outcome, PR-level comment and run summary of every PR."""
-    rows = prs.select(*PR_KEYS).join(activity, list(PR_KEYS), "left")
-    if parse_errors is not None:
-        bad = parse_errors.select(*PR_KEYS, F.col("reason").alias("_reason"))
-        rows = rows.join(bad, list(PR_KEYS), "left")
-    else:
-        rows = rows.withColumn("_reason", F.lit(None).cast("string"))
-    settled = with_run_config(rows, configs, F.col("pr_number"))
-    count = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint")
-    functions, analyzed, posted = count("function_count"), count("analyzed_count"), count("reviews_posted")
-    error = F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(
-        count("rejected_replies") > 0, BAD_REPLY
+    functions, analyzed, posted = (
+        F.col(name) for name in ("function_count", "analyzed_count", "reviews_posted")
     )
+    error = F.when(~F.col("diff_ok"), BAD_DIFF).when(F.col("rejected_replies") > 0, BAD_REPLY)
     outcome = (
         F.when(error.isNotNull(), FAILED)
         .when(functions == 0, NO_FUNCTIONS)
@@ -171,17 +179,17 @@ def pr_outcomes(
     )
     counts = F.filter(
         F.array(
-            *[F.struct(F.lit(s.language).alias("language"), count(f"n_{s.language}").alias("n")) for s in LANGUAGES]
+            *[F.struct(F.lit(s.language).alias("language"), F.col(f"n_{s.language}").alias("n")) for s in LANGUAGES]
         ),
         lambda c: c["n"] > 0,
     )
     speaks = F.coalesce(F.col("post_all_clear") & F.col("auto_post"), F.lit(False))
-    base = settled.select(
+    base = activity.select(
         *PR_KEYS,
         outcome.alias("outcome"),
-        functions.alias("function_count"),
-        analyzed.alias("analyzed_count"),
-        F.when(error.isNull(), posted).otherwise(F.lit(0)).cast("bigint").alias("reviews_posted"),
+        "function_count",
+        "analyzed_count",
+        F.when(error.isNull(), posted).otherwise(F.lit(0)).alias("reviews_posted"),
         error.alias("error_message"),
         speaks.alias("_speaks"),
         C.language_breakdown(counts).alias("_breakdown"),
@@ -271,22 +279,21 @@ def review_run(
 ) -> ReviewRun:
     """Plan a whole run.
 
-    The run's outputs all start from the scored results, so those are written
-    once to the shared checkpoint folder unless ``staged`` is false. Without
-    scanner reports the built-in source rules take their place.
+    The diffs are read in one pass. The run's outputs all start from the scored
+    results, so those are written once to the shared checkpoint folder unless
+    ``staged`` is false. Without scanner reports the built-in source rules take
+    their place.
     """
-    errors = diff_errors(diffs)
-    results = scored_results(diffs, configs, **extraction)
+    results = scored_results(diffs, configs, keep_all=True, **extraction)
     if staged:
         results = stage(results, "results")
-        errors = stage(errors, "errors")
     replies = validate_replies(triage_responses)
     flagged = flagged_only(results)
     issues = None if scan_reports is None else security_issues(scan_reports)
     found = with_issue_lists(findings(flagged, replies), issues)
-    failed = failed_prs(flagged, replies, errors)
+    failed = failed_prs(flagged, replies, parse_failures(results))
     reviews = without_failed(review_rows(found, style), failed)
-    outcomes = pr_outcomes(diffs, pr_activity(results, replies), configs, errors, style)
+    outcomes = pr_outcomes(pr_activity(results, replies), style)
     return ReviewRun(
         results, reviews, outcomes, comment_outbox(reviews, outcomes, commits), notifications(outcomes)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.functions.signing import sign_body
+from revlake.functions.text import reused
 from revlake.sources.readers import spread
 
 WEBHOOK_SECRET = "review-hook-secret"
@@ -216,9 +217,8 @@ EXTENSION_SQL = (
 )
 
 
-def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pull request per order: its source file, and for some a notes file."""
-    code = orders_code(spark, sf_dir)
+@reused
+def _diff_text() -> Column:
     path = F.col("file_path")
     first = _hunk(F.col("start_1"), _first_function(), 1)
     second = F.when(F.col("has_second"), _hunk(F.col("start_2"), _second_function(), 0)).otherwise("")
@@ -236,14 +236,21 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.format_string("--- /dev/null\n+++ b/%s\n@@ -0,0 +1 @@\n+def fake(): pass\n", notes),
         ),
     ).otherwise("")
-    return code.select(
-        "repo_full_name", "pr_number", "pr_title", F.concat(notes_file, source_file).alias("diff_text")
+    return F.concat(notes_file, source_file)
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pull request per order: its source file, and for some a notes file."""
+    return orders_code(spark, sf_dir).select(
+        "repo_full_name", "pr_number", "pr_title", _diff_text().alias("diff_text")
     )
 
 
 def code_cte() -> str:
     """The oracle's view of generated code: every order with its counts."""
-    counts = ", ".join(f"{sql} AS {name}" for name, sql in CODE_SQL.items())
+    counts = ", ".join(
+        f"{sql} AS {name}" if name == "k" else f"({sql})::INTEGER AS {name}" for name, sql in CODE_SQL.items()
+    )
     return (
         f"code AS (SELECT *, {counts}, 'org/r' || (o_custkey % 25)::VARCHAR AS repo_full_name, "
         f"o_orderkey AS pr_number, 'Change ' || o_orderkey AS pr_title, "
@@ -433,16 +440,16 @@ REPORTS_CTE = (
     "issues AS ("
     "SELECT function_id, 'bandit' AS tool, 'B' || i AS test_id, 'issue ' || i || ' of ' || k AS description, "
     "CASE WHEN i = 1 THEN 'HIGH' ELSE 'LOW' END AS severity, 'MEDIUM' AS confidence, "
-    "CASE WHEN i <> 2 THEN k % 50 + i ELSE 0 END AS line_number FROM rep WHERE language = 'python' "
+    "CASE WHEN i <> 2 THEN (k % 50 + i)::INTEGER ELSE 0 END AS line_number FROM rep WHERE language = 'python' "
     "UNION ALL SELECT function_id, 'gosec', 'G' || i, 'issue ' || i || ' of ' || k, "
     "CASE WHEN i = 1 THEN 'HIGH' ELSE 'LOW' END, CASE WHEN i <> 3 THEN 'HIGH' ELSE 'LOW' END, "
-    "CASE WHEN i <> 2 THEN k % 50 + i ELSE 0 END FROM rep WHERE language = 'go' "
+    "CASE WHEN i <> 2 THEN (k % 50 + i)::INTEGER ELSE 0 END FROM rep WHERE language = 'go' "
     "UNION ALL SELECT function_id, 'eslint_security', 'security/rule-' || i, 'issue ' || i || ' of ' || k, "
-    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 'MEDIUM', k % 50 + i "
+    "CASE WHEN i = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 'MEDIUM', (k % 50 + i)::INTEGER "
     "FROM rep WHERE language = 'javascript' AND i <> 3 "
     "UNION ALL SELECT function_id, 'clippy', 'clippy::lint_' || i, 'issue ' || i || ' of ' || k, "
     "CASE WHEN i = 1 THEN 'HIGH' ELSE 'MEDIUM' END, 'MEDIUM', "
-    "CASE WHEN i = 1 THEN k % 50 + i ELSE 0 END FROM rep WHERE language = 'rust' AND i <> 3)"
+    "CASE WHEN i = 1 THEN (k % 50 + i)::INTEGER ELSE 0 END FROM rep WHERE language = 'rust' AND i <> 3)"
 )
 
 
