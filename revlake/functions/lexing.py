@@ -60,11 +60,14 @@ def body_end(spec: LanguageSpec, text: Column) -> Column:
     ``text`` starts after a signature. ``OPEN`` means that no closing brace was
     met and ``DROPPED`` that the signature has no body.
     """
+    # With a blank behind the text, a token ends with a stop only if it is one,
+    # even when a literal that is never closed ends with a brace.
+    ended = F.concat(text, F.lit(" "))
     if spec.lexed_head:
-        tokens = F.regexp_extract_all(text, F.lit(FLAGS + _run_pattern(spec, "{};")), F.lit(0))
+        tokens = F.regexp_extract_all(ended, F.lit(FLAGS + _run_pattern(spec, "{};")), F.lit(0))
     else:
         pattern = rf"{FLAGS}\A[^{{]*+\{{|{_run_pattern(spec, '{}')}"
-        tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        tokens = F.regexp_extract_all(ended, F.lit(pattern), F.lit(0))
 
     def step(state: Column, token: Column) -> Column:
         depth, position, end = state["depth"], state["position"], state["end"]
