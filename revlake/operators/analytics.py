@@ -38,7 +38,7 @@ def dashboard_stats(
     average = half_up(F.sum(_score()) / F.count("*"), 1)
     return newest_rows(reviews, newest).agg(
         F.count("*").alias("total_reviews"),
-        F.coalesce(F.format_string("%.1f", average), F.lit("—")).alias("avg_complexity"),
+        F.when(F.count("*") > 0, F.format_string("%.1f", average)).otherwise("—").alias("avg_complexity"),
         F.count_if(_priority(exact_case) == "High").alias("high_priority"),
         F.count_if(F.col("status") == "posted").alias("posted"),
     )
