@@ -60,8 +60,16 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def occurrences(text: Column, piece: str) -> Column:
+    """How often a piece that cannot overlap itself occurs in a text."""
+    without = F.replace(text, F.lit(piece), F.lit(""))
+    size = len(piece.encode("utf-8"))
+    lost = F.octet_length(text) - F.octet_length(without)
+    return lost if size == 1 else (lost / F.lit(size)).cast("int")
+
+
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return occurrences(text, "\n")
 
 
 def rest_from(text: Column, start: Column) -> Column:

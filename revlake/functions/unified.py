@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlake.functions.text import blank_to_null, let
+from revlake.functions.text import blank_to_null, let, newlines, occurrences
 
 # Hunk header and file header forms of the unified format.
 HUNK_START = r"(?dm)(?=^@@ -\d)"
@@ -147,27 +147,54 @@ def body_lines(chunk: Column) -> Column:
     return let(parsed_hunk(chunk), listed)
 
 
+def _lines_agree(hunk: Column) -> Column:
+    """Compare a parsed hunk's lines with its lengths, line by line."""
+    context = hunk["target_length"] - hunk["added"]
+    removed = hunk["source_length"] - context
+    own = F.slice(
+        F.filter(hunk["lines"], lambda l: ~l.startswith("\\")),
+        F.lit(1),
+        F.greatest(hunk["added"] + context + removed, F.lit(0)),
+    )
+    return (
+        hunk["target_start"].isNotNull()
+        & (removed >= 0)
+        & (F.size(hunk["target"]) == hunk["target_length"])
+        & (F.size(own) == hunk["added"] + context + removed)
+        & (F.size(F.filter(own, lambda l: l.startswith("-"))) == removed)
+        & (F.size(F.filter(own, lambda l: l.startswith("+"))) == hunk["added"])
+    )
+
+
 def hunk_is_consistent(chunk: Column) -> Column:
-    """Whether a hunk's lines agree with the lengths in its header."""
-
-    def check(hunk: Column) -> Column:
-        context = hunk["target_length"] - hunk["added"]
-        removed = hunk["source_length"] - context
-        own = F.slice(
-            F.filter(hunk["lines"], lambda l: ~l.startswith("\\")),
-            F.lit(1),
-            F.greatest(hunk["added"] + context + removed, F.lit(0)),
+    """Whether a hunk's lines agree with the lengths in its header.
+
+    Counts of line beginnings settle the usual case; anything they leave open,
+    such as a following file header, is looked at line by line.
+    """
+
+    def counts(text: Column) -> Column:
+        header = F.substring_index(text, "\n", 1)
+        return F.struct(
+            F.coalesce(_header_number(header, 2), F.lit(1)).alias("source"),
+            F.coalesce(_header_number(header, 4), F.lit(1)).alias("target"),
+            occurrences(text, "\n+").alias("plus"),
+            occurrences(text, "\n-").alias("minus"),
+            occurrences(text, "\n ").alias("context"),
+            occurrences(text, "\n\\").alias("remarks"),
+            (newlines(text) - F.when(text.endswith("\n"), 1).otherwise(0)).alias("lines"),
         )
+
+    def agree(c: Column) -> Column:
         return (
-            hunk["target_start"].isNotNull()
-            & (removed >= 0)
-            & (F.size(hunk["target"]) == hunk["target_length"])
-            & (F.size(own) == hunk["added"] + context + removed)
-            & (F.size(F.filter(own, lambda l: l.startswith("-"))) == removed)
-            & (F.size(F.filter(own, lambda l: l.startswith("+"))) == hunk["added"])
+            (c["plus"] + c["context"] == c["target"])
+            & (c["minus"] + c["context"] == c["source"])
+            & (c["plus"] + c["minus"] + c["context"] + c["remarks"] == c["lines"])
         )
 
-    return let(parsed_hunk(chunk), check)
+    own = F.substring_index(chunk, "\ndiff --git ", 1)
+    settled = let(own, lambda text: let(counts(text), agree))
+    return F.when(settled, True).otherwise(let(parsed_hunk(chunk), _lines_agree))
 
 
 def _clean_path(path: Column) -> Column:

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 FLAGS = "(?dmU)"
 
 # Comments and string literals. Repeats are possessive, so that a long literal
-# is consumed by a loop and not by recursion.
+# is consumed by a loop and not by recursion. Branch rules begin with the first
+# characters of their words, which rejects most positions at once.
 _LINE_COMMENT = r"//[^\n]*+\n?"
 _BLOCK_COMMENT = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)"
 _DOUBLE = r'"(?:[^"\\]|\\(?s:.)|\\\z)*+(?:"|\z)'
@@ -58,7 +59,12 @@ class LanguageSpec:
 
     @property
     def literal(self) -> str:
-        return "|".join(self.literals)
+        """A comment or string, behind a look at its first character."""
+        return f"(?=[{self.literal_starts}])(?:{'|'.join(self.literals)})"
+
+    @property
+    def literal_starts(self) -> str:
+        return self.quotes + ("#" if self.body == "indent" else "/")
 
 
 # Words that the loose method form would take for a name.
@@ -78,7 +84,7 @@ PYTHON = LanguageSpec(
     literals=(_HASH_COMMENT, _TRIPLE, _PY_DOUBLE, _PY_SINGLE),
     quotes="\"'",
     branch_rules=(
-        (r"\b(?:if|elif|for|while|except|assert|and|or)\b", 1),
+        (r"(?=[aefiow])\b(?:if|elif|for|while|except|assert|and|or)\b", 1),
         (r"^[ \t]*case\s[^\n=]*:", 1),
     ),
     body="indent",
@@ -99,9 +105,7 @@ JAVASCRIPT = LanguageSpec(
     literals=(_LINE_COMMENT, _BLOCK_COMMENT, _DOUBLE, _SINGLE, _TEMPLATE),
     quotes="\"'`",
     branch_rules=(
-        (r"\b(?:if|for|while|case|catch)\b", 1),
-        (r"&&|\|\||\?\?", 1),
-        (r"(?<!\?)\?(?![?.:,)=])", 1),
+        (r"(?=[cfiw&|?])(?:\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?|(?<!\?)\?(?![?.:,)=]))", 1),
     ),
     nested=False,
     name_groups=3,
@@ -116,7 +120,7 @@ RUST = LanguageSpec(
     ),
     literals=(_LINE_COMMENT, _BLOCK_COMMENT, _DOUBLE),
     quotes='"',
-    branch_rules=((r"\b(?:if|while|for|loop)\b", 1), (r"&&|\|\|", 1)),
+    branch_rules=((r"(?=[filw&|])(?:\b(?:if|while|for|loop)\b|&&|\|\|)", 1),),
     keep_unclosed=False,
     lexed_head=True,
     hint="idiomatic Rust: ownership-aware, Result/Option over exceptions, rustdoc comments",
@@ -127,7 +131,7 @@ GO = LanguageSpec(
     signature=r"^func\s+(?:\(\s*\w+\s+\*?\w+\s*\)\s+)?NAME\s*\(",
     literals=(_LINE_COMMENT, _BLOCK_COMMENT, _DOUBLE, _RAW),
     quotes='"`',
-    branch_rules=((r"\b(?:if|for|case)\b", 1), (r"&&|\|\|", 1)),
+    branch_rules=((r"(?=[cfi&|])(?:\b(?:if|for|case)\b|&&|\|\|)", 1),),
     hint="idiomatic Go: early returns, small interfaces, GoDoc comments, explicit error handling",
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.functions.lexing import blank_literals, functions_in, match_arms
+from revlake.functions.lexing import code_only, functions_in, match_arms
 from revlake.functions.text import let, reused, strip
 from revlake.languages import FLAGS, LANGUAGES, RUST, LanguageSpec
 from revlake.operators.extraction import by_language
@@ -40,10 +40,10 @@ def score_of(spec: LanguageSpec, source: Column) -> Column:
             total = total + F.regexp_count(code, F.lit(FLAGS + pattern)) * F.lit(weight)
         return total + match_arms(code) if spec is RUST else total
 
-    blanked = blank_literals(spec, source)
+    code = code_only(spec, source)
     if spec.lexed_head:
-        blanked = F.regexp_extract(blanked, r"(?s)\{.*", 0)
-    return let(blanked, count)
+        code = F.regexp_extract(code, r"(?s)\{.*", 0)
+    return let(code, count)
 
 
 def _result(name: Column, score: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.functions.lexing import blank_literals, match_arms
-from revlake.functions.rules import HARDCODED_SECRET
+from revlake.functions.rules import HARDCODED_SECRET, SOURCE_RULES
 from revlake.functions.signing import key_pads, sign_body
 from revlake.languages import GO, JAVASCRIPT, PYTHON, RUST
 from revlake.operators import analytics as A
@@ -155,6 +155,30 @@ def path_exclusion(spark, sf_dir):
     return kept.select("repo_full_name", "pr_number", "file_path")
 
 
+@_register(
+    "language_lookup",
+    _CODE + " SELECT pr_number, language FROM (SELECT pr_number, language FROM code)",
+)
+def language_lookup(spark, sf_dir):
+    names = F.element_at(
+        F.array(*[F.lit(n) for n in ("python", "javascript", "rust", "go", "cobol")]),
+        (F.col("k") % 5 + 1).cast("int"),
+    )
+    return B.orders_code(spark, sf_dir).select("pr_number", D.known_language(names).alias("language"))
+
+
+@_register(
+    "diff_errors",
+    _CODE + " SELECT repo_full_name, pr_number, " + _quoted(P.BAD_DIFF) + " AS reason FROM code WHERE k % 9 = 0",
+)
+def diff_errors(spark, sf_dir):
+    # Cutting off the closing context line leaves the last hunk short of its header.
+    text = F.col("diff_text")
+    cut = F.substring(text, F.lit(1), F.length(text) - len(" after\n"))
+    broken = F.when(F.col("pr_number") % 9 == 0, cut).otherwise(text)
+    return D.diff_errors(B.diffs(spark, sf_dir).withColumn("diff_text", broken))
+
+
 # --- functions and complexity -----------------------------------------------------
 
 
@@ -320,6 +344,42 @@ def secret_rule_scan(spark, sf_dir):
     return hits.select("doc_id", "test_id", "severity", "line_number")
 
 
+# Lines written into order texts, by modulus, and the rule each must trigger.
+_RULE_LINES = (
+    (2, "password = 'short'", None, None),  # too short for a secret
+    (3, "api_key: 'abcdef0123'", "hardcoded-secret", "any"),
+    (4, "value = eval(data)", "eval-call", "python"),
+    (4, "value = eval(data)", "security/detect-eval-with-expression", "javascript"),
+    (5, "re = new RegExp(pattern)", "security/detect-non-literal-regexp", "javascript"),
+    (6, "re = /(a+)+b/", "security/detect-unsafe-regex", "javascript"),
+    (7, "crypto.pseudoRandomBytes(8)", "security/detect-pseudoRandomBytes", "javascript"),
+    (8, "buf = new Buffer(8)", "security/detect-new-buffer", "javascript"),
+    (9, "cp = require('child_process')", "security/detect-child-process", "javascript"),
+    (10, "row[field] = 1", "security/detect-object-injection", "javascript"),
+)
+_RULE_HITS = " UNION ALL ".join(
+    f"SELECT pr_number, '{rule}' AS test_id, "
+    + " + ".join(f"(k % {m} = 0)::INTEGER" for m in sorted({m for m, *_ in _RULE_LINES if m <= modulus}))
+    + f" AS line_number FROM code WHERE k % {modulus} = 0 AND "
+    + ("language IS NOT NULL" if language == "any" else f"language = '{language}'")
+    for modulus, _, rule, language in _RULE_LINES
+    if rule
+)
+
+
+@_register("source_rule_scan", _CODE + " " + _RULE_HITS)
+def source_rule_scan(spark, sf_dir):
+    k = F.col("k")
+    lines = dict((modulus, line) for modulus, line, *_ in _RULE_LINES)
+    text = F.concat_ws("\n", *[F.when(k % m == 0, lines[m]) for m in sorted(lines)])
+    code = B.orders_code(spark, sf_dir)
+    sources = code.select(
+        "pr_number", D.language_of(F.col("file_path")).alias("language"), text.alias("source_code")
+    ).filter(F.col("language").isNotNull())
+    scanned = S.scan_functions(sources)
+    return scanned.select("pr_number", F.inline("issues")).select("pr_number", "test_id", "line_number")
+
+
 _FLAGGED_ISSUES = (
     _RESULTS + ", " + B.REPORTS_CTE + ", kept AS (SELECT issues.*, pr_number FROM issues JOIN ("
     "SELECT " + B.FUNCTION_ID_SQL + " AS function_id, pr_number, bandit_enabled FROM res "
@@ -770,6 +830,33 @@ def webhook_jobs(spark, sf_dir):
     return jobs.select(*_JOB_COLUMNS)
 
 
+@_register(
+    "job_lookup",
+    _SORTED + " SELECT sha256(event_id::VARCHAR) AS task_id, "
+    "CASE WHEN disposition = 'enqueued' THEN 'queued' END AS status, "
+    "CASE WHEN disposition = 'enqueued' THEN pr_number END AS pr_number FROM sorted",
+)
+def job_lookup(spark, sf_dir):
+    events = B.table(spark, sf_dir, "events")
+    tasks = events.select(F.sha2(F.col("event_id").cast("string"), 256).alias("task_id"))
+    jobs = W.jobs_from_deliveries(B.deliveries(spark, sf_dir), B.WEBHOOK_SECRET)
+    return W.jobs_by_task(jobs, tasks).select("task_id", "status", "pr_number")
+
+
+@_register(
+    "job_transitions",
+    _OUTCOME + " SELECT 'task-' || pr_number AS task_id, seq, "
+    "CASE WHEN seq = 1 THEN 'processing' WHEN outcome = 'failed' THEN 'failed' ELSE 'complete' END AS status, "
+    "CASE WHEN seq = 2 AND outcome = 'failed' THEN " + _quoted(P.BAD_REPLY) + " END AS error_message "
+    "FROM spoken, (SELECT unnest([1, 2])::BIGINT AS seq)",
+)
+def job_transitions(spark, sf_dir):
+    jobs = B.orders_code(spark, sf_dir).select(
+        F.format_string("task-%d", F.col("pr_number")).alias("celery_task_id"), "repo_full_name", "pr_number"
+    )
+    return P.job_transitions(_outcomes(spark, sf_dir), jobs).drop("ts")
+
+
 # --- lists ----------------------------------------------------------------------------
 
 _ISO = "strftime(created_at, '%Y-%m-%dT%H:%M:%S')"

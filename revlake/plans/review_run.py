@@ -11,13 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlake.functions.rules import rule_issues
+from revlake.functions.text import pin
 from revlake.languages import LANGUAGES
 from revlake.operators import comments as C
 from revlake.operators.complexity import score_functions
 from revlake.operators.configs import with_run_config
 from revlake.operators.diffs import PR_KEYS, with_consistency
 from revlake.operators.extraction import changed_functions
-from revlake.operators.security import gate_issues, issue_lists, scan_functions, security_issues
+from revlake.operators.security import gate_issues, issue_lists, issue_text, security_issues
 from revlake.operators.triage import POSTED_SEVERITIES, severity_gate, validate_replies
 from revlake.sources.staging import stage
 
@@ -82,21 +84,25 @@ def findings(flagged: DataFrame, replies: DataFrame) -> DataFrame:
     return flagged.join(posted, list(RESULT_KEYS))
 
 
-def with_issue_lists(found: DataFrame, issues: DataFrame | None) -> DataFrame:
+def with_issue_lists(found: DataFrame, issues: DataFrame) -> DataFrame:
     """Attach each function's scanner issues; null when there are none."""
-    if issues is None:
-        # Source rules run over the few texts that got this far, in their rows.
-        scanned = scan_functions(found)
-        texts = F.transform(
-            "issues",
-            lambda i: F.format_string("[%s] %s (severity: %s)", i["test_id"], i["description"], i["severity"]),
-        )
-        wanted = F.coalesce(F.col("bandit_enabled"), F.lit(False)) & (F.size("issues") > 0)
-        return scanned.withColumn("security_issues", F.when(wanted, texts)).drop("issues")
     lists = issue_lists(gate_issues(issues, found.select("function_id", "bandit_enabled")))
     return found.join(lists, "function_id", "left")
 
 
+def with_rule_issues(flagged: DataFrame) -> DataFrame:
+    """Attach what the built-in source rules find, inside each row.
+
+    The source text is dropped here, so that no later join has to move it.
+    """
+    texts = F.transform(
+        "issues", lambda i: issue_text(i["test_id"], i["description"], i["severity"])
+    )
+    wanted = F.coalesce(F.col("bandit_enabled"), F.lit(False)) & (F.size("issues") > 0)
+    scanned = pin(flagged, issues=rule_issues(F.col("source_code"), F.col("language")))
+    return scanned.withColumn("security_issues", F.when(wanted, texts)).drop("issues", "source_code")
+
+
 def review_rows(
     found: DataFrame, style: C.CommentStyle = C.STYLE, created_at: Column | None = None
 ) -> DataFrame:
@@ -289,8 +295,10 @@ def review_run(
         results = stage(results, "results")
     replies = validate_replies(triage_responses)
     flagged = flagged_only(results)
-    issues = None if scan_reports is None else security_issues(scan_reports)
-    found = with_issue_lists(findings(flagged, replies), issues)
+    if scan_reports is None:
+        found = findings(with_rule_issues(flagged), replies)
+    else:
+        found = with_issue_lists(findings(flagged, replies), security_issues(scan_reports))
     failed = failed_prs(flagged, replies, parse_failures(results))
     reviews = without_failed(review_rows(found, style), failed)
     outcomes = pr_outcomes(pr_activity(results, replies), style)

@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from revlake.functions import lexing as X
 from revlake.functions.lexing import match_arms
+from revlake.languages import FLAGS, LANGUAGES
 from revlake.operators import complexity as C
 
 
@@ -53,6 +57,25 @@ def test_rust_lists_inner_functions(spark):
     assert results(spark, "rust", text, 2) == [("outer", 3, True), ("inner", 2, False)]
 
 
+@pytest.mark.parametrize("spec", LANGUAGES, ids=lambda s: s.language)
+def test_counts_over_code_equal_counts_over_blanked_text(spark, spec):
+    pieces = [
+        " if ", "for", " while(", "&&", "||", " ?? ", "?", "case x:", "\n", " match ", "{", "}", "=>", "loop ",
+        "and", " or ", "# x if\n", "// if\n", "/* for */", '"if"', "'while'", "`for`", '"""if\n"""', "/", " x ", "\\", '"', "'",
+    ]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    count = lambda code: sum(
+        (F.regexp_count(code, F.lit(FLAGS + pattern)) for pattern, _ in spec.branch_rules), match_arms(code)
+    )
+    counted = df.select(
+        "t", count(X.code_only(spec, F.col("t"))).alias("a"), count(X.blank_literals(spec, F.col("t"))).alias("b")
+    )
+    for row in counted.collect():
+        assert row.a == row.b, repr(row.t)
+
+
 def test_match_arms_count_per_enclosing_block(spark):
     def arms(text):
         return spark.range(1).select(match_arms(F.lit(text)).alias("n")).first().n
