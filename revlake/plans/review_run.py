@@ -228,19 +228,27 @@ def notifications(outcomes: DataFrame) -> DataFrame:
 def comment_outbox(
     reviews: DataFrame, outcomes: DataFrame, commits: DataFrame | None = None
 ) -> DataFrame:
-    """Comments to deliver: line comments of posted reviews and PR-level ones."""
+    """Comments to deliver: line comments of posted reviews and PR-level ones.
+
+    ``outbox_key`` repeats on a replay, so a comment can be delivered once.
+    """
     line_comments = reviews.filter(F.col("status") == "posted").select(
-        F.lit("review").alias("kind"), *PR_KEYS, F.col("file_path").alias("path"),
+        F.lit("review").alias("kind"), *PR_KEYS, "function_name", F.col("file_path").alias("path"),
         F.col("line_number").alias("line"), F.col("suggestion").alias("body"),
     )
     pr_level = outcomes.filter(F.col("comment_kind").isNotNull()).select(
-        F.col("comment_kind").alias("kind"), *PR_KEYS, F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("int").alias("line"), F.col("comment_body").alias("body"),
+        F.col("comment_kind").alias("kind"), *PR_KEYS, F.lit(None).cast("string").alias("function_name"),
+        F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"),
+        F.col("comment_body").alias("body"),
+    )
+    parts = [F.col(c).cast("string") for c in ("kind", *PR_KEYS, "path", "line", "function_name")]
+    outbox = line_comments.unionByName(pr_level).withColumn(
+        "outbox_key", F.sha2(F.concat_ws(":", *parts), 256)
     )
-    outbox = line_comments.unionByName(pr_level)
+    outbox = outbox.select("outbox_key", "kind", *PR_KEYS, "path", "line", "body")
     if commits is None:
         return outbox.withColumn("commit_sha", F.lit(None).cast("string"))
-    # Few commits per PR, but one PR may hold most comments: AQE splits those.
+    # One commit row per PR; AQE splits a PR that holds most of the comments.
     return outbox.join(C.latest_commits(commits), list(PR_KEYS), "left")
 
 
@@ -292,7 +300,9 @@ def review_run(
     """
     results = scored_results(diffs, configs, keep_all=True, **extraction)
     if staged:
-        results = stage(results, "results")
+        # Only flagged functions are read again with their text.
+        text = F.when(F.col("is_flagged"), F.col("source_code"))
+        results = stage(results.withColumn("source_code", text), "results")
     replies = validate_replies(triage_responses)
     flagged = flagged_only(results)
     if scan_reports is None:

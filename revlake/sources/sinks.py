@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlake import schemas
+
+
+def with_review_defaults(reviews: DataFrame) -> DataFrame:
+    """Review rows in table order, with the stored defaults where a value is missing."""
+    fallback = {name: F.lit(value) for name, value in schemas.REVIEW_DEFAULTS.items()}
+    fallback["created_at"] = F.current_timestamp()
+    return reviews.select(
+        *[
+            F.coalesce(F.col(name), fallback[name]).alias(name) if name in fallback else F.col(name)
+            for name in schemas.REVIEWS.names
+        ]
+    )
+
 
 def append_reviews(reviews: DataFrame, path: str) -> None:
     """Append reviews by repository; rebalancing splits a hot one into several files."""
-    reviews.hint("rebalance", "repo_full_name").write.mode("append").partitionBy(
+    with_review_defaults(reviews).hint("rebalance", "repo_full_name").write.mode("append").partitionBy(
         "repo_full_name"
     ).parquet(path)
 

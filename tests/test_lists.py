@@ -121,6 +121,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (folder / "note.txt").write_text("no")
     (row,) = readers.read_diff_files(spark, str(tmp_path / "diffs")).collect()
     assert (row.repo_full_name, row.pr_number) == ("org/app", 12) and row.diff_text.endswith("+x\n")
+    bare = sinks.with_review_defaults(reviews(spark, review(9, priority=None, status=None, created=None))).first()
+    assert (bare.priority, bare.status) == ("Medium", "pending") and bare.created_at is not None
     table = reviews(spark, review(1), review(2, repo="o/x"))
     path = str(tmp_path / "reviews")
     sinks.append_reviews(table, path)

@@ -115,6 +115,7 @@ def test_outbox_and_notifications(run):
         ("nothing_to_scan", 8), ("all_clear", 9),
     }
     assert outbox["review", 1].commit_sha == "new" and outbox["review", 1].path == "m.py"
+    assert len({r.outbox_key for r in outbox.values()}) == len(outbox)
     told = {json.loads(r.value)["pr_number"] for r in run[0].notifications.collect()}
     assert told == {1, 2, 3, 7, 8, 9}
 
