@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlake.functions.text import blank_to_null, let, newlines, occurrences
+from revlake.functions.text import blank_to_null, let, newlines, occurrences, rest_from
 
 # Hunk header and file header forms of the unified format.
 HUNK_START = r"(?dm)(?=^@@ -\d)"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 TARGET_HEADER = r"^\+\+\+ ([^\t\n\r]+)"
 SOURCE_HEADER = r"^--- ([^\t\n\r]+)"
+GIT_HEADER = "\ndiff --git "
 NO_FILE = "/dev/null"
 
 _ALL = 2**31 - 2
@@ -28,7 +29,8 @@ def hunk_chunks(diff_text: Column) -> Column:
 
 
 def _header_number(header: Column, group: int) -> Column:
-    return F.regexp_extract(header, HUNK_HEADER, group).try_cast("int")
+    digits = F.regexp_extract(header, HUNK_HEADER, group)
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def _is_target(line: Column) -> Column:
@@ -76,35 +78,24 @@ def parsed_hunk(chunk: Column) -> Column:
 
 
 def added_lines(chunk: Column) -> Column:
-    """Added lines of a hunk as (line_no, text) structs."""
+    """Added lines of a hunk as (line_no, text) structs.
 
-    def numbered(hunk: Column) -> Column:
-        lines = F.transform(
-            hunk["target"],
-            lambda line, i: F.struct((hunk["start"] + i).alias("line_no"), line.alias("text")),
-        )
-        kept = F.filter(lines, lambda entry: entry["text"].startswith("+"))
-        return F.transform(
-            kept,
-            lambda entry: F.struct(
-                entry["line_no"].alias("line_no"),
-                F.substring(entry["text"], F.lit(2), F.length(entry["text"])).alias("text"),
-            ),
-        )
-
-    def from_lines(lines: Column) -> Column:
-        header = F.get(lines, F.lit(0))
-        length = F.coalesce(_header_number(header, 4), F.lit(1))
-        body = F.filter(_lines_after_header(lines), _is_target)
-        return let(
-            F.struct(
-                _header_number(header, 3).alias("start"),
-                F.slice(body, F.lit(1), length).alias("target"),
-            ),
-            numbered,
-        )
-
-    return let(F.split(chunk, "\n", -1), from_lines)
+    The texts still begin with their plus sign. A hunk's target-side lines are
+    numbered in order, so no line needs to know the ones before it.
+    """
+    header = F.substring_index(chunk, "\n", 1)
+    start = _header_number(header, 3)
+    length = F.coalesce(_header_number(header, 4), F.lit(1))
+    # Neither the header nor the empty piece behind the last line end matters:
+    # the one is no target line and the other comes after the hunk's own lines.
+    target = F.slice(F.filter(F.split(chunk, "\n", -1), _is_target), F.lit(1), length)
+    numbered = F.zip_with(
+        F.sequence(start, start + length - 1),
+        target,
+        lambda number, line: F.struct(number.alias("line_no"), line.alias("text")),
+    )
+    kept = F.filter(numbered, lambda entry: entry["text"].startswith("+"))
+    return F.when(length > 0, kept).otherwise(F.array().cast("array<struct<line_no:int,text:string>>"))
 
 
 def body_lines(chunk: Column) -> Column:
@@ -192,7 +183,7 @@ def hunk_is_consistent(chunk: Column) -> Column:
             & (c["plus"] + c["minus"] + c["context"] + c["remarks"] == c["lines"])
         )
 
-    own = F.substring_index(chunk, "\ndiff --git ", 1)
+    own = F.substring_index(chunk, GIT_HEADER, 1)
     settled = let(own, lambda text: let(counts(text), agree))
     return F.when(settled, True).otherwise(let(parsed_hunk(chunk), _lines_agree))
 
@@ -223,11 +214,18 @@ def _path_from(target_lines: Column, source_lines: Column) -> Column:
     )
 
 
-def _next_path(chunk: Column, index: Column) -> Column:
+def _header_path(text: Column) -> Column:
+    """Path of the last file header in a text without hunks; null when it has none."""
+    last = lambda header: blank_to_null(F.regexp_extract(text, "(?dms).*" + header, 1))
+    target = last(TARGET_HEADER)
+    return let(F.when(target == NO_FILE, last(SOURCE_HEADER)).otherwise(target), _clean_path)
+
+
+def _next_path(chunk: Column) -> Column:
     """Path of the file whose header ends a chunk; null when none does."""
-    preamble = let(F.split(chunk, "\n", -1), lambda lines: _path_from(lines, lines))
 
     def behind(hunk: Column) -> Column:
+        # Without a git line only the hunk's lengths tell header from body.
         removed = hunk["source_length"] - hunk["target_length"] + hunk["added"]
         plus = F.filter(hunk["lines"], lambda l: l.startswith("+"))
         minus = F.filter(hunk["lines"], lambda l: l.startswith("-"))
@@ -237,8 +235,12 @@ def _next_path(chunk: Column, index: Column) -> Column:
         )
 
     is_hunk = chunk.startswith("@@ -")
-    has_header = chunk.contains("\n+++ ")
-    return F.when(~is_hunk, preamble).when(has_header, let(parsed_hunk(chunk), behind))
+    git = F.instr(chunk, GIT_HEADER)
+    return (
+        F.when(~is_hunk, _header_path(chunk))
+        .when(git > 0, _header_path(rest_from(chunk, git)))
+        .when(chunk.contains("\n+++ "), let(parsed_hunk(chunk), behind))
+    )
 
 
 def file_sections(diff_text: Column) -> Column:
@@ -248,7 +250,7 @@ def file_sections(diff_text: Column) -> Column:
         heads = F.filter(
             F.transform(
                 chunks,
-                lambda chunk, i: F.struct(i.alias("at"), _next_path(chunk, i).alias("path")),
+                lambda chunk, i: F.struct(i.alias("at"), _next_path(chunk).alias("path")),
             ),
             lambda head: head["path"].isNotNull(),
         )

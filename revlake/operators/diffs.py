@@ -121,7 +121,8 @@ def diff_added_lines(diffs: DataFrame, keys: tuple[str, ...] = PR_KEYS) -> DataF
     hunks = diff_files(diffs, keys).select(
         *keys, F.col("file_path").alias("path"), F.posexplode("hunks").alias("hunk", "chunk")
     )
-    return hunks.select(*keys, "path", "hunk", F.inline(unified.added_lines(F.col("chunk"))))
+    lines = hunks.select(*keys, "path", "hunk", F.inline(unified.added_lines(F.col("chunk"))))
+    return lines.withColumn("text", F.expr("substring(text, 2)"))
 
 
 def supported_files(files: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGES) -> DataFrame:
@@ -135,7 +136,10 @@ def added_text(files: DataFrame) -> DataFrame:
     """Replace hunks by the file's added text and the line number of each of its lines."""
     return pin(files, added=_hunk_texts()).select(
         *[c for c in files.columns if c != "hunks"],
-        F.array_join(F.col("added.text"), "\n").alias("added_text"),
+        # Every line gives up its plus sign: the first here, the others at their line end.
+        F.replace(
+            F.expr("substring(array_join(added.text, '\n'), 2)"), F.lit("\n+"), F.lit("\n")
+        ).alias("added_text"),
         F.col("added.line_no").alias("line_numbers"),
     )
 
