@@ -10,7 +10,7 @@ from revlake.languages import FLAGS, LanguageSpec
 
 # Window widths, in signature chunks, tried in turn for the end of a body.
 # The last one always reaches the end of the text, so no body is cut short.
-_WHOLE_TEXT = 2**31 - 1
+_WHOLE_TEXT = 2**30
 BODY_WINDOWS = (1, 4, 16, 64, _WHOLE_TEXT)
 
 OPEN, DROPPED = 0, -1

@@ -20,7 +20,8 @@ SOURCE_HEADER = r"^--- ([^\t\n\r]+)"
 GIT_HEADER = "\ndiff --git "
 NO_FILE = "/dev/null"
 
-_ALL = 2**31 - 2
+# Longer than any array, and still safe to add to a position.
+_ALL = 2**30
 
 
 def hunk_chunks(diff_text: Column) -> Column:
@@ -154,9 +155,20 @@ def _lines_agree(hunk: Column) -> Column:
         & (F.size(own) == hunk["added"] + context + removed)
         & (F.size(F.filter(own, lambda l: l.startswith("-"))) == removed)
         & (F.size(F.filter(own, lambda l: l.startswith("+"))) == hunk["added"])
+        & _headers_pair(hunk, removed)
     )
 
 
+def _headers_pair(hunk: Column, removed: Column) -> Column:
+    """Behind a hunk's own lines a target header needs its source header."""
+    plus = F.slice(F.filter(hunk["lines"], lambda l: l.startswith("+")), hunk["added"] + 1, F.lit(_ALL))
+    minus = F.slice(
+        F.filter(hunk["lines"], lambda l: l.startswith("-")), F.greatest(removed, F.lit(0)) + 1, F.lit(_ALL)
+    )
+    targets = F.size(F.filter(plus, lambda l: l.startswith("+++ ")))
+    return targets <= F.size(F.filter(minus, lambda l: l.startswith("--- ")))
+
+
 def hunk_is_consistent(chunk: Column) -> Column:
     """Whether a hunk's lines agree with the lengths in its header.
 

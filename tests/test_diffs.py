@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,64 @@ def test_exclude_patterns(spark):
     )
     kept = {(r.repo_full_name, r.file_path) for r in D.drop_excluded(files, configs).collect()}
     assert kept == {("r", "src/x.go"), ("r", "axb"), ("other", "docs/a.md")}
+
+
+def random_diff(rng):
+    """A diff text and the added lines it was made from."""
+    contents = ["", "x", "++ b/fake.py", "-- a/fake.py", "+", "-", "@@ -1 +1 @@", "diff --git a/q b/q", " ", "\\", "+++ b/z"]
+    git = rng.random() < 0.5
+    text, expected = "", []
+    for n in range(rng.randrange(1, 4)):
+        path = f"dir/f{n}.py"
+        if git:
+            text += f"diff --git a/{path} b/{path}\nindex 1..2 100644\n"
+        text += f"--- a/{path}\n+++ b/{path}\n"
+        line = 1
+        for hunk in range(rng.randrange(1, 4)):
+            line += rng.randrange(1, 9)
+            body = [(rng.choice("+- "), rng.choice(contents)) for _ in range(rng.randrange(1, 8))]
+            source = sum(kind != "+" for kind, _ in body)
+            target = sum(kind != "-" for kind, _ in body)
+            short = rng.random() < 0.5
+            lengths = ["" if short and size == 1 else f",{size}" for size in (source, target)]
+            text += f"@@ -{line}{lengths[0]} +{line}{lengths[1]} @@ head\n"
+            for kind, content in body:
+                text += kind + content + "\n"
+                if kind == "+":
+                    expected.append((path, hunk, line, content))
+                line += kind != "-"
+            if rng.random() < 0.2:
+                text += "\\ No newline at end of file\n"
+    return text, expected
+
+
+def test_random_diffs_give_back_their_lines(spark):
+    rng = random.Random(7)
+    made = [random_diff(rng) for _ in range(1500)]
+    df = table(spark, *[text for text, _ in made]).repartition(8)
+    found = {}
+    for r in D.diff_added_lines(df, ("pr_number",)).collect():
+        found.setdefault(r.pr_number, []).append((r.path, r.hunk, r.line_no, r.text))
+    listed = {}
+    for r in D.added_only(D.diff_lines(df, ("pr_number",))).collect():
+        listed.setdefault(r.pr_number, []).append((r.path, r.hunk, r.target_line, r.text))
+    for n, (text, expected) in enumerate(made):
+        assert sorted(found.get(n, [])) == sorted(expected), text
+        assert sorted(listed.get(n, [])) == sorted(expected), text
+    assert D.diff_errors(df, ("pr_number",)).count() == 0
+
+
+def test_changed_lengths_are_always_noticed(spark):
+    rng = random.Random(9)
+    broken = []
+    while len(broken) < 500:
+        text, _ = random_diff(rng)
+        lines = text.split("\n")
+        heads = [i for i, line in enumerate(lines) if line.endswith("@@ head")]
+        at = rng.choice(heads)
+        # One more source line than there is, written out even for a length of one.
+        start, size = lines[at].split()[1][1:].partition(",")[::2]
+        lines[at] = lines[at].replace(lines[at].split()[1], f"-{start},{int(size or 1) + 1}", 1)
+        broken.append("\n".join(lines))
+    flagged = D.diff_errors(table(spark, *broken).repartition(8), ("pr_number",)).count()
+    assert flagged == 500

@@ -1,11 +1,12 @@
 import random
+import re
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from revlake.functions import lexing as X
-from revlake.languages import GO, JAVASCRIPT, LANGUAGES, PYTHON, RUST
+from revlake.languages import GO, JAVASCRIPT, JS_RESERVED, LANGUAGES, PYTHON, RUST
 from revlake.operators import extraction as E
 
 
@@ -172,10 +173,10 @@ def test_lines_of_second_hunk(spark):
 
 def test_bodies_wider_than_every_window(spark):
     inner = "\n".join(f"  const f{i} = (x) => {{ return x; }};" for i in range(300))
-    text = f"function outer() {{\n{inner}\n}}\nfunction after() {{ return 1; }}"
+    text = f"function first() {{ }}\nfunction outer() {{\n{inner}\n}}\nfunction after() {{ return 1; }}"
     rows = functions(spark, "a.js", text)
     assert [(r.function_name, r.start_line, r.end_line) for r in rows] == [
-        ("outer", 1, 302), ("after", 303, 303),
+        ("first", 1, 1), ("outer", 2, 303), ("after", 304, 304),
     ]
     rust = "fn outer() {\n" + "\n".join(f"  fn f{i}() {{ }}" for i in range(200)) + "\n}"
     assert len(functions(spark, "a.rs", rust)) == 201
@@ -258,3 +259,65 @@ def test_new_language_is_one_record(spark):
         diffs(spark, new_file("a.swift", "func go(a: Int) {\n  x()\n}")), specs=(*LANGUAGES, swift)
     ).collect()
     assert [(r.function_name, r.language) for r in found] == [("go", "swift")]
+
+
+def brute_force_functions(text, spec):
+    """Names and texts of functions, found by scanning matches one after the other."""
+    reserved = "(?:" + "|".join(JS_RESERVED) + r")\b"
+    pattern = spec.signature.replace("(?!" + reserved + ")", "")
+    pattern = pattern.replace("INDENT", r"(?P<indent>[ \t]*)", 1)
+    for n in range(spec.name_groups):
+        pattern = pattern.replace("NAME", rf"(?P<name{n}>\w+)", 1)
+    found, spans, matches = [], [], []
+    for match in re.finditer(pattern, text, re.MULTILINE):
+        name = next(g for k, g in match.groupdict().items() if k.startswith("name") and g)
+        if spec is not JAVASCRIPT or name not in JS_RESERVED:
+            matches.append((match, name))
+    for n, (match, name) in enumerate(matches):
+        start, rest = match.start(), text[match.end() :]
+        if spec is PYTHON:
+            lines = rest.split("\n")
+            body = [lines[0]]
+            for line in lines[1:]:
+                deeper = line.startswith((match["indent"] + " ", match["indent"] + "\t"))
+                if line.strip() and not deeper:
+                    break
+                body.append(line)
+            source = match[0] + "\n".join(body)
+        elif spec is JAVASCRIPT:
+            if any(s <= start < e for s, e in spans):
+                continue
+            tail = "{" + rest if match[0].endswith("{") else rest
+            # A return type never reaches into the next signature.
+            following = matches[n + 1][0].start() if n + 1 < len(matches) else len(text)
+            if re.match(r"\s*(?::[^;{}]*)?\{", tail[: following - match.end() + len(tail) - len(rest)]):
+                end = brute_force_end(tail, "javascript")
+                taken = len(text) if end == 0 else match.end() - (len(tail) - len(rest)) + end
+            else:
+                taken = match.end() + len(re.match(r"[^;\n]*", rest)[0])
+            source = text[start:taken]
+            spans.append((start, taken))
+        else:
+            end = brute_force_end(rest, spec.language)
+            if spec is RUST and end <= 0:
+                continue
+            source = text[start : match.end() + end] if end else text[start:]
+        found.append((name, source, text[:start].count("\n")))
+    return found
+
+
+@pytest.mark.parametrize("spec", LANGUAGES, ids=lambda s: s.language)
+def test_functions_equal_brute_force(spark, spec):
+    pieces = [
+        "def f(a):", "  def g(b): return 1", "\tasync def h(", "    x = 1", "  y = {", "}", "  }", "", "   ",
+        "function h(x) {", "function i(", "  if (x) {", "while (f(", "const k = y => y", "const of = (a) => {",
+        "var m = function (a) { return '}' }", "  get(a) {", "async put(b)", "{", "foo(function (x) {", "bar(a,",
+        "fn r<T>(t: T) {", "pub(crate) fn s(", "fn fwd();", "  async fn u() -> X { }", "a: i32)", ") {",
+        "func (t *T) M() {", "func N(", '"{', "'}", "`", "// }", "/* {", "*/", "function j(a): Promise<X> {",
+    ]
+    rng = random.Random(23)
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(16))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    for row in df.select("t", X.functions_in(spec, F.col("t")).alias("f")).collect():
+        found = [(f.function_name, f.source, f.first_line) for f in row.f]
+        assert found == brute_force_functions(row.t, spec), repr(row.t)
