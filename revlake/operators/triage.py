@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake import schemas
-from revlake.functions.text import blank_to_null
+from revlake.functions.text import blank_to_null, pin
 from revlake.languages import LANGUAGES
 
 # The reply's enumerations and the severities worth posting.
@@ -126,7 +126,7 @@ def parsed_reply(response_json: Column) -> Column:
 
 def validate_replies(responses: DataFrame) -> DataFrame:
     """Open replies and mark whether they meet the reply schema."""
-    opened = responses.withColumn("_reply", parsed_reply(F.col("response_json")))
+    opened = pin(responses, _reply=parsed_reply(F.col("response_json")))
     reply = F.col("_reply")
     complete = (
         reply["severity"].isin(*SEVERITIES)
