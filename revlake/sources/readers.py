@@ -82,12 +82,12 @@ def read_database_table(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that has fewer splits than the session has cores.
+    """Spread a stored table whose few splits would leave most cores idle.
 
-    Text work is bound by the processor, so a single-split input would leave
-    the other cores idle. A table with enough splits is returned unchanged.
+    Text work is bound by the processor. A table that keeps a quarter of the
+    cores busy is left alone: moving it would cost more than the idle ones.
     """
-    spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 4 > cores:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    return df.repartition(cores, *keys)

@@ -137,3 +137,11 @@ def test_sources_and_sinks(spark, tmp_path):
     staged = staging.stage(table, "t")
     assert staged.count() == 2 and staged.schema == table.schema
     assert staging.shared_folder(spark).rstrip("/") in staged.inputFiles()[0]
+
+
+def test_only_tables_with_few_splits_are_spread(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "many"))
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    many, one = spark.read.parquet(str(tmp_path / "many")), spark.read.parquet(str(tmp_path / "one"))
+    assert readers.spread(many) is many
+    assert readers.spread(one).rdd.getNumPartitions() == 8 and readers.spread(one).count() == 100
