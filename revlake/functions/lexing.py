@@ -15,6 +15,9 @@ BODY_WINDOWS = (1, 4, 16, 64, _WHOLE_TEXT)
 
 OPEN, DROPPED = 0, -1
 
+# Signature chunks folded together before their functions are put in one list.
+FOLD_BLOCK = 128
+
 
 def chunk_pattern(spec: LanguageSpec) -> str:
     """Pattern whose matches cut a text before every signature.
@@ -256,17 +259,36 @@ def functions_in(
             F.when(kept, F.array_append(state["found"], item)).otherwise(state["found"]).alias("found"),
         )
 
-    start = F.struct(
-        F.lit(0).alias("offset"),
-        F.lit(0).alias("breaks"),
-        F.lit(0).alias("covered"),
-        F.array()
-        .cast("array<struct<function_name:string,source:string,first_line:int,lines:int>>")
-        .alias("found"),
-    )
+    item_type = "array<struct<function_name:string,source:string,first_line:int,lines:int>>"
+
+    def state_from(offset: Column, breaks: Column, covered: Column, found: Column) -> Column:
+        return F.struct(
+            offset.alias("offset"), breaks.alias("breaks"), covered.alias("covered"), found.alias("found")
+        )
+
+    # Appending copies an array, so blocks keep the appended ones short; a file
+    # of very many functions then costs little more than its length.
+    def step_block(listed: Column):
+        def step_from(state: Column, first: Column) -> Column:
+            here = state_from(
+                state["offset"], state["breaks"], state["covered"], F.array().cast(item_type)
+            )
+            block = F.aggregate(F.slice(listed, first, FOLD_BLOCK), here, step)
+            return let(
+                block,
+                lambda done: state_from(
+                    done["offset"], done["breaks"], done["covered"],
+                    F.array_append(state["found"], done["found"]),
+                ),
+            )
+
+        return step_from
 
-    def fold(chunks: Column) -> Column:
-        return F.aggregate(entries(chunks), start, step, lambda state: state["found"])
+    start = state_from(F.lit(0), F.lit(0), F.lit(0), F.array().cast(f"array<{item_type}>"))
 
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), fold)
+    def fold(listed: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(listed), F.lit(1)), F.lit(FOLD_BLOCK))
+        return F.aggregate(firsts, start, step_block(listed), lambda state: F.flatten(state["found"]))
 
+    chunks = F.regexp_extract_all(text, pattern, F.lit(0))
+    return let(chunks, lambda parts: let(entries(parts), fold))
