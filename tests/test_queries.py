@@ -15,6 +15,6 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query_equals_its_sql(spark, con, name):
     compare(entry_point.queries()[name](spark, SF_DIR), con, entry_point.oracle_sql()[name])
