@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from revlake.llm.bpe import encode_documents
 from revlake.llm.fingerprints import fingerprint_documents
+from revlake.llm.licenses import scan_licenses
 from revlake.llm.sharding import shard_documents
 from revlake.llm.tables import read
 
@@ -19,9 +22,19 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op8_pair_index_bpe": op8_pair_index_bpe,
+    "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
 }
 
 #: SQL for those of them that SQL can express.
