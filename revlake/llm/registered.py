@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revlake.llm.bpe import encode_documents
 from revlake.llm.fingerprints import fingerprint_documents
+from revlake.llm.langid import identify_languages
 from revlake.llm.licenses import scan_licenses
+from revlake.llm.quality import score_documents
 from revlake.llm.sharding import shard_documents
 from revlake.llm.tables import read
+from revlake.llm.warc import archived_pages
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,18 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
+def op7_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op8_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,9 +48,21 @@ def op9_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op5_fourier_quality": op5_fourier_quality,
+    "op6_warc_salvage": op6_warc_salvage,
+    "op7_hierarchical_language_id": op7_hierarchical_language_id,
     "op8_pair_index_bpe": op8_pair_index_bpe,
     "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
 }
 
 #: SQL for those of them that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc_salvage": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f""",
+}
