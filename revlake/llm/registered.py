@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlake.llm.bpe import encode_documents
 from revlake.llm.fingerprints import fingerprint_documents
 from revlake.llm.langid import identify_languages
 from revlake.llm.licenses import scan_licenses
+from revlake.llm.linededup import dedup_lines
 from revlake.llm.quality import score_documents
 from revlake.llm.sharding import shard_documents
 from revlake.llm.tables import read
@@ -45,6 +47,12 @@ def op9_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["begin"], F.lit("-"), s["end"])), ",")
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed", spans.alias("removed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_feistel_sharding": op3_feistel_sharding,
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hierarchical_language_id": op7_hierarchical_language_id,
     "op8_pair_index_bpe": op8_pair_index_bpe,
     "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
+    "op10_line_window_dedup": op10_line_window_dedup,
 }
 
 #: SQL for those of them that SQL can express.
@@ -65,4 +74,23 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op10_line_window_dedup": """
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        w AS (
+            SELECT doc_id, pos, list_transform(lines[pos + 1:pos + 3], lambda x: trim(x, ' ' || chr(9) || chr(13))) AS three
+            FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM l)),
+        o AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(three, chr(10)) ORDER BY doc_id, pos) AS nth
+            FROM w WHERE array_to_string(three, '') <> ''),
+        c AS (
+            SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos, pos + 3))))) AS gone
+            FROM o WHERE nth > 1 GROUP BY doc_id),
+        j AS (SELECT l.*, coalesce(gone, []) AS gone FROM l LEFT JOIN c USING (doc_id))
+        SELECT doc_id,
+               CASE WHEN len(gone) = 0 THEN text ELSE coalesce(array_to_string(
+                   list_transform(list_filter(range(0, len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '') END AS text,
+               coalesce(len(lines), 0) AS n_lines, len(gone) AS n_removed,
+               coalesce(array_to_string(list_transform(list_filter(gone, lambda i: NOT list_contains(gone, i - 1)),
+                   lambda b: b || '-' || list_min(list_filter(range(b, len(lines) + 1), lambda e: NOT list_contains(gone, e)))), ','), '') AS removed
+        FROM j""",
 }
