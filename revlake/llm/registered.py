@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm.bpe import encode_documents
+from revlake.llm.decontam import find_overlaps
 from revlake.llm.fingerprints import fingerprint_documents
 from revlake.llm.langid import identify_languages
 from revlake.llm.licenses import scan_licenses
@@ -23,6 +24,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
@@ -55,6 +60,7 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op5_fourier_quality": op5_fourier_quality,
     "op6_warc_salvage": op6_warc_salvage,
