@@ -291,3 +291,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     places = written(named.join(lowest, "label").select("key", "n_shingles", "component_id"), "class-components")
     filled = rows.filter("n_shingles > 0").join(places, ["key", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     return filled.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that have the smallest doc_id of their component.
+
+    Rows that repeat a doc_id are one document and stay or go together.
+    """
+    kept = jaccard_components(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    return documents.join(kept, documents["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")

@@ -233,10 +233,17 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG, languages: int = LANGUAG
     )
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document; ``und`` with score 0 for texts without a letter."""
+def predict(documents: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document; ``und`` with score 0 for texts without a letter.
+
+    Columns to ``carry`` come behind these as _carried_0 and so on.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select(
+        "doc_id", (fold() == 2).alias("held_out"), "text", *[F.col(f"`{c}`").alias(f"_carried_{i}") for i, c in enumerate(carry or [])]
+    )
+    kept = [f for f in rows.schema if f.name != "text"]
+    names = [*(f.name for f in kept), "lang_pred", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
@@ -248,11 +255,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                     scores[known] = share
                     for i, lang in zip(np.flatnonzero(known), found, strict=True):
                         langs[i] = lang
-                keys = [b.column(k).slice(low, high - low) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+                columns = [b.column(k).slice(low, high - low) for k in range(b.num_columns) if k != 2]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
-    rows = documents.select("doc_id", (fold() == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    found = rows.mapInArrow(run, schema)
+    return found.select("doc_id", "held_out", "lang_pred", "score", *[f.name for f in kept[2:]])
 
 
 def identify_languages(documents: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
@@ -264,3 +272,17 @@ def identify_languages(documents: DataFrame, per_lang: int = PER_LANG) -> DataFr
     empty table gives no rows; extra columns are ignored.
     """
     return predict(documents, fit(documents, per_lang))
+
+
+def with_language(documents: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """The documents, with all their columns, in which a language was found.
+
+    Texts predicted ``und`` (null, empty, without a letter) go; all others stay
+    as they are. Where nothing is labelled no language can be told, and all
+    documents with a letter stay.
+    """
+    model = fit(documents, per_lang)
+    if not model.langs:
+        return documents.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(documents, model, documents.columns).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(documents.columns)])

@@ -61,7 +61,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     window, and a text all of whose lines go becomes empty. A null doc_id comes
     before all others. Rows with equal id and text are one document: their
     windows share one place, and such rows get equal results. An empty table
-    gives no rows. Columns named as the three new ones are replaced.
+    gives no rows. Columns named as the three new ones are not passed on.
     """
     columns = [c for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -87,3 +87,15 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         "removed": F.when(gone.isNull(), none).otherwise(spans),
         "text": F.when(gone.isNull(), F.col("text")).otherwise(kept),
     }).select(*columns, "n_lines", "n_removed", "removed")
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents, with their own columns, less repeated lines; those of which nothing is left go.
+
+    ``n_chars`` follows the text where there is such a column.
+    """
+    cleaned = dedup_lines(documents).filter(~((F.col("n_removed") > 0) & (F.btrim("text", F.lit(_BLANKS + "\n")) == "")))
+    if "n_chars" in documents.columns:
+        size = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
+    return cleaned.select(*documents.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revlake.llm.bpe import encode_documents
 from revlake.llm.decontam import find_overlaps
 from revlake.llm.fingerprints import fingerprint_documents
+from revlake.llm.jaccard import jaccard_components
 from revlake.llm.langid import identify_languages
 from revlake.llm.licenses import scan_licenses
 from revlake.llm.linededup import dedup_lines
@@ -32,6 +33,10 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_jaccard_metric_join": op4_jaccard_metric_join,
     "op5_fourier_quality": op5_fourier_quality,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_hierarchical_language_id": op7_hierarchical_language_id,
