@@ -22,6 +22,9 @@ NO_FILE = "/dev/null"
 
 # Longer than any array, and still safe to add to a position.
 _ALL = 2**30
+# More lines than a text can have; sums of a few such lengths stay integers.
+# Arrays are never sized by a header's number.
+_NO_LENGTH = 2**28
 
 
 def hunk_chunks(diff_text: Column) -> Column:
@@ -34,6 +37,18 @@ def _header_number(header: Column, group: int) -> Column:
     return F.when(digits != "", digits.try_cast("int"))
 
 
+def _header_length(header: Column, group: int) -> Column:
+    """Length of one side: 1 where it is left out; one beyond any text never agrees with lines."""
+    digits = F.regexp_extract(header, HUNK_HEADER, group)
+    stated = F.least(F.coalesce(digits.try_cast("int"), F.lit(_NO_LENGTH)), F.lit(_NO_LENGTH))
+    return F.when(digits == "", F.lit(1)).otherwise(stated)
+
+
+def _last_number(header: Column) -> Column:
+    """Line number behind a hunk's target side; null when it is none."""
+    return F.try_add(_header_number(header, 3), _header_length(header, 4))
+
+
 def _is_target(line: Column) -> Column:
     return line.startswith("+") | line.startswith(" ") | (line == "") | (line == "\r")
 
@@ -51,9 +66,10 @@ def parsed_hunk(chunk: Column) -> Column:
         header = F.get(lines, F.lit(0))
         return let(
             F.struct(
-                F.coalesce(_header_number(header, 2), F.lit(1)).alias("source_length"),
+                _header_length(header, 2).alias("source_length"),
                 _header_number(header, 3).alias("target_start"),
-                F.coalesce(_header_number(header, 4), F.lit(1)).alias("target_length"),
+                _last_number(header).alias("target_end"),
+                _header_length(header, 4).alias("target_length"),
                 _lines_after_header(lines).alias("lines"),
             ),
             with_target,
@@ -68,6 +84,7 @@ def parsed_hunk(chunk: Column) -> Column:
             lambda own: F.struct(
                 hunk["source_length"].alias("source_length"),
                 hunk["target_start"].alias("target_start"),
+                hunk["target_end"].alias("target_end"),
                 hunk["target_length"].alias("target_length"),
                 hunk["lines"].alias("lines"),
                 own.alias("target"),
@@ -86,17 +103,14 @@ def added_lines(chunk: Column) -> Column:
     """
     header = F.substring_index(chunk, "\n", 1)
     start = _header_number(header, 3)
-    length = F.coalesce(_header_number(header, 4), F.lit(1))
+    length = _header_length(header, 4)
     # Neither the header nor the empty piece behind the last line end matters:
     # the one is no target line and the other comes after the hunk's own lines.
     target = F.slice(F.filter(F.split(chunk, "\n", -1), _is_target), F.lit(1), length)
-    numbered = F.zip_with(
-        F.sequence(start, start + length - 1),
-        target,
-        lambda number, line: F.struct(number.alias("line_no"), line.alias("text")),
+    numbered = F.transform(
+        target, lambda line, i: F.struct(F.try_add(start, i).alias("line_no"), line.alias("text"))
     )
-    kept = F.filter(numbered, lambda entry: entry["text"].startswith("+"))
-    return F.when(length > 0, kept).otherwise(F.array().cast("array<struct<line_no:int,text:string>>"))
+    return F.filter(numbered, lambda entry: entry["text"].startswith("+"))
 
 
 def body_lines(chunk: Column) -> Column:
@@ -122,7 +136,7 @@ def body_lines(chunk: Column) -> Column:
             lambda p, i: entry(
                 p["i"],
                 F.when(p["line"].startswith("+"), "+").otherwise(" "),
-                hunk["target_start"] + i,
+                F.try_add(hunk["target_start"], i),
                 p["line"],
             ),
         )
@@ -149,7 +163,7 @@ def _lines_agree(hunk: Column) -> Column:
         F.greatest(hunk["added"] + context + removed, F.lit(0)),
     )
     return (
-        hunk["target_start"].isNotNull()
+        hunk["target_end"].isNotNull()
         & (removed >= 0)
         & (F.size(hunk["target"]) == hunk["target_length"])
         & (F.size(own) == hunk["added"] + context + removed)
@@ -179,8 +193,9 @@ def hunk_is_consistent(chunk: Column) -> Column:
     def counts(text: Column) -> Column:
         header = F.substring_index(text, "\n", 1)
         return F.struct(
-            F.coalesce(_header_number(header, 2), F.lit(1)).alias("source"),
-            F.coalesce(_header_number(header, 4), F.lit(1)).alias("target"),
+            _header_length(header, 2).alias("source"),
+            _header_length(header, 4).alias("target"),
+            _last_number(header).isNotNull().alias("numbered"),
             occurrences(text, "\n+").alias("plus"),
             occurrences(text, "\n-").alias("minus"),
             occurrences(text, "\n ").alias("context"),
@@ -190,7 +205,8 @@ def hunk_is_consistent(chunk: Column) -> Column:
 
     def agree(c: Column) -> Column:
         return (
-            (c["plus"] + c["context"] == c["target"])
+            c["numbered"]
+            & (c["plus"] + c["context"] == c["target"])
             & (c["minus"] + c["context"] == c["source"])
             & (c["plus"] + c["minus"] + c["context"] + c["remarks"] == c["lines"])
         )
@@ -255,44 +271,51 @@ def _next_path(chunk: Column) -> Column:
     )
 
 
-def file_sections(diff_text: Column) -> Column:
-    """Files of a diff: path and the texts of its hunks, in order."""
+def _sections(chunks: Column) -> Column:
+    heads = F.filter(
+        F.transform(chunks, lambda chunk, i: F.struct(i.alias("at"), _next_path(chunk).alias("path"))),
+        lambda head: head["path"].isNotNull(),
+    )
 
-    def sections(chunks: Column) -> Column:
-        heads = F.filter(
-            F.transform(
-                chunks,
-                lambda chunk, i: F.struct(i.alias("at"), _next_path(chunk).alias("path")),
+    def cut(found: Column) -> Column:
+        last = F.size(chunks) - 1
+        return F.transform(
+            found,
+            lambda head, j: F.struct(
+                head["path"].alias("path"),
+                j.alias("file_no"),
+                F.slice(
+                    chunks, head["at"] + 2, F.coalesce(F.get(found, j + 1)["at"], last) - head["at"]
+                ).alias("hunks"),
             ),
-            lambda head: head["path"].isNotNull(),
         )
 
-        def cut(found: Column) -> Column:
-            last = F.size(chunks) - 1
-            return F.transform(
-                found,
-                lambda head, j: F.struct(
-                    head["path"].alias("path"),
-                    j.alias("file_no"),
-                    F.slice(
-                        chunks,
-                        head["at"] + 2,
-                        F.coalesce(F.get(found, j + 1)["at"], last) - head["at"],
-                    ).alias("hunks"),
-                ),
-            )
+    return let(heads, cut)
 
-        return let(heads, cut)
 
-    return let(hunk_chunks(diff_text), sections)
+def _agrees(chunks: Column) -> Column:
+    hunks = F.filter(chunks, lambda c: c.startswith("@@ -"))
+    rootless = F.get(chunks, F.lit(0)).startswith("@@ -")
+    return ~rootless & F.forall(hunks, hunk_is_consistent)
+
+
+def file_sections(diff_text: Column) -> Column:
+    """Files of a diff: path and the texts of its hunks, in order."""
+    return let(hunk_chunks(diff_text), _sections)
 
 
 def diff_is_consistent(diff_text: Column) -> Column:
     """False when a hunk disagrees with its header or belongs to no file."""
+    return F.coalesce(let(hunk_chunks(diff_text), _agrees), F.lit(True))
 
-    def check(chunks: Column) -> Column:
-        hunks = F.filter(chunks, lambda c: c.startswith("@@ -"))
-        rootless = F.get(chunks, F.lit(0)).startswith("@@ -")
-        return ~rootless & F.forall(hunks, hunk_is_consistent)
 
-    return F.coalesce(let(hunk_chunks(diff_text), check), F.lit(True))
+def checked_sections(diff_text: Column) -> Column:
+    """ok and files of a diff, from one split; a diff that is not consistent has no files."""
+
+    def both(chunks: Column) -> Column:
+        return let(
+            F.coalesce(_agrees(chunks), F.lit(True)),
+            lambda ok: F.struct(ok.alias("ok"), F.when(ok, _sections(chunks)).alias("files")),
+        )
+
+    return let(hunk_chunks(diff_text), both)

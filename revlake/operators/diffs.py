@@ -40,12 +40,48 @@ def known_language(language: Column, specs: tuple[LanguageSpec, ...] = LANGUAGES
     return F.when(language.isin([s.language for s in specs]), language)
 
 
+# Pieces of a glob: a closed bracket, a run of stars, any other character.
+_GLOB_PIECE = r"(?s)\[!?\]?[^\]]*\]|\*+|."
+
+
+def _literal(char: Column) -> Column:
+    return F.when(char.rlike(r"^[A-Za-z0-9\s]$"), char).otherwise(F.concat(F.lit("\\"), char))
+
+
+def _bracket(piece: Column) -> Column:
+    """A bracket as a character class in which every character is quoted."""
+    negated = piece.startswith("[!")
+    start = F.when(negated, 3).otherwise(2)
+    inner = F.substring(piece, start, F.length(piece) - start)
+    first, last = (lambda i: F.substring(i, 1, 1)), (lambda i: F.substring(i, 3, 1))
+    items = F.filter(
+        F.regexp_extract_all(inner, F.lit("(?s).-.|."), F.lit(0)),
+        # A range from a later to an earlier character holds nothing.
+        lambda i: (F.length(i) < 3) | (first(i) <= last(i)),
+    )
+    parts = F.transform(
+        items,
+        lambda i: F.when(F.length(i) == 3, F.concat(_literal(first(i)), F.lit("-"), _literal(last(i)))).otherwise(_literal(i)),
+    )
+    body = F.array_join(parts, "")
+    return (
+        F.when((body == "") & negated, ".").when(body == "", "(?!)")
+        .otherwise(F.concat(F.when(negated, "[^").otherwise("["), body, F.lit("]")))
+    )
+
+
 def glob_to_regex(pattern: Column) -> Column:
-    """A path glob as a whole-path pattern; ``**`` and ``*`` cross folders as in fnmatch."""
-    quoted = F.regexp_replace(pattern, r"([\\.+^$(){}|])", r"\\$1")
-    runs = F.regexp_replace(quoted, r"\*+", ".*")
-    single = F.replace(runs, F.lit("?"), F.lit("."))
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(single, r"\[!", "[^"), F.lit("$"))
+    """A path glob as a whole-path pattern; ``**`` and ``*`` cross folders as in fnmatch.
+
+    Any text gives a valid pattern: an unclosed bracket stands for itself, and
+    what is not part of the glob syntax is quoted.
+    """
+    pieces = F.transform(
+        F.regexp_extract_all(pattern, F.lit(_GLOB_PIECE), F.lit(0)),
+        lambda p: F.when(p.startswith("[") & (F.length(p) > 1), _bracket(p))
+        .when(p.startswith("*"), ".*").when(p == "?", ".").otherwise(_literal(p)),
+    )
+    return F.concat(F.lit("(?s)^"), F.array_join(pieces, ""), F.lit("$"))
 
 
 def exclusion_regex(patterns: Column) -> Column:
@@ -77,6 +113,11 @@ def _sections() -> Column:
     return unified.file_sections(F.col("diff_text"))
 
 
+@reused
+def _checked() -> Column:
+    return unified.checked_sections(F.col("diff_text"))
+
+
 @reused
 def _hunk_texts() -> Column:
     return F.flatten(F.transform("hunks", unified.added_lines))
@@ -95,10 +136,15 @@ def source_files(
 ) -> DataFrame:
     """Files some language handles; the others go before any line is looked at.
 
-    ``keep_all`` keeps a diff without such files as one row of null fields.
+    ``keep_all`` adds ``diff_ok``, keeps a diff without such files as one row of
+    null fields, and takes no files from a diff that does not parse.
     """
-    handled = F.filter(_sections(), lambda f: language_of(f["path"], specs).isNotNull())
-    rows = diffs.select(*keys, (F.inline_outer if keep_all else F.inline)(handled))
+    handled = lambda files: F.filter(files, lambda f: language_of(f["path"], specs).isNotNull())
+    if keep_all:
+        checked = pin(diffs, _diff=_checked())
+        rows = checked.select(*keys, F.col("_diff.ok").alias("diff_ok"), F.inline_outer(handled(F.col("_diff.files"))))
+    else:
+        rows = diffs.select(*keys, F.inline(handled(_sections())))
     return rows.withColumnRenamed("path", "file_path").withColumn(
         "language", language_of(F.col("file_path"), specs)
     )
@@ -144,11 +190,6 @@ def added_text(files: DataFrame) -> DataFrame:
     )
 
 
-def with_consistency(diffs: DataFrame) -> DataFrame:
-    """Add ``diff_ok``: whether every hunk agrees with its header."""
-    return diffs.withColumn("diff_ok", unified.diff_is_consistent(F.col("diff_text")))
-
-
 def diff_errors(diffs: DataFrame, keys: tuple[str, ...] = PR_KEYS) -> DataFrame:
     """Keys of diffs whose hunks disagree with their headers."""
     return diffs.filter(~unified.diff_is_consistent(F.col("diff_text"))).select(

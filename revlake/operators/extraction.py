@@ -91,10 +91,12 @@ def changed_functions(
 
     Pass ``configs`` to apply the repositories' exclude patterns and ``carry``
     to keep more columns of the diff rows. With ``keep_all`` a file or diff
-    without functions stays as a row whose function_name is null, so that
-    later counts need no second look at the diffs.
+    without functions stays as a row whose function_name is null, and
+    ``diff_ok`` tells whether its diff parses, so that later counts need no
+    second look at the diffs.
     """
     files = source_files(diffs, (*keys, *carry), specs, keep_all)
+    carry = (*carry, "diff_ok") if keep_all else carry
     if configs is not None and keep_all:
         marked = with_excluded(files, configs)
         files = marked.withColumn("hunks", F.when(~F.col("is_excluded"), F.col("hunks")))

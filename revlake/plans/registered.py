@@ -155,6 +155,30 @@ def path_exclusion(spark, sf_dir):
     return kept.select("repo_full_name", "pr_number", "file_path")
 
 
+_ODD_GLOBS = (
+    "src/[abc", "src/[!F]/*", "src/[O-F]/*, src/F/f?[!0-4]*", "src/(F|O)/*, **.rs", "docs/n[1\\2]*, src/{a,b",
+)
+
+
+@_register(
+    "path_exclusion_odd_globs",
+    _CODE + ", files AS (SELECT repo_full_name, pr_number, file_path, o_custkey % 5 AS odd FROM code "
+    "UNION ALL SELECT repo_full_name, pr_number, 'docs/n' || k || '.md', o_custkey % 5 FROM code WHERE has_doc = 1) "
+    "SELECT repo_full_name, pr_number, file_path FROM files WHERE NOT CASE odd WHEN 0 THEN FALSE "
+    "WHEN 1 THEN file_path LIKE 'src/%' AND file_path NOT LIKE 'src/F/%' "
+    "WHEN 2 THEN regexp_full_match(file_path, 'src/F/f.[^0-4].*') WHEN 3 THEN file_path LIKE '%.rs' "
+    "ELSE file_path LIKE 'docs/n1%' OR file_path LIKE 'docs/n2%' END",
+)
+def path_exclusion_odd_globs(spark, sf_dir):
+    n = F.col("n_nationkey")
+    odd = F.element_at(F.array(*[F.lit(g) for g in _ODD_GLOBS]), (n % 5 + 1).cast("int"))
+    configs = B.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("org/r"), n.cast("string")).alias("repo_full_name"), odd.alias("exclude_patterns")
+    )
+    kept = D.drop_excluded(D.diff_files(B.diffs(spark, sf_dir)), configs)
+    return kept.select("repo_full_name", "pr_number", "file_path")
+
+
 @_register(
     "language_lookup",
     _CODE + " SELECT pr_number, language FROM (SELECT pr_number, language FROM code)",
@@ -661,6 +685,28 @@ def pr_outcome(spark, sf_dir):
     )
 
 
+@_register(
+    "diff_hostile_headers",
+    _OUTCOME + " SELECT pr_number, CASE WHEN pr_number % 9 < 4 THEN 'failed' ELSE outcome END AS outcome, "
+    "CASE WHEN pr_number % 9 < 4 THEN 0 ELSE function_count END AS function_count FROM spoken",
+)
+def diff_hostile_headers(spark, sf_dir):
+    # Hunks that start or end behind the last number, claim billions of lines, or too few.
+    k, text = F.col("pr_number") % 9, F.col("diff_text")
+    header = r"@@ -(\d+),(\d+) \+(\d+),(\d+) @@"
+    put = lambda new: F.regexp_replace(text, header, new)
+    hostile = (
+        F.when(k == 0, put("@@ -$1,$2 +2147483647,$4 @@")).when(k == 1, put("@@ -$1,$2 +$3,2147483000 @@"))
+        .when(k == 2, put("@@ -$1,99999999999 +2147483647,2147483647 @@")).when(k == 3, put("@@ -$1,$2 +$3,1 @@"))
+        .otherwise(text)
+    )
+    run = P.review_run(
+        B.diffs(spark, sf_dir).withColumn("diff_text", hostile), B.repo_configs(spark, sf_dir),
+        B.triage_responses(spark, sf_dir), B.scan_reports(spark, sf_dir), staged=False,
+    )
+    return run.outcomes.select("pr_number", "outcome", "function_count")
+
+
 @_register(
     "run_summary",
     _OUTCOME + " SELECT pr_number, CASE outcome WHEN 'failed' THEN NULL WHEN 'no_functions' "

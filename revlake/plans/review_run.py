@@ -17,7 +17,7 @@ from revlake.languages import LANGUAGES
 from revlake.operators import comments as C
 from revlake.operators.complexity import score_functions
 from revlake.operators.configs import with_run_config
-from revlake.operators.diffs import PR_KEYS, with_consistency
+from revlake.operators.diffs import PR_KEYS
 from revlake.operators.extraction import changed_functions
 from revlake.operators.security import gate_issues, issue_lists, issue_text, security_issues
 from revlake.operators.triage import POSTED_SEVERITIES, severity_gate, validate_replies
@@ -45,11 +45,8 @@ def scored_results(
     With ``keep_all`` every PR has at least one row and carries ``diff_ok``, so
     this one table holds all that reviews and outcomes need from the diffs.
     """
-    carry = ("pr_title",)
-    if keep_all:
-        diffs, carry = with_consistency(diffs), ("pr_title", "diff_ok")
     found = changed_functions(
-        diffs, configs=configs if apply_exclusions else None, carry=carry, keep_all=keep_all, **extraction
+        diffs, configs=configs if apply_exclusions else None, carry=("pr_title",), keep_all=keep_all, **extraction
     )
     return flag_results(score_functions(found, keep_all=keep_all), configs)
 
