@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from revlake import schemas
+from revlake.functions.strict_json import is_json
 
 ISSUE_TYPE = (
     "array<struct<test_id:string,description:string,severity:string,confidence:string,line_number:int>>"
@@ -40,8 +41,27 @@ def _issue(test_id, description, severity, confidence, line_number) -> Column:
     )
 
 
+def _opened(stdout: Column, schema) -> Column:
+    """A report that is one JSON text as a whole, else null."""
+    return F.from_json(F.when(is_json(stdout), stdout), schema)
+
+
+def is_readable(tool: Column, stdout: Column) -> Column:
+    """Whether a tool's report can be read; an empty one can.
+
+    Reports by line are readable when one line is.
+    """
+    lines = F.split(stdout, "\n", -1)
+    return (
+        F.when(stdout == "", True)
+        .when(tool == "clippy", F.exists(lines, is_json))
+        .when(tool == "gocyclo", F.exists(lines, lambda l: l.rlike(GOCYCLO_LINE)))
+        .otherwise(is_json(stdout))
+    )
+
+
 def bandit_issues(stdout: Column) -> Column:
-    items = F.from_json(stdout, schemas.BANDIT_REPORT)["results"]
+    items = _opened(stdout, schemas.BANDIT_REPORT)["results"]
     return F.transform(
         items,
         lambda i: _issue(
@@ -52,7 +72,7 @@ def bandit_issues(stdout: Column) -> Column:
 
 
 def gosec_issues(stdout: Column) -> Column:
-    items = F.from_json(stdout, schemas.GOSEC_REPORT)["Issues"]
+    items = _opened(stdout, schemas.GOSEC_REPORT)["Issues"]
     return F.transform(
         items,
         lambda i: _issue(
@@ -63,7 +83,7 @@ def gosec_issues(stdout: Column) -> Column:
 
 
 def _eslint_messages(stdout: Column) -> Column:
-    files = F.from_json(stdout, schemas.ESLINT_REPORT)
+    files = _opened(stdout, schemas.ESLINT_REPORT)
     nothing = F.array().cast(schemas.ESLINT_REPORT.elementType["messages"].dataType)
     return F.flatten(F.transform(files, lambda f: F.coalesce(f["messages"], nothing)))
 
@@ -82,7 +102,7 @@ def eslint_security_issues(stdout: Column) -> Column:
 
 
 def clippy_issues(stdout: Column) -> Column:
-    lines = F.transform(F.split(stdout, "\n", -1), lambda l: F.from_json(l, schemas.CLIPPY_LINE))
+    lines = F.transform(F.split(stdout, "\n", -1), lambda l: _opened(l, schemas.CLIPPY_LINE))
     kept = F.filter(
         lines,
         lambda l: _or(l["reason"], "").eqNullSafe("compiler-message")

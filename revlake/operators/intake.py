@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlake import schemas
 from revlake.functions.signing import signature_is_valid
+from revlake.functions.strict_json import is_json
 from revlake.functions.text import pin
 
 # The actions that start a run.
@@ -43,7 +44,7 @@ def classified(deliveries: DataFrame, secret: str) -> DataFrame:
     present = (
         (F.col("repo_full_name") != "") & (F.col("pr_number") != 0) & (F.col("installation_id") != 0)
     )
-    unread = F.col("action").isNull() & F.try_parse_json(F.col("body")).isNull()
+    unread = ~is_json(F.col("body"))
     disposition = (
         F.when(~F.col("is_authentic"), UNAUTHORIZED)
         .when(unread, MALFORMED)

@@ -44,9 +44,7 @@ def complexity_reports(scan_reports: DataFrame, threshold: Column | int) -> Data
 
 def report_health(scan_reports: DataFrame) -> DataFrame:
     """Reports per tool and how many of them could not be read."""
-    whole = F.col("tool").isin("bandit", "gosec", "eslint_security", "eslint_complexity")
-    text = F.col("stdout")
-    unread = whole & (text != "") & F.try_parse_json(text).isNull()
+    unread = ~R.is_readable(F.col("tool"), F.col("stdout"))
     return scan_reports.groupBy("tool").agg(
         F.count("*").alias("reports"), F.count_if(unread).alias("unreadable")
     )

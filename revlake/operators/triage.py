@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake import schemas
+from revlake.functions.strict_json import is_typed_object
 from revlake.functions.text import blank_to_null, pin
 from revlake.languages import LANGUAGES
 
@@ -121,7 +122,15 @@ def resolve_provider(
 
 
 def parsed_reply(response_json: Column) -> Column:
-    return F.from_json(response_json, schemas.TRIAGE_REPLY)
+    """Fields of a reply; null unless the whole text is one JSON object whose fields are strings or null."""
+    return F.when(is_typed_object(response_json, schemas.TRIAGE_REPLY.names), F.from_json(response_json, schemas.TRIAGE_REPLY))
+
+
+def latest_replies(responses: DataFrame) -> DataFrame:
+    """One reply per result: the last by ``reply_seq`` where the table has it, ties by the text."""
+    order = [c for c in ("reply_seq",) if c in responses.columns]
+    last = F.max(F.struct(*order, "response_json"))["response_json"]
+    return responses.groupBy("function_id", "result_name").agg(last.alias("response_json"))
 
 
 def validate_replies(responses: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions.lexing import blank_literals, match_arms
 from revlake.functions.rules import HARDCODED_SECRET, SOURCE_RULES
-from revlake.functions.signing import key_pads, sign_body
+from revlake.functions.signing import key_pads, sign_body, signature_is_valid
 from revlake.languages import GO, JAVASCRIPT, PYTHON, RUST
 from revlake.operators import analytics as A
 from revlake.operators import comments as C
@@ -322,11 +322,17 @@ for _tool in ("bandit", "gosec", "eslint_security", "clippy"):
     "report_unreadable",
     _CODE + " SELECT CASE language WHEN 'python' THEN 'bandit' WHEN 'javascript' THEN 'eslint_security' "
     "WHEN 'rust' THEN 'clippy' ELSE 'gosec' END AS tool, count(*) AS reports, "
-    "count(CASE WHEN k % 13 = 0 AND language <> 'rust' THEN 1 END) AS unreadable "
-    "FROM code WHERE language IS NOT NULL GROUP BY language",
+    "count(CASE WHEN k % 13 = 0 OR k % 13 = 1 AND language <> 'rust' THEN 1 END) AS unreadable "
+    "FROM code WHERE language IS NOT NULL GROUP BY language "
+    "UNION ALL SELECT CASE language WHEN 'go' THEN 'gocyclo' ELSE 'eslint_complexity' END, count(*), "
+    "count(CASE WHEN k % 13 = 0 THEN 1 END) FROM code WHERE language IN ('go', 'javascript') GROUP BY language",
 )
 def report_unreadable(spark, sf_dir):
-    return S.report_health(B.scan_reports(spark, sf_dir))
+    # Some reports go on behind their JSON; a report by line just has one more bad line then.
+    scans = B.scan_reports(spark, sf_dir, ("pr_number",)).withColumn(
+        "stdout", F.when(F.col("pr_number") % 13 == 1, F.concat("stdout", F.lit(" trailing"))).otherwise(F.col("stdout"))
+    )
+    return S.report_health(scans.drop("pr_number").unionByName(B.complexity_tool_reports(spark, sf_dir).drop("repo_full_name")))
 
 
 _TOOL_RESULTS = (
@@ -491,6 +497,23 @@ def triage_validate(spark, sf_dir):
     )
 
 
+@_register(
+    "triage_validate_strict",
+    _CODE + ", " + B.TRIAGE_CTE + " SELECT function_id, is_valid AND pr_number % 5 > 2 AS is_valid FROM triage",
+)
+def triage_validate_strict(spark, sf_dir):
+    # A number and an object in place of a text, and text behind the reply.
+    text, k = F.col("response_json"), F.col("pr_number") % 5
+    summary = r'"summary":"[^"]*"'
+    loose = (
+        F.when(k == 0, F.regexp_replace(text, summary, '"summary":5'))
+        .when(k == 1, F.regexp_replace(text, summary, '"summary":{"x":1}'))
+        .when(k == 2, F.concat(text, F.lit(" and more"))).otherwise(text)
+    )
+    replies = B.triage_responses(spark, sf_dir, ("pr_number",)).withColumn("response_json", loose)
+    return L.validate_replies(replies).select("function_id", "is_valid")
+
+
 @_register(
     "severity_gate",
     _CODE + ", " + B.TRIAGE_CTE + " SELECT function_id, severity, issue_type, summary, suggested_fix, explanation "
@@ -596,7 +619,7 @@ def _run(spark: SparkSession, sf_dir: str) -> P.ReviewRun:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = P.scored_results(B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir), keep_all=True)
-    replies = L.validate_replies(B.triage_responses(spark, sf_dir))
+    replies = L.validate_replies(L.latest_replies(B.triage_responses(spark, sf_dir)))
     return P.pr_outcomes(P.pr_activity(results, replies))
 
 
@@ -685,6 +708,92 @@ def pr_outcome(spark, sf_dir):
     )
 
 
+_WAITING = (
+    _OUTCOME + ", late AS (SELECT spoken.*, (SELECT count(*) FROM joined WHERE joined.pr_number = spoken.pr_number "
+    "AND is_flagged) > 0 AND pr_number % 7 = 1 AS waits FROM spoken) "
+)
+
+
+@_register(
+    "pr_outcome_waiting",
+    _WAITING + "SELECT pr_number, CASE WHEN waits THEN 'waiting' ELSE outcome END AS outcome, "
+    "CASE WHEN waits THEN 0 ELSE reviews_posted END AS reviews_posted, CASE WHEN NOT waits THEN comment_kind END AS comment_kind, "
+    "CASE WHEN waits THEN 'processing' WHEN outcome = 'failed' THEN 'failed' ELSE 'complete' END AS job_status FROM late",
+)
+def pr_outcome_waiting(spark, sf_dir):
+    results = P.scored_results(B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir), keep_all=True)
+    there = B.triage_responses(spark, sf_dir, ("pr_number",)).filter("pr_number % 7 <> 1").drop("pr_number")
+    outcomes = P.pr_outcomes(P.pr_activity(results, L.validate_replies(L.latest_replies(there))))
+    return outcomes.select("pr_number", "outcome", "reviews_posted", "comment_kind", "job_status")
+
+
+@_register(
+    "pr_outcome_repeated_replies",
+    _OUTCOME + " SELECT pr_number, outcome, function_count, analyzed_count, reviews_posted FROM spoken",
+)
+def pr_outcome_repeated_replies(spark, sf_dir):
+    # Every reply comes twice, and an earlier broken one with it.
+    last = B.triage_responses(spark, sf_dir).withColumn("reply_seq", F.lit(2))
+    first = last.withColumn("response_json", F.lit("{")).withColumn("reply_seq", F.lit(1))
+    run = P.review_run(
+        B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir), first.unionByName(last).unionByName(last),
+        B.scan_reports(spark, sf_dir), staged=False,
+    )
+    return run.outcomes.select("pr_number", "outcome", "function_count", "analyzed_count", "reviews_posted")
+
+
+@_register(
+    "repeated_push",
+    _OUTCOME + ", pushes AS (SELECT unnest(['push-1', 'push-2']) AS push) SELECT push || '-' || pr_number AS task_id, "
+    "CASE WHEN push = 'push-2' AND outcome NOT IN ('no_functions', 'nothing_to_scan') THEN 'waiting' ELSE outcome END AS outcome, "
+    "function_count, CASE WHEN push = 'push-2' THEN 0 ELSE reviews_posted END AS reviews, "
+    "CASE WHEN push = 'push-2' THEN 0 ELSE reviews_posted END AS review_ids FROM spoken, pushes",
+)
+def repeated_push(spark, sf_dir):
+    # Two pushes to every PR; only the first one's replies are there yet.
+    diffs, configs = B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir)
+    pushed = diffs.withColumn("_push", F.explode(F.array(F.lit("push-1"), F.lit("push-2")))).withColumn(
+        "task_id", F.concat_ws("-", "_push", F.col("pr_number").cast("string"))
+    ).drop("_push")
+    results = P.scored_results(pushed, configs)
+    first = results.filter(F.col("task_id").startswith("push-1")).select("function_id", "result_name", "pr_number")
+    replies = B.triage_responses(spark, sf_dir, ("pr_number",)).drop("function_id").join(first, ["pr_number", "result_name"])
+    run = P.review_run(pushed, configs, replies.select("function_id", "result_name", "response_json"), staged=False)
+    posted = run.reviews.groupBy("task_id").agg(F.count("*").alias("reviews"), F.count_distinct("review_key").alias("review_ids"))
+    found = run.outcomes.join(posted, "task_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("task_id", "outcome", "function_count", zero("reviews"), zero("review_ids"))
+
+
+@_register(
+    "deliveries_to_reviews",
+    _FUNCTIONS + ", " + B.CONFIGS_CTE + ", " + B.DELIVERIES_CTE + ", runs AS (SELECT sha256(event_id::VARCHAR) AS task_id, event_id, repo_full_name, pr_number, pr_title, "
+    "installation_id FROM sorted JOIN orders ON event_id = o_orderkey WHERE disposition = 'enqueued'), "
+    "scored AS (SELECT runs.*, fns.function_name, fns.score > CASE WHEN cfg.id IS NULL THEN 10 ELSE cfg.cc_threshold END AS is_flagged "
+    "FROM runs JOIN fns ON fns.k = runs.event_id LEFT JOIN cfg ON cfg.repo_full_name = runs.repo_full_name) "
+    "SELECT runs.task_id, runs.repo_full_name, runs.pr_number, count(scored.function_name) AS function_count, "
+    "count(CASE WHEN is_flagged THEN 1 END) AS reviews, max(CASE WHEN is_flagged THEN scored.pr_title END) AS pr_title, "
+    "max(CASE WHEN is_flagged THEN scored.installation_id END) AS installation_id "
+    "FROM runs LEFT JOIN scored USING (task_id) GROUP BY ALL",
+)
+def deliveries_to_reviews(spark, sf_dir):
+    jobs = W.jobs_from_deliveries(B.deliveries(spark, sf_dir), B.WEBHOOK_SECRET)
+    # The diff landed for a task is that of the order with the delivery's number.
+    landed = B.diffs(spark, sf_dir).select(F.sha2(F.col("pr_number").cast("string"), 256).alias("task_id"), "diff_text")
+    diffs, configs = P.diffs_of_jobs(jobs, landed), B.repo_configs(spark, sf_dir)
+    flagged = P.flagged_only(P.scored_results(diffs, configs))
+    replies = flagged.select("function_id", "result_name", F.lit(
+        '{"severity":"high","issue_type":"crash","summary":"s","suggested_fix":null,"explanation":"e"}'
+    ).alias("response_json"))
+    run = P.review_run(diffs, configs, replies, staged=False)
+    posted = run.reviews.groupBy("task_id").agg(F.count("*").alias("reviews"), F.max("pr_title").alias("pr_title"))
+    made = run.outcomes.join(posted, "task_id", "left").join(diffs.select("task_id", "installation_id"), "task_id")
+    return made.select(
+        "task_id", "repo_full_name", "pr_number", "function_count", F.coalesce("reviews", F.lit(0)).alias("reviews"),
+        "pr_title", F.when(F.col("reviews") > 0, F.col("installation_id")).alias("installation_id"),
+    )
+
+
 @_register(
     "diff_hostile_headers",
     _OUTCOME + " SELECT pr_number, CASE WHEN pr_number % 9 < 4 THEN 'failed' ELSE outcome END AS outcome, "
@@ -857,10 +966,18 @@ def webhook_signature(spark, sf_dir):
 
 @_register(
     "webhook_disposition",
-    _SORTED + " SELECT disposition, count(*) AS deliveries FROM sorted GROUP BY disposition",
+    _SORTED + " SELECT CASE WHEN disposition <> 'unauthorized' AND event_id % 7 = 0 THEN 'malformed' ELSE disposition END "
+    "AS disposition, count(*) AS deliveries FROM sorted GROUP BY ALL",
 )
 def webhook_disposition(spark, sf_dir):
-    return W.disposition_counts(B.deliveries(spark, sf_dir), B.WEBHOOK_SECRET)
+    # Every seventh body goes on behind its JSON and is signed as it is.
+    late = F.concat("body", F.lit(" and more"))
+    rows = B.deliveries(spark, sf_dir).withColumn("_late", F.col("delivery_id").cast("long") % 7 == 0)
+    rows = rows.withColumn("signature", F.when(
+        F.col("_late") & signature_is_valid(F.col("body"), F.col("signature"), B.WEBHOOK_SECRET), sign_body(late, B.WEBHOOK_SECRET)
+    ).otherwise(F.col("signature")))
+    rows = rows.withColumn("body", F.when(F.col("_late"), late).otherwise(F.col("body"))).drop("_late")
+    return W.disposition_counts(rows, B.WEBHOOK_SECRET)
 
 
 _JOBS_SQL = (

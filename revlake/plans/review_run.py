@@ -20,19 +20,33 @@ from revlake.operators.configs import with_run_config
 from revlake.operators.diffs import PR_KEYS
 from revlake.operators.extraction import changed_functions
 from revlake.operators.security import gate_issues, issue_lists, issue_text, security_issues
-from revlake.operators.triage import POSTED_SEVERITIES, severity_gate, validate_replies
+from revlake.operators.triage import POSTED_SEVERITIES, latest_replies, severity_gate, validate_replies
 from revlake.sources.staging import stage
 
 RESULT_KEYS = ("function_id", "result_name")
 
 # PR outcomes.
-NO_FUNCTIONS, NOTHING_TO_SCAN, ALL_CLEAR, REVIEWED, FAILED = (
-    "no_functions", "nothing_to_scan", "all_clear", "reviewed", "failed",
+NO_FUNCTIONS, NOTHING_TO_SCAN, ALL_CLEAR, REVIEWED, FAILED, WAITING = (
+    "no_functions", "nothing_to_scan", "all_clear", "reviewed", "failed", "waiting",
 )
 BAD_REPLY = "triage reply does not meet the schema"
 BAD_DIFF = "diff does not match its hunk headers"
 
 
+TASK = "task_id"
+
+
+def run_keys(df: DataFrame) -> tuple[str, ...]:
+    """What tells runs apart: the job's task where the table has it, else the PR alone."""
+    return (TASK, *PR_KEYS) if TASK in df.columns else PR_KEYS
+
+
+def diffs_of_jobs(jobs: DataFrame, landed: DataFrame) -> DataFrame:
+    """Diff rows of a run for each job: its PR, title and installation, and the diff landed for its task."""
+    named = jobs.withColumnRenamed("celery_task_id", TASK)
+    return named.select(TASK, *PR_KEYS, "pr_title", "installation_id").join(landed.select(TASK, "diff_text"), TASK)
+
+
 def scored_results(
     diffs: DataFrame,
     configs: DataFrame,
@@ -46,7 +60,8 @@ def scored_results(
     this one table holds all that reviews and outcomes need from the diffs.
     """
     found = changed_functions(
-        diffs, configs=configs if apply_exclusions else None, carry=("pr_title",), keep_all=keep_all, **extraction
+        diffs, keys=run_keys(diffs), configs=configs if apply_exclusions else None, carry=("pr_title",),
+        keep_all=keep_all, **extraction,
     )
     return flag_results(score_functions(found, keep_all=keep_all), configs)
 
@@ -64,7 +79,7 @@ def flagged_only(results: DataFrame) -> DataFrame:
 
 def pr_counts(results: DataFrame) -> DataFrame:
     """Changed functions and analyzed results per PR."""
-    return results.groupBy(*PR_KEYS).agg(
+    return results.groupBy(*run_keys(results)).agg(
         F.count_if(F.col("result_no") == 0).alias("function_count"),
         F.count_if("is_flagged").alias("analyzed_count"),
     )
@@ -72,7 +87,7 @@ def pr_counts(results: DataFrame) -> DataFrame:
 
 def language_counts(results: DataFrame) -> DataFrame:
     """Analyzed results per PR and language."""
-    return flagged_only(results).groupBy(*PR_KEYS, "language").agg(F.count("*").alias("n"))
+    return flagged_only(results).groupBy(*run_keys(results), "language").agg(F.count("*").alias("n"))
 
 
 def findings(flagged: DataFrame, replies: DataFrame) -> DataFrame:
@@ -111,7 +126,8 @@ def review_rows(
     key = F.concat_ws(":", "function_id", "result_name")
     return found.select(
         F.xxhash64(key).alias("id"),
-        *PR_KEYS,
+        F.sha2(key, 256).alias("review_key"),
+        *run_keys(found),
         "pr_title",
         F.col("result_name").alias("function_name"),
         "file_path",
@@ -125,41 +141,51 @@ def review_rows(
 
 
 def failed_prs(flagged: DataFrame, replies: DataFrame, parse_errors: DataFrame | None = None) -> DataFrame:
-    """PRs whose run fails: a rejected reply to a flagged result, or a bad diff."""
+    """Runs that fail: a rejected reply to a flagged result, or a bad diff."""
+    keys = run_keys(flagged)
     rejected = replies.filter(~F.col("is_valid")).select(*RESULT_KEYS)
-    failed = flagged.join(rejected, list(RESULT_KEYS), "left_semi").select(
-        *PR_KEYS, F.lit(BAD_REPLY).alias("reason")
-    )
+    failed = flagged.join(rejected, list(RESULT_KEYS), "left_semi").select(*keys, F.lit(BAD_REPLY).alias("reason"))
     if parse_errors is not None:
-        failed = failed.unionByName(parse_errors.select(*PR_KEYS, "reason"))
-    return failed.groupBy(*PR_KEYS).agg(F.min("reason").alias("error_message"))
+        failed = failed.unionByName(parse_errors.select(*keys, "reason"))
+    # A bad diff has no results, so a run has one reason at most.
+    return failed.groupBy(*keys).agg(F.bool_or(F.col("reason") == BAD_REPLY).alias("_reply")).select(
+        *keys, F.when(F.col("_reply"), BAD_REPLY).otherwise(BAD_DIFF).alias("error_message")
+    )
+
+
+def waiting_prs(flagged: DataFrame, replies: DataFrame) -> DataFrame:
+    """Runs with a flagged result that nobody has replied to yet."""
+    return flagged.join(replies.select(*RESULT_KEYS), list(RESULT_KEYS), "left_anti").select(*run_keys(flagged)).distinct()
 
 
 def parse_failures(results: DataFrame) -> DataFrame:
-    """PRs whose diff does not parse, from ``keep_all`` results."""
-    return results.filter(~F.col("diff_ok")).select(*PR_KEYS, F.lit(BAD_DIFF).alias("reason"))
+    """Runs whose diff does not parse, from ``keep_all`` results."""
+    return results.filter(~F.col("diff_ok")).select(*run_keys(results), F.lit(BAD_DIFF).alias("reason"))
 
 
 def without_failed(reviews: DataFrame, failed: DataFrame) -> DataFrame:
-    """All or nothing per PR: a failed run keeps none of its reviews."""
-    return reviews.join(failed.select(*PR_KEYS), list(PR_KEYS), "left_anti")
+    """All or nothing per run: one that failed, or still waits, keeps none of its reviews."""
+    keys = run_keys(failed)
+    return reviews.join(failed.select(*keys), list(keys), "left_anti")
 
 
 def pr_activity(results: DataFrame, replies: DataFrame) -> DataFrame:
-    """Everything an outcome needs, per PR, from one grouping of ``keep_all`` results."""
+    """Everything an outcome needs, per run, from one grouping of ``keep_all`` results."""
+    keys = run_keys(results)
     narrow = results.select(
-        *PR_KEYS, *RESULT_KEYS, "result_no", "language", "is_flagged", "diff_ok", "auto_post", "post_all_clear"
+        *keys, *RESULT_KEYS, "result_no", "language", "is_flagged", "diff_ok", "auto_post", "post_all_clear"
     )
     answers = replies.select(*RESULT_KEYS, "severity", "is_valid")
     # A row without a function keeps a function_id of its own, which matches no
     # reply and spreads such rows over all partitions.
     answered = narrow.join(answers, list(RESULT_KEYS), "left")
     flagged, valid = F.col("is_flagged"), F.col("is_valid")
-    return answered.groupBy(*PR_KEYS).agg(
+    return answered.groupBy(*keys).agg(
         F.count_if(F.col("result_no") == 0).alias("function_count"),
         F.count_if(flagged).alias("analyzed_count"),
         F.count_if(flagged & valid & F.col("severity").isin(*POSTED_SEVERITIES)).alias("reviews_posted"),
         F.count_if(flagged & ~valid).alias("rejected_replies"),
+        F.count_if(flagged & valid.isNull()).alias("missing_replies"),
         F.bool_and("diff_ok").alias("diff_ok"),
         F.bool_or("auto_post").alias("auto_post"),
         F.bool_or("post_all_clear").alias("post_all_clear"),
@@ -168,7 +194,12 @@ def pr_activity(results: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFrame:
-    """Outcome, PR-level comment and run summary of every PR."""
+    """Outcome, PR-level comment and run summary of every run.
+
+    A run whose flagged results do not all have a reply waits: it has no
+    comment, posts nothing, and its job stays in processing.
+    """
+    keys = run_keys(activity)
     functions, analyzed, posted = (
         F.col(name) for name in ("function_count", "analyzed_count", "reviews_posted")
     )
@@ -177,6 +208,7 @@ def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFra
         F.when(error.isNotNull(), FAILED)
         .when(functions == 0, NO_FUNCTIONS)
         .when((analyzed == 0) & (posted == 0), NOTHING_TO_SCAN)
+        .when(F.col("missing_replies") > 0, WAITING)
         .when(posted == 0, ALL_CLEAR)
         .otherwise(REVIEWED)
     )
@@ -188,11 +220,11 @@ def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFra
     )
     speaks = F.coalesce(F.col("post_all_clear") & F.col("auto_post"), F.lit(False))
     base = activity.select(
-        *PR_KEYS,
+        *keys,
         outcome.alias("outcome"),
         "function_count",
         "analyzed_count",
-        F.when(error.isNull(), posted).otherwise(F.lit(0)).alias("reviews_posted"),
+        F.when(outcome.isin(FAILED, WAITING), F.lit(0)).otherwise(posted).alias("reviews_posted"),
         error.alias("error_message"),
         speaks.alias("_speaks"),
         C.language_breakdown(counts).alias("_breakdown"),
@@ -206,18 +238,19 @@ def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFra
     )
     message = (
         F.when(F.col("outcome") == NO_FUNCTIONS, "No analyzable functions changed")
-        .when(F.col("outcome") != FAILED, F.format_string("Analyzed %d functions", F.col("function_count")))
+        .when(~F.col("outcome").isin(FAILED, WAITING), F.format_string("Analyzed %d functions", F.col("function_count")))
     )
     return base.select(
-        *PR_KEYS, "outcome", "function_count", "analyzed_count", "reviews_posted", "error_message",
+        *keys, "outcome", "function_count", "analyzed_count", "reviews_posted", "error_message",
         kind.alias("comment_kind"), body.alias("comment_body"), message.alias("message"),
-        F.when(F.col("outcome") == FAILED, "failed").otherwise("complete").alias("job_status"),
+        F.when(F.col("outcome") == FAILED, "failed").when(F.col("outcome") == WAITING, "processing")
+        .otherwise("complete").alias("job_status"),
     )
 
 
 def notifications(outcomes: DataFrame) -> DataFrame:
-    """One message per finished PR that had functions."""
-    heard = outcomes.filter(~F.col("outcome").isin(NO_FUNCTIONS, FAILED))
+    """One message per finished run that had functions."""
+    heard = outcomes.filter(~F.col("outcome").isin(NO_FUNCTIONS, FAILED, WAITING))
     event = F.struct(F.lit("reviews_updated").alias("event"), F.col("pr_number"))
     return heard.select(F.lit("reviews_updates").alias("key"), F.to_json(event).alias("value"))
 
@@ -229,20 +262,21 @@ def comment_outbox(
 
     ``outbox_key`` repeats on a replay, so a comment can be delivered once.
     """
+    keys = run_keys(outcomes)
     line_comments = reviews.filter(F.col("status") == "posted").select(
-        F.lit("review").alias("kind"), *PR_KEYS, "function_name", F.col("file_path").alias("path"),
+        F.lit("review").alias("kind"), *keys, "function_name", F.col("file_path").alias("path"),
         F.col("line_number").alias("line"), F.col("suggestion").alias("body"),
     )
     pr_level = outcomes.filter(F.col("comment_kind").isNotNull()).select(
-        F.col("comment_kind").alias("kind"), *PR_KEYS, F.lit(None).cast("string").alias("function_name"),
+        F.col("comment_kind").alias("kind"), *keys, F.lit(None).cast("string").alias("function_name"),
         F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"),
         F.col("comment_body").alias("body"),
     )
-    parts = [F.col(c).cast("string") for c in ("kind", *PR_KEYS, "path", "line", "function_name")]
+    parts = [F.col(c).cast("string") for c in ("kind", *keys, "path", "line", "function_name")]
     outbox = line_comments.unionByName(pr_level).withColumn(
         "outbox_key", F.sha2(F.concat_ws(":", *parts), 256)
     )
-    outbox = outbox.select("outbox_key", "kind", *PR_KEYS, "path", "line", "body")
+    outbox = outbox.select("outbox_key", "kind", *keys, "path", "line", "body")
     if commits is None:
         return outbox.withColumn("commit_sha", F.lit(None).cast("string"))
     # One commit row per PR; AQE splits a PR that holds most of the comments.
@@ -250,23 +284,18 @@ def comment_outbox(
 
 
 def job_transitions(outcomes: DataFrame, jobs: DataFrame, ts: Column | None = None) -> DataFrame:
-    """Status events to append for jobs of the PRs in ``outcomes``."""
-    rows = jobs.join(
-        outcomes.select(*PR_KEYS, F.col("job_status"), F.col("error_message").alias("_error")), list(PR_KEYS)
-    )
+    """Status events to append for the jobs of ``outcomes``: by task where outcomes tell it, else by PR."""
+    keys = run_keys(outcomes)
+    found = outcomes.select(*keys, F.col("job_status"), F.col("error_message").alias("_error"))
+    named = jobs.withColumnRenamed("celery_task_id", TASK)
+    rows = named.select(TASK, *PR_KEYS).join(found, [TASK] if TASK in keys else list(PR_KEYS))
     when = F.current_timestamp() if ts is None else ts
-    return rows.select(
-        F.col("celery_task_id").alias("task_id"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("processing").alias("status"),
-                         F.lit(None).cast("string").alias("error_message")),
-                F.struct(F.lit(2).cast("bigint").alias("seq"), F.col("job_status").alias("status"),
-                         F.col("_error").alias("error_message")),
-            )
-        ),
-        when.alias("ts"),
+    event = lambda seq, status, error: F.struct(
+        F.lit(seq).cast("bigint").alias("seq"), status.alias("status"), error.cast("string").alias("error_message")
     )
+    begun, done = event(1, F.lit("processing"), F.lit(None)), event(2, F.col("job_status"), F.col("_error"))
+    events = F.when(F.col("job_status") == "processing", F.array(begun)).otherwise(F.array(begun, done))
+    return rows.select(TASK, F.inline(events), when.alias("ts"))
 
 
 @dataclass(frozen=True)
@@ -292,7 +321,8 @@ def review_run(
 
     The diffs are read in one pass. The run's outputs all start from the scored
     results, so those are written once to the shared checkpoint folder unless
-    ``staged`` is false. Without scanner reports the built-in source rules take
+    ``staged`` is false. Where diffs carry a ``task_id`` every task is a run of
+    its own, else every PR is one. Without scanner reports the built-in source rules take
     their place.
     """
     results = scored_results(diffs, configs, keep_all=True, **extraction)
@@ -300,14 +330,15 @@ def review_run(
         # Only flagged functions are read again with their text.
         text = F.when(F.col("is_flagged"), F.col("source_code"))
         results = stage(results.withColumn("source_code", text), "results")
-    replies = validate_replies(triage_responses)
+    replies = validate_replies(latest_replies(triage_responses))
     flagged = flagged_only(results)
     if scan_reports is None:
         found = findings(with_rule_issues(flagged), replies)
     else:
         found = with_issue_lists(findings(flagged, replies), security_issues(scan_reports))
     failed = failed_prs(flagged, replies, parse_failures(results))
-    reviews = without_failed(review_rows(found, style), failed)
+    unfinished = failed.select(*run_keys(failed)).unionByName(waiting_prs(flagged, replies))
+    reviews = without_failed(review_rows(found, style), unfinished)
     outcomes = pr_outcomes(pr_activity(results, replies), style)
     return ReviewRun(
         results, reviews, outcomes, comment_outbox(reviews, outcomes, commits), notifications(outcomes)

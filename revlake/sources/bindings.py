@@ -343,7 +343,7 @@ def _issue_numbers() -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_reports(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """A security report per source file, holding 0–3 issues; some cannot be read."""
     code = orders_code(spark, sf_dir).filter(F.col("k") % 5 != 4)
     k = F.col("k")
@@ -431,6 +431,7 @@ def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         _first_function_id().alias("function_id"),
         tool.alias("tool"),
         F.when(k % 13 == 0, F.substring(stdout, 1, 9)).otherwise(stdout).alias("stdout"),
+        *carry,
     )
 
 
@@ -493,7 +494,7 @@ _ISSUE_TYPE_SQL = (
 )
 
 
-def triage_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triage_responses(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """A reply per order's first function; some break the reply schema."""
     code = orders_code(spark, sf_dir).filter(F.col("k") % 5 != 4)
     k = F.col("k")
@@ -511,6 +512,7 @@ def triage_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         _first_function_id().alias("function_id"),
         F.concat(F.lit("f"), k.cast("string")).alias("result_name"),
         F.when(k % 23 == 0, F.concat(F.lit("{"), reply)).otherwise(reply).alias("response_json"),
+        *carry,
     )
 
 

@@ -39,7 +39,7 @@ def run(spark):
         ("org/a", 6, "--- a/m.py\n+++ b/m.py\n@@ -1 +1,9 @@\n+def f(): pass\n"),  # bad diff: failed
         ("org/quiet", 7, new_file("m.py", branchy("big", 5))),  # stays pending, says nothing
         ("org/null", 8, new_file("m.py", branchy("big", 30))),  # null threshold flags nothing
-        ("org/a", 9, new_file("m.py", branchy("big", 12))),  # no reply yet: analyzed, no review
+        ("org/a", 9, new_file("m.py", branchy("big", 12))),  # no reply yet: waits
     ]
     diffs = spark.createDataFrame(
         [(r, n, f"title {n}", d) for r, n, d in prs],
@@ -82,11 +82,12 @@ def test_outcomes(run):
     rows = {r.pr_number: r for r in run[0].outcomes.collect()}
     assert {n: r.outcome for n, r in rows.items()} == {
         1: "reviewed", 2: "all_clear", 3: "nothing_to_scan", 4: "no_functions", 5: "failed", 6: "failed",
-        7: "reviewed", 8: "nothing_to_scan", 9: "all_clear",
+        7: "reviewed", 8: "nothing_to_scan", 9: "waiting",
     }
     assert {n: r.comment_kind for n, r in rows.items() if r.comment_kind} == {
-        2: "all_clear", 3: "nothing_to_scan", 4: "nothing_to_scan", 8: "nothing_to_scan", 9: "all_clear",
+        2: "all_clear", 3: "nothing_to_scan", 4: "nothing_to_scan", 8: "nothing_to_scan",
     }
+    assert (rows[9].job_status, rows[9].reviews_posted, rows[9].message) == ("processing", 0, None)
     assert rows[5].error_message == P.BAD_REPLY and rows[6].error_message == P.BAD_DIFF
     assert rows[5].reviews_posted == 0 and rows[5].job_status == "failed"
     assert (rows[3].message, rows[4].message) == ("Analyzed 1 functions", "No analyzable functions changed")
@@ -112,22 +113,22 @@ def test_outbox_and_notifications(run):
     outbox = {(r.kind, r.pr_number): r for r in run[0].outbox.collect()}
     assert set(outbox) == {
         ("review", 1), ("all_clear", 2), ("nothing_to_scan", 3), ("nothing_to_scan", 4),
-        ("nothing_to_scan", 8), ("all_clear", 9),
+        ("nothing_to_scan", 8),
     }
     assert outbox["review", 1].commit_sha == "new" and outbox["review", 1].path == "m.py"
     assert len({r.outbox_key for r in outbox.values()}) == len(outbox)
     told = {json.loads(r.value)["pr_number"] for r in run[0].notifications.collect()}
-    assert told == {1, 2, 3, 7, 8, 9}
+    assert told == {1, 2, 3, 7, 8}
 
 
 def test_job_transitions(spark, run):
     jobs = spark.createDataFrame(
-        [("t1", "org/a", 1), ("t5", "org/a", 5)], "celery_task_id string, repo_full_name string, pr_number long"
+        [("t1", "org/a", 1), ("t5", "org/a", 5), ("t9", "org/a", 9)], "celery_task_id string, repo_full_name string, pr_number long"
     )
     events = P.job_transitions(run[0].outcomes, jobs).collect()
     assert sorted((e.task_id, e.seq, e.status, e.error_message) for e in events) == [
         ("t1", 1, "processing", None), ("t1", 2, "complete", None),
-        ("t5", 1, "processing", None), ("t5", 2, "failed", P.BAD_REPLY),
+        ("t5", 1, "processing", None), ("t5", 2, "failed", P.BAD_REPLY), ("t9", 1, "processing", None),
     ]
 
 
