@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ ALIKE = 80  # of 100
 EPSILON = 1 - ALIKE / 100
 LEAF = 64
 PIVOTS = 8
+#: Sets on each side of a block, and the pairs of a region up to which it is joined in blocks.
+BLOCK = 256
+BLOCK_PAIRS = 1 << 28
 #: Of larger sets only shingles with a hash below this share are counted first.
 SAMPLED = 0.3
 _SMALL = 64
@@ -207,6 +211,50 @@ def _near(x: str | Column, y: str | Column) -> Column:
     return F.abs(x - y) <= EPSILON + 1e-9
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the two sides of a block; of each key one to every component it reaches."""
+    sides = []
+    for left in (True, False):
+        rows = table.filter(pc.equal(table.column("left"), left)).combine_chunks()
+        lists = rows.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sides.append((rows.column("key").to_numpy(), rows.column("label").to_numpy(), n, lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)))
+    (ka, la, na, sa, oa), (kb, lb, nb, sb, ob) = sides
+    common = np.intersect1d(sa, sb)
+    shared = np.zeros((len(ka), len(kb)), np.float32)
+    for low in range(0, len(common), 8192):
+        part = common[low : low + 8192]
+        marks = []
+        for s, o, rows in ((sa, oa, len(ka)), (sb, ob, len(kb))):
+            at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+            hit = part[at] == s
+            m = np.zeros((rows, len(part)), np.float32)
+            m[o[hit], at[hit]] = 1
+            marks.append(m)
+        shared += marks[0] @ marks[1].T
+    both = shared.astype(np.int64)
+    link = (100 * both >= ALIKE * (na[:, None] + nb[None, :] - both)) & (la[:, None] != lb[None, :])
+    i, j = np.nonzero(link)
+    _, first = np.unique(np.column_stack([la[i], j]), axis=0, return_index=True)
+    return pa.table({"a": pa.array(ka[i[first]]), "b": pa.array(kb[j[first]])})
+
+
+def _linked_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of a region's others with its members, block by block; no pair leaves its block unlinked."""
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    held = inside.join(sets.select("key", "shingles"), "key")
+    place = F.pmod(F.xxhash64("key", F.lit("block")), parts("all")).cast("int")
+    other = F.pmod(F.xxhash64("key", F.lit("block")), parts("others")).cast("int")
+    columns = ("region", "key", "label", "shingles")
+    left = held.select(*columns, F.lit(True).alias("left"), place.alias("i"), F.explode(F.sequence(F.lit(0), parts("others") - 1)).alias("j"))
+    right = held.filter("label <> main").select(
+        *columns, F.lit(False).alias("left"), other.alias("j"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("i")
+    )
+    blocks = left.unionByName(right).groupBy("region", "i", "j")
+    return blocks.applyInArrow(_block_links, "a long, b long")
+
+
 def linked_components(sets: DataFrame) -> DataFrame:
     """key and label of classes that link with another; equal labels are one component."""
     first = written(measured(regions_of_rare_shingles(sets), sets, "key", "region"), "regions")
@@ -236,8 +284,12 @@ def linked_components(sets: DataFrame) -> DataFrame:
         )
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(_edges(measured(pairs, sets, "a", "b"), "a", "b"))
-        # Many others: more pivots, cells around them, and replicas within the windows.
-        many = written(inside.filter(F.col("others") > LEAF).select("region", "key", "d", "all"), "large-regions")
+        # More others: members and others meet in blocks, which hold each set for BLOCK pairs.
+        more = (F.col("others") > LEAF) & (F.col("others") * F.col("all") <= BLOCK_PAIRS)
+        found.append(_linked_in_blocks(inside.filter(more), sets))
+        # Very many others: more pivots, cells around them, and replicas within the windows.
+        large = (F.col("others") > LEAF) & (F.col("others") * F.col("all") > BLOCK_PAIRS)
+        many = written(inside.filter(large).select("region", "key", "d", "all"), "large-regions")
         rest = many.select("region", "key", "d").limit(0)
         if not many.isEmpty():
             draw = F.pmod(F.xxhash64("key", "region", F.lit(pivots)), F.lit(1 << 30))
@@ -258,8 +310,8 @@ def linked_components(sets: DataFrame) -> DataFrame:
             whole = nearest.join(gain.filter("not split"), "region").select("region", "key", F.col("old").alias("d"))
             rest = written(split.unionByName(whole), "cells-left")
             pivots *= 2
-        for more in found:
-            edges = edges.unionByName(more)
+        for links in found:
+            edges = edges.unionByName(links)
         edges = written(edges.distinct(), "links")
         members = rest
 
