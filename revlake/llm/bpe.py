@@ -47,20 +47,28 @@ def library_characters() -> dict[str, object]:
     from tokenizers.normalizers import Lowercase
     from tokenizers.pre_tokenizers import Split
 
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-
-    def ranges(name: str) -> list[tuple[int, int]]:
-        left = "".join(part for part, _ in Split(Regex(name), "removed").pre_tokenize_str(text))
-        points = np.setdiff1d(np.fromiter(map(ord, text), np.int64), np.fromiter(map(ord, left), np.int64))
+    lower = Lowercase()
+    classes = {name: Split(Regex(name), "removed") for name in (r"\p{L}", r"\p{N}", r"\s")}
+    found: dict[str, list[np.ndarray]] = {name: [] for name in classes}
+    other: dict[int, str] = {}
+    for first in range(0, 0x110000, 0x8000):  # a part at a time, to spare the driver's memory
+        points = [c for c in range(first, first + 0x8000) if not 0xD800 <= c < 0xE000]
+        every = [chr(c) for c in points]
+        text = "".join(every)
+        for name, split in classes.items():
+            left = "".join(part for part, _ in split.pre_tokenize_str(text))
+            found[name].append(np.setdiff1d(np.array(points), np.fromiter(map(ord, left), np.int64)))
+        # Each character between line feeds; the line feed itself has no case.
+        lowered = lower.normalize_str("\n".join(c if c != "\n" else " " for c in every)).split("\n")
+        other |= {ord(c): low for c, low in zip(every, lowered, strict=True) if c != "\n" and c.lower() != low}
+
+    def ranges(parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        points = np.concatenate(parts)
         cuts = np.flatnonzero(np.diff(points) > 1)
         low, high = np.append(points[:1], points[cuts + 1]), np.append(points[cuts], points[-1:])
         return list(zip(low.tolist(), high.tolist(), strict=True))
 
-    lowered = Lowercase().normalize_str("\n".join(every)).split("\n")
-    lowered[10:12] = ["\n"]  # the line feed itself
-    other = {ord(c): low for c, low in zip(every, lowered, strict=True) if c.lower() != low}
-    return {name: ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")} | {"lower": other}
+    return {name: ranges(parts) for name, parts in found.items()} | {"lower": other}
 
 
 def _pattern(word: str, characters: dict[str, object], top: int) -> re.Pattern[str]:

@@ -12,11 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """key and label (the smallest key that can be reached) of all ends of edges a, b.
 
     Each round connects the larger neighbours of every key to its smallest one,
-    then the smaller ones; the rounds end when no edge changes. Smallest keys
+    then the smaller ones; the rounds end when only stars are left. Smallest keys
     are partial aggregates, so a key with many edges is no large group.
     """
     e = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct()
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -24,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         e = written(small.unionByName(low.select(F.col("m").alias("u"), "v")).distinct(), "stars")
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        now = (row["n"], row["s"])
-        if now == before:
+        # Stars already: each end has one centre, and no centre is an end.
+        ends = e.select(F.col("v").alias("k"), F.lit(1).alias("end")).unionByName(e.select(F.col("u").alias("k"), F.lit(0).alias("end")).distinct())
+        mixed = ends.groupBy("k").agg(F.sum("end").alias("ends"), F.count("*").alias("n")).filter("n > 1 and ends > 0")
+        if mixed.isEmpty():
             return e.select(F.col("v").alias("key"), F.col("u").alias("label")).unionByName(
                 e.select(F.col("u").alias("key"), F.col("u").alias("label")).distinct()
             )
-        before = now

@@ -36,7 +36,7 @@ EPSILON = 1 - ALIKE / 100
 LEAF = 64
 PIVOTS = 8
 #: Sets on each side of a block, and the pairs of a region up to which it is joined in blocks.
-BLOCK = 256
+BLOCK = 512
 BLOCK_PAIRS = 1 << 28
 #: Of larger sets only shingles with a hash below this share are counted first.
 SAMPLED = 0.3
