@@ -34,17 +34,25 @@ def _round(value: Column, i: int, seed: int, modulus: int) -> Column:
     return F.pmod(F.xxhash64(value, F.lit(i).cast("long"), F.lit(seed).cast("long")), F.lit(modulus).cast("long"))
 
 
+def _step(i: int, seed: int, a: int, b: int, sign: int):
+    def odd(p: Column) -> Column:
+        moved = F.pmod(p["r"] + sign * _round(p["l"], i, seed, b), F.lit(b).cast("long"))
+        return F.struct(p["l"].alias("l"), moved.alias("r"))
+
+    def even(p: Column) -> Column:
+        moved = F.pmod(p["l"] + sign * _round(p["r"], i, seed, a), F.lit(a).cast("long"))
+        return F.struct(moved.alias("l"), p["r"].alias("r"))
+
+    return odd if i % 2 else even
+
+
 def _network(x: Column, n: int, seed: int, rounds: range, sign: int) -> Column:
     a, b = sides(n)
     pair = F.struct(_div(x, b).alias("l"), F.pmod(x, F.lit(b).cast("long")).alias("r"))
     pair = F.struct(F.expr("0L").alias("l"), F.expr("0L").alias("r")) if n == 0 else pair
     for i in rounds:
         # One struct per round keeps the expression linear in the rounds.
-        if i % 2:
-            step = lambda p, i=i: F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * _round(p["l"], i, seed, b), F.lit(b).cast("long")).alias("r"))
-        else:
-            step = lambda p, i=i: F.struct(F.pmod(p["l"] + sign * _round(p["r"], i, seed, a), F.lit(a).cast("long")).alias("l"), p["r"].alias("r"))
-        pair = F.transform(F.array(pair), step)[0]
+        pair = F.transform(F.array(pair), _step(i, seed, a, b, sign))[0]
     return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
 
