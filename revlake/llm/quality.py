@@ -34,6 +34,8 @@ for _i, _chars in enumerate((
 )):
     _CLASS[list(_chars)] = _i
 _CLASS[0x80:] = 10
+_IN_LINE = np.ones(256, bool)
+_IN_LINE[0x0A] = False
 _NAMES = (
     *(f"share_{c}" for c in _CLASSES), "log_bytes", "log_words", "word_bytes", "word_spread", "distinct_words", "top_word",
     "capital_words", "ends_in_mark", "holds_symbol", "words_a_line", "short_lines", "repeated_lines", "repeated_runs", "letter_entropy",
@@ -82,8 +84,7 @@ def statistics(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     run_kinds, _ = _repeats(runs, run_of, n)
     run_count = np.maximum(np.bincount(run_of, minlength=n), 1)
     # Lines are words between line feeds.
-    line_ends = body != 0x0A
-    lb, le, lh = B.words(body, offsets, line_ends)
+    lb, le, lh = B.words(body, offsets, _IN_LINE)
     lines = B.counts_by_text(lb, offsets)
     line_of = np.repeat(np.arange(n), lines)
     rows = np.maximum(lines, 1)
