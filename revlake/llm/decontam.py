@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
+from revlake.llm.bitmaps import bitmap, passes
 from revlake.llm.tables import written
 
 #: Fixed masks: 1 counts, 0 is ignored.
@@ -76,20 +77,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return found.withColumn("_item", F.monotonically_increasing_id())
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """A bit for each seed, of a fixed size: it lets all equal seeds pass, and few others."""
-    bit = F.shiftrightunsigned("seed", 64 - BITMAP_LOG)
-    bits = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
-    rows = seeds.select(bit.alias("_bit")).select(F.shiftright("_bit", 6).alias("at"), bits.alias("bits"))
-    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _regions(documents: DataFrame, bitmap: np.ndarray, short: list[int]) -> DataFrame:
+def _regions(documents: DataFrame, seen: np.ndarray, short: list[int]) -> DataFrame:
     """Stretches of texts around seeds that the bitmap lets pass, with their words and seeds."""
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+    shared = documents.sparkSession.sparkContext.broadcast(seen)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     masks = [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]
 
@@ -103,8 +93,7 @@ def _regions(documents: DataFrame, bitmap: np.ndarray, short: list[int]) -> Data
             at, seeds = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for number, mask in masks:
                 p, h = seed_hashes(hashes, counts, mask, number)
-                bit = h >> np.uint64(64 - BITMAP_LOG)
-                passed = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                passed = passes(bits, h)
                 at.append(p[passed])
                 seeds.append(h[passed])
             at, seeds = np.concatenate(at), np.concatenate(seeds)
@@ -177,7 +166,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     lengths = items.filter(F.octet_length("words") < 8 * _SPAN).select((F.octet_length("words") / 8).cast("int").alias("n")).distinct()
     short = sorted(r["n"] for r in lengths.collect() if r["n"] >= LEAST_SHORT)
-    regions = written(_regions(documents, _bitmap(seeds), short), "seed-regions")
+    regions = written(_regions(documents, bitmap(seeds, "seed", BITMAP_LOG), short), "seed-regions")
     hits = regions.select("_region", F.explode(F.arrays_zip("at", "seeds")).alias("z")).select(
         "_region", F.col("z.at").alias("at"), F.col("z.seeds").alias("seed")
     )

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
+from revlake.llm.bitmaps import bitmap, passes
 from revlake.llm.components import components
 from revlake.llm.tables import written
 
@@ -38,6 +39,7 @@ PIVOTS = 8
 #: Sets on each side of a block, and the pairs of a region up to which it is joined in blocks.
 BLOCK = 512
 BLOCK_PAIRS = 1 << 28
+BITMAP_LOG = 26
 #: Of larger sets only shingles with a hash below this share are counted first.
 SAMPLED = 0.3
 _SMALL = 64
@@ -160,18 +162,31 @@ def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def class_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n and the shingles of the wanted classes (key, rep: a doc_id that has it)."""
+    """key, n and the shingles of the wanted classes (key, rep: a doc_id that has it).
+
+    Documents are told by a bitmap of the ids while that is selective; a larger
+    number of ids is joined with the texts instead. Either way an exact join follows.
+    """
+    ids = wanted.select(F.xxhash64("rep").alias("h"), "rep")
+    few = ids.count() <= 1 << (BITMAP_LOG - 2)
+    texts = documents.select("doc_id", "text")
+    if not few:
+        texts = texts.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    seen = documents.sparkSession.sparkContext.broadcast(bitmap(ids, "h", BITMAP_LOG) if few else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, keys, starts, runs in _sets(b.column(0)):
+            column = b.column(1)
+            if seen.value is not None:
+                hashes = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                column = column.take(pa.array(np.flatnonzero(passes(seen.value, hashes))))
+            for _, _, keys, starts, runs in _sets(column):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(runs.view(np.int64)))],
                     names=["key", "n", "shingles"],
                 )
 
-    texts = documents.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    made = texts.mapInArrow(run, "key long, n long, shingles array<long>")
+    made = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "key long, n long, shingles array<long>")
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
