@@ -33,6 +33,10 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Start-up and the first compilation are not a query's own time.
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    for name in ("review_comment", "webhook_jobs") if os.path.isdir(small) else ():
+        QUERIES[name].build(spark, small).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()

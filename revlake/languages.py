@@ -46,7 +46,10 @@ class LanguageSpec:
     # The first brace is found by lexing, and a ";" before it means no body.
     lexed_head: bool = False
     nested: bool = True
-    hint: str = ""
+    # Match arms count as branches.
+    match_arms: bool = False
+    # A function's result lists the functions inside it as well.
+    lists_inner: bool = False
     name_groups: int = field(default=1)
 
     @property
@@ -76,7 +79,7 @@ JS_RESERVED = (
 )
 _RESERVED = "(?:" + "|".join(JS_RESERVED) + r")\b"
 
-# File extensions, signature forms and prompt hints per language.
+# File extensions, and signature forms per language.
 PYTHON = LanguageSpec(
     language="python",
     extensions=(".py",),
@@ -88,7 +91,6 @@ PYTHON = LanguageSpec(
         (r"^[ \t]*case\s[^\n=]*:", 1),
     ),
     body="indent",
-    hint="Pythonic idioms, PEP 8, type hints, Google-style docstrings",
 )
 JAVASCRIPT = LanguageSpec(
     language="javascript",
@@ -109,7 +111,6 @@ JAVASCRIPT = LanguageSpec(
     ),
     nested=False,
     name_groups=3,
-    hint="modern ES2020+ idioms, functional composition where natural, JSDoc for public functions",
 )
 RUST = LanguageSpec(
     language="rust",
@@ -123,7 +124,8 @@ RUST = LanguageSpec(
     branch_rules=((r"(?=[filw&|])(?:\b(?:if|while|for|loop)\b|&&|\|\|)", 1),),
     keep_unclosed=False,
     lexed_head=True,
-    hint="idiomatic Rust: ownership-aware, Result/Option over exceptions, rustdoc comments",
+    match_arms=True,
+    lists_inner=True,
 )
 GO = LanguageSpec(
     language="go",
@@ -132,7 +134,6 @@ GO = LanguageSpec(
     literals=(_LINE_COMMENT, _BLOCK_COMMENT, _DOUBLE, _RAW),
     quotes='"`',
     branch_rules=((r"(?=[cfi&|])(?:\b(?:if|for|case)\b|&&|\|\|)", 1),),
-    hint="idiomatic Go: early returns, small interfaces, GoDoc comments, explicit error handling",
 )
 
 # Registration order decides which extension wins.

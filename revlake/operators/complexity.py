@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions.lexing import code_only, functions_in, match_arms
 from revlake.functions.text import let, reused, strip
-from revlake.languages import FLAGS, LANGUAGES, RUST, LanguageSpec
+from revlake.languages import FLAGS, LANGUAGES, LanguageSpec
 from revlake.operators.extraction import by_language
 
 # Upper score of each rank; above the last comes F. The extended
@@ -38,7 +38,7 @@ def score_of(spec: LanguageSpec, source: Column) -> Column:
         total = F.lit(1)
         for pattern, weight in spec.branch_rules:
             total = total + F.regexp_count(code, F.lit(FLAGS + pattern)) * F.lit(weight)
-        return total + match_arms(code) if spec is RUST else total
+        return total + match_arms(code) if spec.match_arms else total
 
     code = code_only(spec, source)
     if spec.lexed_head:
@@ -53,7 +53,7 @@ def _result(name: Column, score: Column) -> Column:
 def _named_results(spec: LanguageSpec, source: Column) -> Column:
     """A result per function of a source; inner functions only where a language lists them."""
     return F.transform(
-        functions_in(spec, source, nested=spec is RUST),
+        functions_in(spec, source, nested=spec.lists_inner),
         lambda f: _result(f["function_name"], score_of(spec, strip(f["source"]))),
     )
 
@@ -86,7 +86,7 @@ def _function_results(specs: tuple[LanguageSpec, ...]) -> Column:
     def results(spec: LanguageSpec) -> Column:
         source = F.col("source_code")
         whole = F.array(_result(F.col("function_name"), score_of(spec, source)))
-        if spec is not RUST:
+        if not spec.lists_inner:
             return whole
         signatures = F.regexp_count(source, F.lit(FLAGS + spec.plain_signature))
         return F.when(signatures > 1, _named_results(spec, source)).otherwise(whole)
@@ -100,7 +100,7 @@ def score_functions(
     """Results for extracted functions, before any threshold is known.
 
     An extracted function is its own only outermost function, so it is scored
-    without being searched again; Rust lists inner functions too.
+    without being searched again, unless its language lists inner functions too.
     """
     listed = (F.posexplode_outer if keep_all else F.posexplode)(_function_results(specs))
     exploded = functions.select("*", listed.alias("result_no", "_r"))

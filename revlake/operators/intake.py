@@ -85,6 +85,7 @@ def current_jobs(job_events: DataFrame) -> DataFrame:
         F.max_by(F.struct("error_message"), order)["error_message"].alias("error_message"),
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
+        F.count("*").alias("events"),
     )
 
 

@@ -17,8 +17,8 @@ class Page:
     rows: DataFrame
 
     def with_total(self) -> DataFrame:
-        """Page rows carrying the total; an empty page has no rows."""
-        return self.rows.select(self.total.scalar().alias("total"), "*")
+        """Page rows carrying the total; an empty page is one row of the total and nulls."""
+        return self.total.join(self.rows, F.lit(True), "left")
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -51,7 +51,19 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
-def _page(rows: DataFrame, repo: str | None, status: str | None, skip: int, limit: int, view) -> Page:
+def behind(rows: DataFrame, created_at: Column, row_id: int) -> DataFrame:
+    """Rows that follow the one of a time and id in the order of lists; times that are null come last."""
+    at, number = F.col("created_at"), F.col("id")
+    older = F.when(created_at.isNull(), at.isNull() & (number < row_id)).otherwise(
+        at.isNull() | (at < created_at) | ((at == created_at) & (number < row_id))
+    )
+    return rows.filter(older)
+
+
+def _page(
+    rows: DataFrame, repo: str | None, status: str | None, skip: int, limit: int, view,
+    after: tuple[Column, int] | None = None,
+) -> Page:
     if skip < 0:
         raise ValueError("skip must be at least 0")
     if not 1 <= limit <= MAX_PAGE:
@@ -61,21 +73,24 @@ def _page(rows: DataFrame, repo: str | None, status: str | None, skip: int, limi
     if status:
         rows = rows.filter(F.col("status") == status)
     total = rows.agg(F.count("*").alias("total"))
-    return Page(total, view(newest_first(rows).offset(skip).limit(limit)))
+    # A deep offset makes one task keep all rows before it; a cursor keeps a page.
+    found = rows if after is None else behind(rows, *after)
+    return Page(total, view(newest_first(found).offset(skip).limit(limit)))
 
 
 def list_reviews(
     reviews: DataFrame, repo: str | None = None, status: str | None = None,
-    skip: int = 0, limit: int = REVIEW_PAGE,
+    skip: int = 0, limit: int = REVIEW_PAGE, after: tuple[Column, int] | None = None,
 ) -> Page:
-    return _page(reviews, repo, status, skip, limit, review_view)
+    """A page of reviews; ``after`` (time and id of the last row seen) goes on from there without an offset."""
+    return _page(reviews, repo, status, skip, limit, review_view, after)
 
 
 def list_jobs(
     jobs: DataFrame, repo: str | None = None, status: str | None = None,
-    skip: int = 0, limit: int = JOB_PAGE,
+    skip: int = 0, limit: int = JOB_PAGE, after: tuple[Column, int] | None = None,
 ) -> Page:
-    return _page(jobs, repo, status, skip, limit, job_view)
+    return _page(jobs, repo, status, skip, limit, job_view, after)
 
 
 def get_review(reviews: DataFrame, review_id: int) -> DataFrame:

@@ -63,10 +63,6 @@ def fence_of(language: Column) -> Column:
     return F.coalesce(_lookup(language, {s.language: s.language for s in LANGUAGES}), language)
 
 
-def hint_of(language: Column) -> Column:
-    return F.coalesce(_lookup(language, {s.language: s.hint for s in LANGUAGES}), F.lit(""))
-
-
 def prompt_of(
     name: Column, score: Column, language: Column, source: Column, template: str = PROMPT_TEMPLATE
 ) -> Column:

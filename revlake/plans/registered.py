@@ -28,8 +28,8 @@ from revlake.operators import security as S
 from revlake.operators import triage as L
 from revlake.plans import review_run as P
 from revlake.sources import bindings as B
-from revlake.sources.readers import spread
-from revlake.sources.sinks import latest_version
+from revlake.sources.readers import read_reviews, spread
+from revlake.sources.sinks import append_reviews, latest_version
 from revlake.sources.staging import new_folder
 from revlake.streaming import streams as T
 
@@ -928,10 +928,7 @@ _JOB_STATUS = (
     "(date_trunc('hour', ts), event_id)) AS error_message, count(*) AS events FROM events GROUP BY user_id",
 )
 def job_current_status(spark, sf_dir):
-    events = B.job_events(spark, sf_dir)
-    current = W.current_jobs(events)
-    counted = events.groupBy("task_id").agg(F.count("*").alias("events"))
-    return current.join(counted, "task_id").select(
+    return W.current_jobs(B.job_events(spark, sf_dir)).select(
         "task_id", "status", F.coalesce("error_message", F.lit("")).alias("error_message"), "events"
     )
 
@@ -1040,6 +1037,55 @@ def list_reviews(spark, sf_dir):
     return Q.list_reviews(B.reviews(spark, sf_dir), status="posted", skip=10).with_total()
 
 
+@_register(
+    "list_reviews_after",
+    _REVIEWS + f", page AS (SELECT * FROM rev WHERE status = 'posted' {_NEWEST} LIMIT 50 OFFSET 50) SELECT {_REVIEW_VIEW} FROM page",
+)
+def list_reviews_after(spark, sf_dir):
+    # The second page starts behind the last row of the first, not at an offset.
+    reviews = B.reviews(spark, sf_dir)
+    last = Q.newest_first(reviews.filter("status = 'posted'")).offset(49).first()
+    at = F.lit(last["created_at"]) if last["created_at"] else F.lit(None).cast("timestamp")
+    return Q.list_reviews(reviews, status="posted", after=(at, last["id"])).rows
+
+
+@_register(
+    "list_reviews_empty_page",
+    _REVIEWS + " SELECT count(*) AS total, NULL::BIGINT AS id, NULL::VARCHAR AS repo FROM rev WHERE repo_full_name = 'org/r7'",
+)
+def list_reviews_empty_page(spark, sf_dir):
+    page = Q.list_reviews(B.reviews(spark, sf_dir), repo="org/r7", skip=10**6)
+    return page.with_total().select("total", "id", "repo")
+
+
+@_register(
+    "stream_reviews_replayed",
+    _REVIEWS + " SELECT repo_full_name, count(*) AS reviews, min(priority) AS priority FROM rev GROUP BY repo_full_name",
+)
+def stream_reviews_replayed(spark, sf_dir):
+    path, reviews = new_folder(spark, "reviews"), B.reviews(spark, sf_dir)
+    for part, batch in ((0, 0), (1, 1), (1, 1), (0, 0)):  # both batches come twice
+        append_reviews(reviews.filter(F.col("id") % 2 == part), path, batch)
+    stored = read_reviews(spark, path)
+    return stored.groupBy("repo_full_name").agg(F.count("*").alias("reviews"), F.min("priority").alias("priority"))
+
+
+@_register(
+    "stream_update_events",
+    _OUTCOME + " SELECT pr_number, count(*) AS updates FROM spoken WHERE outcome NOT IN ('no_functions', 'failed') GROUP BY pr_number",
+)
+def stream_update_events(spark, sf_dir):
+    # Notifications of finished runs, among messages that announce something else.
+    told = P.notifications(_outcomes(spark, sf_dir)).select("value")
+    other = told.select(F.regexp_replace("value", "reviews_updated", "ping").alias("value"))
+    path = new_folder(spark, "messages")
+    told.unionByName(other).write.json(path)
+    events = T.update_events(spark.readStream.schema("value string").json(path))
+    out, log = new_folder(spark, "updates"), new_folder(spark, "log")
+    T.append_stream(events, out, log, available_now=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("pr_number").agg(F.count("*").alias("updates"))
+
+
 @_register(
     "list_reviews_of_repo",
     _REVIEWS + " SELECT (SELECT count(*) FROM rev WHERE repo_full_name = 'org/r7') AS total, "

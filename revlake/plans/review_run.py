@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions.rules import rule_issues
 from revlake.functions.text import pin
-from revlake.languages import LANGUAGES
+from revlake.languages import LANGUAGES, LanguageSpec
 from revlake.operators import comments as C
 from revlake.operators.complexity import score_functions
 from revlake.operators.configs import with_run_config
@@ -63,7 +63,7 @@ def scored_results(
         diffs, keys=run_keys(diffs), configs=configs if apply_exclusions else None, carry=("pr_title",),
         keep_all=keep_all, **extraction,
     )
-    return flag_results(score_functions(found, keep_all=keep_all), configs)
+    return flag_results(score_functions(found, extraction.get("specs", LANGUAGES), keep_all=keep_all), configs)
 
 
 def flag_results(scored: DataFrame, configs: DataFrame) -> DataFrame:
@@ -169,7 +169,9 @@ def without_failed(reviews: DataFrame, failed: DataFrame) -> DataFrame:
     return reviews.join(failed.select(*keys), list(keys), "left_anti")
 
 
-def pr_activity(results: DataFrame, replies: DataFrame) -> DataFrame:
+def pr_activity(
+    results: DataFrame, replies: DataFrame, specs: tuple[LanguageSpec, ...] = LANGUAGES
+) -> DataFrame:
     """Everything an outcome needs, per run, from one grouping of ``keep_all`` results."""
     keys = run_keys(results)
     narrow = results.select(
@@ -189,7 +191,7 @@ def pr_activity(results: DataFrame, replies: DataFrame) -> DataFrame:
         F.bool_and("diff_ok").alias("diff_ok"),
         F.bool_or("auto_post").alias("auto_post"),
         F.bool_or("post_all_clear").alias("post_all_clear"),
-        *[F.count_if(flagged & (F.col("language") == s.language)).alias(f"n_{s.language}") for s in LANGUAGES],
+        *[F.count_if(flagged & (F.col("language") == s.language)).alias(f"n_{s.language}") for s in specs],
     )
 
 
@@ -214,7 +216,7 @@ def pr_outcomes(activity: DataFrame, style: C.CommentStyle = C.STYLE) -> DataFra
     )
     counts = F.filter(
         F.array(
-            *[F.struct(F.lit(s.language).alias("language"), F.col(f"n_{s.language}").alias("n")) for s in LANGUAGES]
+            *[F.struct(F.lit(c[2:]).alias("language"), F.col(c).alias("n")) for c in activity.columns if c.startswith("n_")]
         ),
         lambda c: c["n"] > 0,
     )
@@ -315,6 +317,7 @@ def review_run(
     commits: DataFrame | None = None,
     style: C.CommentStyle = C.STYLE,
     staged: bool = True,
+    keep_text: bool = False,
     **extraction,
 ) -> ReviewRun:
     """Plan a whole run.
@@ -325,10 +328,12 @@ def review_run(
     its own, else every PR is one. Without scanner reports the built-in source rules take
     their place.
     """
+    specs = extraction.get("specs", LANGUAGES)
     results = scored_results(diffs, configs, keep_all=True, **extraction)
     if staged:
-        # Only flagged functions are read again with their text.
-        text = F.when(F.col("is_flagged"), F.col("source_code"))
+        # Only source rules, or a caller who asks for it, read flagged functions' texts again.
+        wanted = keep_text or scan_reports is None
+        text = F.when(F.col("is_flagged"), F.col("source_code")) if wanted else F.lit(None).cast("string")
         results = stage(results.withColumn("source_code", text), "results")
     replies = validate_replies(latest_replies(triage_responses))
     flagged = flagged_only(results)
@@ -339,7 +344,7 @@ def review_run(
     failed = failed_prs(flagged, replies, parse_failures(results))
     unfinished = failed.select(*run_keys(failed)).unionByName(waiting_prs(flagged, replies))
     reviews = without_failed(review_rows(found, style), unfinished)
-    outcomes = pr_outcomes(pr_activity(results, replies), style)
+    outcomes = pr_outcomes(pr_activity(results, replies, specs), style)
     return ReviewRun(
         results, reviews, outcomes, comment_outbox(reviews, outcomes, commits), notifications(outcomes)
     )

@@ -47,7 +47,8 @@ def read_repo_configs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.REVIEWS)
+    """Reviews of all batches."""
+    return read_table(spark, path, schemas.REVIEWS).select(*schemas.REVIEWS.names)
 
 
 def read_scan_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -20,28 +20,26 @@ def with_review_defaults(reviews: DataFrame) -> DataFrame:
     )
 
 
-def append_reviews(reviews: DataFrame, path: str) -> None:
-    """Append reviews by repository; rebalancing splits a hot one into several files."""
-    with_review_defaults(reviews).hint("rebalance", "repo_full_name").write.mode("append").partitionBy(
-        "repo_full_name"
-    ).parquet(path)
+def write_batch(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
+    """Write one batch so that a replay replaces it instead of adding to it."""
+    df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
 
 
-def append_job_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def append_reviews(reviews: DataFrame, path: str, batch_id: int) -> None:
+    """Add a batch of reviews; rebalancing gives files of even size, whatever the repositories."""
+    write_batch(with_review_defaults(reviews).hint("rebalance"), batch_id, path)
 
 
-def append_outbox(outbox: DataFrame, path: str) -> None:
-    outbox.write.mode("append").partitionBy("kind").parquet(path)
+def append_job_events(events: DataFrame, path: str, batch_id: int) -> None:
+    write_batch(events, batch_id, path)
 
 
-def append_notifications(messages: DataFrame, path: str) -> None:
-    messages.write.mode("append").json(path)
+def append_outbox(outbox: DataFrame, path: str, batch_id: int) -> None:
+    write_batch(outbox, batch_id, path)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch so that a replay replaces it instead of adding to it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_notifications(messages: DataFrame, path: str, batch_id: int) -> None:
+    write_batch(messages, batch_id, path, "json")
 
 
 def latest_version(df: DataFrame) -> DataFrame:

@@ -125,10 +125,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert (bare.priority, bare.status) == ("Medium", "pending") and bare.created_at is not None
     table = reviews(spark, review(1), review(2, repo="o/x"))
     path = str(tmp_path / "reviews")
-    sinks.append_reviews(table, path)
-    sinks.append_reviews(table, path)
+    for batch in (0, 1, 1):  # the second batch comes twice
+        sinks.append_reviews(table, path, batch)
     assert readers.read_reviews(spark, path).groupBy("repo_full_name").count().count() == 2
     assert readers.read_reviews(spark, path).count() == 4
+    for write in (sinks.append_job_events, sinks.append_outbox, sinks.append_notifications):
+        write(table, str(tmp_path / write.__name__), 7)
+        write(table, str(tmp_path / write.__name__), 7)
+        fmt = "json" if "notifications" in write.__name__ else "parquet"
+        assert spark.read.format(fmt).load(str(tmp_path / write.__name__)).count() == 2
     batches = str(tmp_path / "batches")
     sinks.write_batch(table, 0, batches)
     sinks.write_batch(table.filter("id = 1"), 1, batches)

@@ -1,8 +1,10 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from revlake.languages import GO, LANGUAGES
 from revlake.operators import comments as C
 from revlake.operators import configs as G
 from revlake.operators import triage as L
@@ -140,6 +142,25 @@ def test_rules_stand_in_for_reports_and_ids_repeat(run):
     assert {r.id for r in rows.values()} == {r.id for r in run[0].reviews.collect()}
 
 
+def test_a_language_is_a_record(spark):
+    zig = replace(GO, language="zig", extensions=(".zig",))
+    body = "".join(f"\tif a > {i} {{\n\t\ta++\n\t}}\n" for i in range(12))
+    diffs = spark.createDataFrame(
+        [("org/z", 1, "t", new_file("m.zig", f"func big(a int) int {{\n{body}\treturn a\n}}"))],
+        "repo_full_name string, pr_number long, pr_title string, diff_text string",
+    )
+    configs = spark.createDataFrame([], CONFIG)
+    specs = (*LANGUAGES, zig)
+    (found,) = P.scored_results(diffs, configs, specs=specs).collect()
+    assert (found.language, found.function_name, found.score, found.is_flagged) == ("zig", "big", 13, True)
+    replies = spark.createDataFrame(
+        [(found.function_id, "big", reply(severity="low", issue_type="none"))],
+        "function_id string, result_name string, response_json string",
+    )
+    (outcome,) = P.review_run(diffs, configs, replies, specs=specs, staged=False).outcomes.collect()
+    assert outcome.outcome == "all_clear" and "(zig: 1)" in outcome.comment_body
+
+
 def test_exclusions_are_an_option(spark, run):
     diffs, configs, _ = run[1]
     patterns = configs.withColumn("exclude_patterns", F.lit("*.py"))
@@ -204,10 +225,8 @@ def test_replies(spark):
 def test_prompt_and_providers(spark):
     row = spark.range(1).select(
         L.prompt_of(F.lit("f"), F.lit(12), F.lit("elm"), F.lit("f = {source}"), "{name}|{score}|{language}|{fence}|{source}|{x}").alias("p"),
-        L.hint_of(F.lit("elm")).alias("h"), L.hint_of(F.lit("go")).alias("g"),
     ).first()
     assert row.p == "f|12|elm|elm|f = {source}|{x}"
-    assert row.h == "" and row.g.startswith("idiomatic Go")
     asked = spark.createDataFrame(
         [(None, None), ("", "m"), ("openai", ""), ("nope", "m")], "llm_provider string, llm_model string"
     )
