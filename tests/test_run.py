@@ -154,7 +154,7 @@ def test_a_language_is_a_record(spark):
     (found,) = P.scored_results(diffs, configs, specs=specs).collect()
     assert (found.language, found.function_name, found.score, found.is_flagged) == ("zig", "big", 13, True)
     replies = spark.createDataFrame(
-        [(found.function_id, "big", reply(severity="low", issue_type="none"))],
+        [(found.function_id, "big", reply(severity="medium"))],
         "function_id string, result_name string, response_json string",
     )
     (outcome,) = P.review_run(diffs, configs, replies, specs=specs, staged=False).outcomes.collect()
