@@ -289,13 +289,17 @@ def flagged_by_language(spark, sf_dir):
 
 @_register(
     "go_package_clause",
-    "WITH " + B.functions_cte() + " SELECT pr_number, function_name, TRUE AS has_clause FROM fns WHERE language = 'go'",
+    "WITH " + B.functions_cte() + " SELECT pr_number, function_name, "
+    "CASE WHEN k % 2 = 0 THEN 'package own' ELSE 'package main' END AS clause, 1 AS clauses FROM fns WHERE language = 'go'",
 )
 def go_package_clause(spark, sf_dir):
+    # Every other source comes with its own clause.
     found = E.changed_functions(B.diffs(spark, sf_dir), specs=(GO,))
-    source = X.go_with_package(F.col("source_code"))
+    own = F.when(F.col("pr_number") % 2 == 0, F.concat(F.lit("package own\n"), F.col("source_code"))).otherwise(F.col("source_code"))
+    source = X.go_with_package(own)
     return found.select(
-        "pr_number", "function_name", source.rlike(r"^\s*package\s+\w+").alias("has_clause")
+        "pr_number", "function_name", F.substring_index(source, "\n", 1).alias("clause"),
+        F.regexp_count(source, F.lit(r"(?m)^\s*package\s+\w+")).alias("clauses"),
     )
 
 
@@ -442,19 +446,26 @@ def scan_gate(spark, sf_dir):
 
 # --- triage -----------------------------------------------------------------------
 
-_PROMPT_SQL = "||".join(
-    part
-    if part in ("score", "language", "function_name")
-    else _quoted(part)
-    for part in (
-        L.PROMPT_TEMPLATE.replace("{score}", "\0score\0")
-        .replace("{language}", "\0language\0")
-        .replace("{name}", "\0function_name\0")
-        .replace("{fence}", "\0language\0")
-        .replace("{source}", "<source>")
-        .split("\0")
-    )
-)
+# The expected texts are written out here, so that a changed one shows.
+_PROMPT_SQL = _quoted("""You triage a pull request for production risk only.
+
+Answer severity=none for style, complexity or readability concerns, and
+whenever you are not sure that there is a real defect.
+Answer severity=high or severity=critical only for a security hole, a crash on
+realistic input, lost or corrupted data, a concurrency defect, or code whose
+result is wrong in production.
+
+The complexity score (@score@) only selected this function for review and is
+no reason to flag it.
+
+The @language@ function `@function_name@`:
+
+```@language@
+<source>
+```
+""")
+for _name in ("score", "language", "function_name"):
+    _PROMPT_SQL = _PROMPT_SQL.replace(f"@{_name}@", f"' || {_name} || '")
 
 
 @_register(
@@ -641,10 +652,12 @@ def language_counts(spark, sf_dir):
     return P.language_counts(_results(spark, sf_dir))
 
 
-_FOOTER = _quoted(C.REVIEW_FOOTER.format(brand=C.STYLE.brand))
+_FOOTER = _quoted(
+    "\n---\n*revlake triages production risks only — style and complexity feedback is intentionally filtered out.*"
+)
 _COMMENT_SQL = (
     "'## ' || CASE severity WHEN 'critical' THEN '🚨' ELSE '🔴' END || "
-    f"' {C.STYLE.brand} — ' || CASE issue_type WHEN 'data_loss' THEN 'Data Loss' "
+    "' revlake — ' || CASE issue_type WHEN 'data_loss' THEN 'Data Loss' "
     "ELSE upper(issue_type[1]) || issue_type[2:] END || ' (' || upper(severity) || ')' || chr(10) || chr(10) || "
     "'**Function**: `' || function_name || '`' || chr(10) || chr(10) || '### What could go wrong' || chr(10) || summary "
     "|| chr(10) || chr(10) || '### Why' || chr(10) || explanation || chr(10) || "
@@ -829,10 +842,14 @@ def run_summary(spark, sf_dir):
 @_register(
     "all_clear_comment",
     _OUTCOME + " SELECT pr_number, "
-    + _quoted(C.ALL_CLEAR_HEAD.format(marker=C.STYLE.all_clear_marker, brand=C.STYLE.brand))
+    + _quoted("<!-- revlake:all-clear -->\n## ✓ revlake — No production risks found\n\n")
     + " || 'Reviewed ' || analyzed_count || CASE WHEN analyzed_count = 1 THEN ' function' ELSE ' functions' END "
     "|| ' (' || language || ': ' || analyzed_count || ')' || "
-    + _quoted(C.ALL_CLEAR_BODY + C.ALL_CLEAR_FOOTER.format(brand=C.STYLE.brand))
+    + _quoted(
+        ". All within acceptable complexity, no security / crash / data-loss / concurrency / correctness concerns "
+        "flagged.\n\n---\n*revlake flags only production-risk findings; style and complexity feedback is intentionally "
+        "filtered out. Disable per-repo in Settings if the acknowledgement is noise.*"
+    )
     + " AS comment_body FROM spoken WHERE comment_kind = 'all_clear'",
 )
 def all_clear_comment(spark, sf_dir):
@@ -843,10 +860,17 @@ def all_clear_comment(spark, sf_dir):
 @_register(
     "nothing_to_scan_comment",
     _OUTCOME + " SELECT pr_number, "
-    + _quoted(C.NOTHING_HEAD.format(marker=C.STYLE.nothing_to_scan_marker, brand=C.STYLE.brand))
-    + " || CASE WHEN function_count = 0 THEN " + _quoted(C.NOTHING_CHANGED)
+    + _quoted("<!-- revlake:nothing-to-scan -->\n## ⊘ revlake — Nothing to scan\n\n")
+    + " || CASE WHEN function_count = 0 THEN " + _quoted(
+        "No function-level changes were detected in this PR — the diff may contain only docs, config, assets, or "
+        "unsupported file types. No analysis was run."
+    )
     + " ELSE 'Found ' || function_count || ' changed ' || CASE WHEN function_count = 1 THEN 'function' ELSE 'functions' END || "
-    + _quoted(C.NOTHING_COMPLEX) + " END || " + _quoted(C.NOTHING_FOOTER.format(brand=C.STYLE.brand))
+    + _quoted(", but none exceeded the complexity threshold for deeper review. No LLM triage was run.")
+    + " END || " + _quoted(
+        "\n\n---\n*revlake only scans functions that static analysis flags as sufficiently complex or risky. Adjust the "
+        "per-repo complexity threshold in Settings if you'd like broader coverage.*"
+    )
     + " AS comment_body FROM spoken WHERE comment_kind = 'nothing_to_scan'",
 )
 def nothing_to_scan_comment(spark, sf_dir):
