@@ -87,23 +87,25 @@ def unit_rows(counts: np.ndarray) -> np.ndarray:
 def svm_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 12) -> np.ndarray:
     """Linear support vector machine with squared hinge loss, by Newton steps with conjugate gradients.
 
-    The bias is the last weight and is not penalised; y is +1 or -1.
+    The last column of x is one; its weight, the bias, is not penalised. y is +1
+    or -1. x stays as it is: rows outside the margin only get a weight of zero.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    product = lambda v: (x @ v.astype(x.dtype)).astype(np.float64)
+    back = lambda r: (r.astype(x.dtype) @ x).astype(np.float64) / len(x)
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-9
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xa, ya = x[inside], y[inside]
-        gradient = ridge * w + (xa.T @ (xa @ w - ya)) / len(x)
+        told = product(w)
+        inside = y * told < 1
+        gradient = ridge * w + back(np.where(inside, told - y, 0))
         size = np.linalg.norm(gradient)
         if size < 1e-6:
             break
         step, rest, along = np.zeros_like(w), -gradient, -gradient
         square = rest @ rest
         for _ in range(40):
-            bent = ridge * along + (xa.T @ (xa @ along)) / len(x)
+            bent = ridge * along + back(np.where(inside, product(along), 0))
             rate = square / (along @ bent)
             step += rate * along
             rest = rest - rate * bent
@@ -181,16 +183,17 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([langs, pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "counts"])
 
 
-def _matrix(counts: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.int32).reshape(-1, SIZE)
-
-
 def _sum_language(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lang": [key[0]], "sums": [_matrix(rows["counts"]).sum(0, dtype=np.int64).tobytes()]})
+    sums = np.zeros(SIZE, np.int64)
+    for counts in rows["counts"]:
+        sums += np.frombuffer(counts, np.int32)
+    return pd.DataFrame({"lang": [key[0]], "sums": [sums.tobytes()]})
 
 
 def _fit_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    x = unit_rows(_matrix(rows["counts"]))
+    x = np.ones((len(rows), SIZE + 1), np.float32)
+    for i, counts in enumerate(rows["counts"]):
+        x[i, :-1] = unit_rows(np.frombuffer(counts, np.int32)[None, :])
     y = np.where(rows["lang"] == key[0], 1.0, -1.0)
     return pd.DataFrame({"a": [key[0]], "b": [key[1]], "weights": [svm_weights(x, y).tobytes()]})
 

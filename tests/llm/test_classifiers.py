@@ -61,7 +61,7 @@ def test_support_vectors_separate():
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 5)).astype(np.float32)
     y = np.where(x @ np.array([1, -2, 0, 0, 1]) + 0.3 > 0, 1.0, -1.0)
-    w = langid.svm_weights(x, y)
+    w = langid.svm_weights(np.hstack([x, np.ones((300, 1), np.float32)]), y)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
 
 
