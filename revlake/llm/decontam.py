@@ -28,6 +28,8 @@ ALIKE = 0.8
 REACH = 48
 BITMAP_LOG = 26
 _SPAN = max(map(len, MASKS))
+#: What a word that isn't equal costs, in equal words.
+_OTHER = round(ALIKE / (1 - ALIKE))
 
 
 def seed_hashes(hashes: np.ndarray, counts: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +124,24 @@ def _regions(documents: DataFrame, seen: np.ndarray, short: list[int]) -> DataFr
     return texts.mapInArrow(run, schema).withColumn("_region", F.monotonically_increasing_id())
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """Begin and end of the stretch of best score: 1 for equal words, less for others so that ALIKE of them break even."""
-    scores = np.append(0.0, np.cumsum(np.where(same, 1.0, -ALIKE / (1 - ALIKE) + 1e-9)))
-    lowest = np.minimum.accumulate(scores)
-    end = int(np.argmax(scores - lowest))
-    begin = int(np.flatnonzero(scores[: end + 1] == lowest[end])[-1])
-    return begin, end
+def best_stretch(same: np.ndarray, least: int = 0) -> tuple[int, int] | None:
+    """Begin and end of the stretch of best score among those of ``least`` words or more; None if no such stretch has ALIKE equal words.
+
+    A score is the equal words less 4 for each other one, so it is not negative
+    where ALIKE or more are equal. Of equal scores the longer stretch counts.
+    All of it is in integers.
+    """
+    n = len(same)
+    if n < least:
+        return None
+    # Scores times n + 1; the rest counts the other words.
+    sums = np.append(0, np.cumsum(np.where(same, n + 1, -_OTHER * (n + 1) + 1)))
+    lowest = np.minimum.accumulate(sums[: n + 1 - least])
+    gains = sums[least:] - lowest
+    k = int(np.argmax(gains))
+    if gains[k] < 0:
+        return None
+    return int(np.flatnonzero(sums[: k + 1] == lowest[k])[-1]), least + k
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +151,9 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, test = np.frombuffer(region, np.uint64), np.frombuffer(item, np.uint64)
             low, high = max(0, shift), min(len(own), shift + len(test))
             same = own[low:high] == test[low - shift : high - shift]
-            begin, end = best_stretch(same)
-            if end - begin >= min(LEAST_WORDS, len(test)):
+            found = best_stretch(same, min(LEAST_WORDS, len(test)))
+            if found:
+                begin, end = found
                 rows.append((k, start + low + begin, start + low + end, low - shift + begin, int(same[begin:end].sum())))
         if rows:
             which, *columns = zip(*rows, strict=True)
@@ -153,7 +167,8 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, text_hash, item_id, begin and end (words of the document, from 0),
     item_begin, equal_words. Words are runs of letters, digits and characters
     beyond ASCII, in lower case. An overlap has LEAST_WORDS words or more, of which
-    ALIKE or more are equal; a benchmark text shorter than the masks must stand
+    ALIKE or more are equal, and is found where a seed of a mask is equal in both
+    texts; a benchmark text shorter than the masks must stand
     whole, and one of fewer than LEAST_SHORT words matches nothing, as do null
     and empty texts. Repeated rows give rows of their own, as far as id and text
     tell them apart. Empty tables give no rows; extra columns are ignored.

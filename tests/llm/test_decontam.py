@@ -60,3 +60,45 @@ def test_best_stretch():
 
     same = np.array([0, 1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
     assert D.best_stretch(same) == (4, 7) and D.best_stretch(np.ones(5, bool)) == (0, 5)
+
+
+def seeds_hit(same):
+    return any(all(same[i + j] for j, c in enumerate(m) if c == "1") for m in D.MASKS for i in range(len(same) - len(m) + 1))
+
+
+def test_stretches_of_all_substitution_places():
+    from itertools import combinations
+
+    import numpy as np
+
+    for n in range(12, 26):
+        places = [c for k in range(n // 5 + 1) for c in combinations(range(n), k)]
+        same = np.ones((len(places), n), bool)
+        for row, c in zip(same, places, strict=True):
+            row[list(c)] = False
+        sums = np.concatenate([np.zeros((len(same), 1), int), np.cumsum(5 * same - 4, axis=1)], axis=1)
+        best = np.max([(sums[:, j] - sums[:, i]) for i in range(n + 1) for j in range(i + 12, n + 1)], axis=0)
+        for row, total, most in zip(same, sums, best, strict=True):
+            found = D.best_stretch(row, 12)
+            assert (found is None) == (most < 0), row
+            if found:
+                assert found[1] - found[0] >= 12 and total[found[1]] - total[found[0]] == most
+
+
+def test_edited_short_items_are_found(spark):
+    from itertools import combinations
+
+    table, docs, want = [], [], set()
+    for n, k in ((12, 1), (15, 2), (16, 3)):
+        item = prose(n)
+        table.append((n, " ".join(item)))
+        for places in combinations(range(n), k):
+            words = ["changed" if i in places else w for i, w in enumerate(item)]
+            same = [i not in places for i in range(n)]
+            alike = any(5 * sum(same[i:j]) >= 4 * (j - i) for i in range(n) for j in range(i + 12, n + 1))
+            docs.append((len(docs), " ".join(prose(30) + words + prose(30))))
+            if alike and seeds_hit(same):
+                want.add((len(docs) - 1, n))
+    found = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(table, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want and len(want) > 500
+    assert all(x.end - x.begin >= 12 and 5 * x.equal_words >= 4 * (x.end - x.begin) for x in found)
