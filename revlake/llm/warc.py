@@ -4,7 +4,8 @@ Every record is a gzip member of its own. Spark's text writer puts them into
 files on any file system it reaches; its line separator is an empty gzip member,
 so a file is an ordinary .warc.gz. The reader checks every member and record.
 After a failed check it searches for the next member or version line that
-passes, goes on from there, and logs the bytes between as a quarantined gap.
+passes, goes on from there, and logs the bytes between as a quarantined gap. It
+does so in files and in what members hold, as far as they can be inflated.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ RECORDS_PER_FILE = 4000
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+_PIECE = 1 << 16
 _EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = _EMPTY.compress(b"") + _EMPTY.flush()
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -88,17 +90,51 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     ).text(path)
 
 
-def inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Content and end of the gzip member at a place; None if it is damaged or cut."""
+def inflated(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at a place, and "".
+
+    Of a damaged or cut member it is what comes before the damage, the place
+    itself, and the reason: "checksum" where only the check at its end fails.
+    """
     unpack, out, start = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof and at < len(data):
-            part = data[at : at + 65536]
+            part = data[at : at + _PIECE]
             out.append(unpack.decompress(part))
             at += len(part)
+    except zlib.error as e:
+        return _before_error(data, start), start, "checksum" if re.search("incorrect (data|length) check", str(e)) else "damaged"
+    return (b"".join(out), at - len(unpack.unused_data), "") if unpack.eof else (b"".join(out), start, "cut")
+
+
+def _before_error(data: memoryview, at: int) -> bytes:
+    """All that a damaged member gives up to its error, which zlib raises in place of what it has inflated."""
+    unpack, out, size = zlib.decompressobj(31), [], _PIECE
+    while size:
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[at : at + size]))
+            at += size
+        except zlib.error:
+            unpack, size = before, size // 2
+    one = data[at : at + 1]
+    try:
+        while byte := unpack.decompress(one, 1):
+            out.append(byte)
+            one = unpack.unconsumed_tail
     except zlib.error:
-        return None
-    return (b"".join(out), at - len(unpack.unused_data)) if unpack.eof and at > start else None
+        pass
+    return b"".join(out)
+
+
+def _place_of(data: memoryview, at: int, size: int) -> int:
+    """Where the compressed bytes of the first ``size`` bytes of a member's content end."""
+    unpack, left = zlib.decompressobj(31), size - 1
+    while left > 0:
+        part = data[at : at + _PIECE]
+        left -= len(unpack.decompress(part, left))
+        at += len(part) - len(unpack.unconsumed_tail)
+    return at
 
 
 _HEADER = re.compile(rb"WARC/1\.\d\r\n(?:[^\r\n]+\r\n)*\r\n")
@@ -128,49 +164,74 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return fields, block, end + 4
 
 
+def _records_inside(inner: bytes) -> tuple[list[tuple[str, dict[str, str], bytes]], int]:
+    """Reason ("" for a record), fields and block of the records and gaps of a member's content, and where its last record ends."""
+    found, last, at = [], 0, 0
+    while at >= 0 and at < len(inner):
+        one = parsed(inner, at)
+        if one:
+            found.append(("", *one[:2]))
+            last = at = one[2]
+            continue
+        if not found or not found[-1][0]:
+            found.append(("damaged record in a member", {}, b""))
+        at = inner.find(VERSION, at + 1)
+    return found, last
+
+
 def salvaged(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
     """Begin, end, reason ("" for a record), fields and block of all records and gaps of a file, in order.
 
-    Records inside one member all tell that member's place.
+    Records and gaps inside one member all tell that member's place. Of a
+    damaged or cut member the records before the damage are told, at the place
+    of the bytes that hold them; the gap begins there. They pass the same checks
+    as others, so one without a digest is known by its length and end alone.
+    Where a member of one record fails its checksum, that record is a gap.
     """
     view, at, gap, why = memoryview(data), 0, -1, ""
     while at < len(data):
-        found: list[tuple[dict[str, str], bytes]] | None = None
-        end, reason = at, "no record begins here"
+        found: list[tuple[str, dict[str, str], bytes]] | None = None
+        end, reason, damaged = at, "no record begins here", ""
         if data.startswith(MAGIC, at):
-            whole = inflated(view, at)
-            reason = "damaged member"
-            if whole:
-                inner, end = whole
-                found, inside = [], 0
-                while inside < len(inner):
-                    one = parsed(inner, inside)
-                    if one is None:
-                        found, reason = None, "damaged record in a member"
-                        break
-                    found.append(one[:2])
-                    inside = one[2]
+            inner, end, damaged = inflated(view, at)
+            found, last = _records_inside(inner)
+            good = sum(not x[0] for x in found)
+            reason = "damaged member" if damaged else "damaged record in a member"
+            if damaged:
+                # What is behind the last record belongs to the gap.
+                found = found[:-1] if found and found[-1][0] else found
+            if (inner or damaged) and not good or damaged == "checksum" and good == 1 == len(found):
+                found = None
+            elif damaged:
+                end = max(at + 1, _place_of(view, at, last))
         elif data.startswith(VERSION, at):
             one = parsed(data, at)
             reason = "damaged record"
             if one:
-                found, end = [one[:2]], one[2]
+                found, end = [("", *one[:2])], one[2]
         if found is None:
             if gap < 0:
                 gap, why = at, reason
-            ahead = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(ahead, default=len(data))
+            at = _next_start(data, at + 1)
             continue
         if gap >= 0:
             yield gap, at, why, {}, b""
             gap = -1
-        for fields, block in found:
-            yield at, end, "", fields, block
+        for one in found:
+            yield at, end, *one
         at = end
-    if gap >= 0:
+        if damaged:
+            gap, why = at, reason
+            at = _next_start(data, at)
+    if gap >= 0 and gap < len(data):
         yield gap, len(data), why, {}, b""
 
 
+def _next_start(data: bytes, at: int) -> int:
+    ahead = [x for x in (data.find(MAGIC, at), data.find(VERSION, at)) if x >= 0]
+    return min(ahead, default=len(data))
+
+
 _FIELDS = "file string, begin long, end long, gap string, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 

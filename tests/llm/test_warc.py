@@ -78,3 +78,68 @@ def test_damaged_files_through_spark(spark, tmp_path):
     assert sorted(r.record_id for r in rows if r.gap is None) == ["<urn:page:0>"] * 2 + ["<urn:page:1>", "<urn:page:2>"]
     (gap,) = [r for r in rows if r.gap is not None]
     assert (gap.begin, gap.end, gap.gap) == (len(parts[0]), len(parts[0]) + len(parts[1]) - 9, "damaged member")
+
+
+def ids(data):
+    return [x if not x.startswith("<") else int(x[10:-1]) for x, _, _ in found(data)]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_of_one_member_around_a_damaged_one(level):
+    parts = records(9, packed=False)
+    for gone in ([0], [4], [8], [2, 3], [2, 6]):
+        broken = [p[:-20] + b"#" + p[-19:] if i in gone else p for i, p in enumerate(parts)]
+        whole = W.member(b"".join(broken), level)
+        got = found(whole)
+        assert [x for x in ids(whole) if isinstance(x, int)] == [i for i in range(9) if i not in gone]
+        assert [x for x, _, _ in got if not x.startswith("<")] == ["damaged record in a member"] * len({i - n for n, i in enumerate(gone)})
+        assert {(b, e) for _, b, e in got} == {(0, len(whole))}
+
+
+def noisy(n):
+    import random
+
+    r = random.Random(3)
+    return [W.record(i, "u", r.randbytes(3000)) for i in range(n)]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_of_one_member_before_damage_or_a_cut(level):
+    parts, other = noisy(60), records(2)
+    pack, ends, whole = W.zlib.compressobj(level, W.zlib.DEFLATED, 31), [], b""
+    for p in parts:
+        whole += pack.compress(p) + pack.flush(W.zlib.Z_FULL_FLUSH)
+        ends.append(len(whole))
+    whole += pack.flush()
+    plain = W.member(b"".join(parts), level)
+    for k in (1, 30, 59):
+        cut = whole[: ends[k] - 100]
+        assert ids(cut) == [*range(k), "damaged member"]
+        broken = bytearray(whole)
+        broken[ends[k - 1]] |= 0x06  # no such kind of block
+        got = found(bytes(broken) + b"".join(other))
+        assert [x for x in ids(bytes(broken) + b"".join(other)) if isinstance(x, int)][: k] == list(range(k))
+        assert [x for x, _, _ in got][-2:] == ["<urn:page:0>", "<urn:page:1>"] and "damaged member" in {x for x, _, _ in got}
+        places = sorted({(b, e) for _, b, e in got})
+        assert places[0][0] == 0 and all(a[1] == b[0] for a, b in zip(places, places[1:])) and places[-1][1] == len(broken) + len(b"".join(other))
+        short = plain[: len(plain) * k // 61]
+        numbers = [x for x in ids(short) if isinstance(x, int)]
+        assert numbers == list(range(len(numbers))) and k - 1 <= len(numbers) <= k
+    for many in (whole, plain):
+        checksum = bytearray(many)
+        checksum[-6] ^= 0x55
+        assert ids(bytes(checksum)) == [*range(60), "damaged member"]
+    swapped = parts[:20] + [parts[20][:-20] + b"#" + parts[20][-19:]] + parts[21:]
+    both = W.member(b"".join(swapped), level)
+    got = ids(both[: len(both) // 2])
+    assert got[:21] == [*range(20), "damaged record in a member"] and got[21:-1] == list(range(21, 20 + len(got) - 21)) and got[-1] == "damaged member"
+
+
+def test_members_of_many_records_through_spark(spark, tmp_path):
+    parts = records(5, packed=False)
+    parts[2] = parts[2].replace(b"payload 2", b"payload 3", 1)
+    whole = W.member(b"".join(parts))
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    rows = W.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows if r.gap is None) == [f"<urn:page:{i}>" for i in (0, 1, 3, 4)]
+    assert [(r.gap, r.begin, r.end) for r in rows if r.gap is not None] == [("damaged record in a member", 0, len(whole))]
