@@ -144,6 +144,19 @@ def best_stretch(same: np.ndarray, least: int = 0) -> tuple[int, int] | None:
     return int(np.flatnonzero(sums[: k + 1] == lowest[k])[-1]), least + k
 
 
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """All disjoint stretches by ``best_stretch``: the best one, then those of what is left on both its sides."""
+    found, left = [], [(0, len(same))]
+    while left:
+        low, high = left.pop()
+        best = best_stretch(same[low:high], least)
+        if best:
+            begin, end = low + best[0], low + best[1]
+            found.append((begin, end))
+            left += [(low, begin), (end, high)]
+    return sorted(found)
+
+
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
@@ -151,9 +164,7 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, test = np.frombuffer(region, np.uint64), np.frombuffer(item, np.uint64)
             low, high = max(0, shift), min(len(own), shift + len(test))
             same = own[low:high] == test[low - shift : high - shift]
-            found = best_stretch(same, min(LEAST_WORDS, len(test)))
-            if found:
-                begin, end = found
+            for begin, end in stretches(same, min(LEAST_WORDS, len(test))):
                 rows.append((k, start + low + begin, start + low + end, low - shift + begin, int(same[begin:end].sum())))
         if rows:
             which, *columns = zip(*rows, strict=True)
@@ -168,7 +179,8 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_begin, equal_words. Words are runs of letters, digits and characters
     beyond ASCII, in lower case. An overlap has LEAST_WORDS words or more, of which
     ALIKE or more are equal, and is found where a seed of a mask is equal in both
-    texts; a benchmark text shorter than the masks must stand
+    texts. Overlaps at the same offset with too few equal words between them have
+    a row each. A benchmark text shorter than the masks must stand
     whole, and one of fewer than LEAST_SHORT words matches nothing, as do null
     and empty texts. Repeated rows give rows of their own, as far as id and text
     tell them apart. Empty tables give no rows; extra columns are ignored.

@@ -102,3 +102,12 @@ def test_edited_short_items_are_found(spark):
     found = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(table, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id) for x in found} == want and len(want) > 500
     assert all(x.end - x.begin >= 12 and 5 * x.equal_words >= 4 * (x.end - x.begin) for x in found)
+
+
+def test_two_overlaps_at_one_offset(spark):
+    item = prose(70)
+    words = item[:20] + [f"x{i}" for i in range(20)] + item[40:60] + ["y"] * 10
+    docs = spark.createDataFrame([(1, " ".join(prose(30) + words + prose(30)))], "doc_id long, text string")
+    found = D.find_overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x.item_begin, x.begin, x.equal_words) for x in found) == [(0, 30, 20), (40, 70, 20)]
+    assert all(x.end - x.begin == 20 for x in found)
