@@ -171,7 +171,9 @@ def class_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     few = ids.count() <= 1 << (BITMAP_LOG - 2)
     texts = documents.select("doc_id", "text")
     if not few:
-        texts = texts.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # Rows without an id are not dealt by it: all go on, and their classes are told by the exact join.
+        named = texts.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        texts = named.unionByName(texts.filter(F.col("doc_id").isNull()))
     seen = documents.sparkSession.sparkContext.broadcast(bitmap(ids, "h", BITMAP_LOG) if few else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +341,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     link when 100 * intersection >= 80 * union; component_id is the smallest
     doc_id that links reach, the own included. Null and empty texts and those
     without words have no shingles and link with nothing. Rows with equal texts
-    are linked. A row without an id takes part through rows of equal sets only;
-    a repeated id gives a row each. An empty table gives no rows; extra columns
+    are linked. A row without an id links like the others, and its component_id
+    is null if links reach no id; a repeated id gives a row each. An empty table gives no rows; extra columns
     are ignored. Hashes have 64 bits; apart from their collisions it is exact.
     """
     rows = written(document_classes(documents), "classes")

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import messy
 import pytest
@@ -90,3 +90,27 @@ def test_components_of_random_edges(spark):
     want = {x: find(x) for x in list(parent)}
     got = C.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len({x.key for x in got}) and {x.key: x.label for x in got} == want
+
+
+def components_of(texts):
+    """A label for each text, by brute force."""
+    sets, labels = [messy.shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and labels[i] != labels[j] and 100 * len(a & b) >= 80 * len(a | b):
+                labels = [labels[j] if x == labels[i] else x for x in labels]
+    return labels
+
+
+@pytest.mark.parametrize("log", [26, 6])
+def test_rows_without_an_id_link_like_others(spark, monkeypatch, log):
+    monkeypatch.setattr(J, "BITMAP_LOG", log)
+    texts = near_copies(5, groups=5, size=8, extra=10)
+    rows = [(i if k % 3 else None, t) for k, (i, t) in enumerate(texts)]
+    labels = components_of([t for _, t in rows])
+    lowest = {}
+    for (i, _), c in zip(rows, labels, strict=True):
+        lowest[c] = min((x for x in (i, lowest.get(c)) if x is not None), default=None)
+    want = Counter((i, len(messy.shingles(t)), lowest[c]) for (i, t), c in zip(rows, labels, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()) == want
