@@ -75,7 +75,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def document_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets) and how many shingles are counted first."""
+    """doc_id, n_shingles, key (equal for equal sets), how many shingles are counted first, and text_hash."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +85,12 @@ def document_classes(documents: DataFrame) -> DataFrame:
                 below = np.append(0, np.cumsum(runs < _TOP))
                 counted = np.where(n <= _SMALL, n, below[starts[1:]] - below[starts[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(low, high - low), pa.array(n), pa.array(keys.view(np.int64)), pa.array(counted)],
-                    names=["doc_id", "n_shingles", "key", "counted"],
+                    [b.column(0).slice(low, high - low), pa.array(n), pa.array(keys.view(np.int64)), pa.array(counted), b.column(2).slice(low, high - low)],
+                    names=["doc_id", "n_shingles", "key", "counted", "text_hash"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, key long, counted long")
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key long, counted long, text_hash long")
 
 
 def _pairs_sorted(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -333,18 +334,8 @@ def linked_components(sets: DataFrame) -> DataFrame:
         members = rest
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every document.
-
-    A-Z as a-z, words are runs without ASCII spaces, and a document's set are
-    its distinct runs of five words, or all its words as one run. Two documents
-    link when 100 * intersection >= 80 * union; component_id is the smallest
-    doc_id that links reach, the own included. Null and empty texts and those
-    without words have no shingles and link with nothing. Rows with equal texts
-    are linked. A row without an id links like the others, and its component_id
-    is null if links reach no id; a repeated id gives a row each. An empty table gives no rows; extra columns
-    are ignored. Hashes have 64 bits; apart from their collisions it is exact.
-    """
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``document_classes``, and component_id and label (one for each component) of the classes with shingles."""
     rows = written(document_classes(documents), "classes")
     reps = rows.filter("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("counted").alias("counted"))
     n = rows.count()
@@ -357,15 +348,48 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     named = reps.select("key", "n_shingles", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     # Written, so that the join below reads plain exchanges and can split a class of very many copies.
-    places = written(named.join(lowest, "label").select("key", "n_shingles", "component_id"), "class-components")
+    places = written(named.join(lowest, "label").select("key", "n_shingles", "component_id", "label"), "class-components")
+    return rows, places
+
+
+def jaccard_components(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every document.
+
+    A-Z as a-z, words are runs without ASCII spaces, and a document's set are
+    its distinct runs of five words, or all its words as one run. Two documents
+    link when 100 * intersection >= 80 * union; component_id is the smallest
+    doc_id that links reach, the own included. Null and empty texts and those
+    without words have no shingles and link with nothing. Rows with equal texts
+    are linked. A row without an id links like the others, and its component_id
+    is null if links reach no id; a repeated id gives a row each. An empty table gives no rows; extra columns
+    are ignored. Hashes have 64 bits; apart from their collisions it is exact.
+    """
+    rows, places = _classes(documents)
     filled = rows.filter("n_shingles > 0").join(places, ["key", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     return filled.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the smallest doc_id of their component.
+    """One of the documents of each component, with all its columns: that of the smallest doc_id, null ids last, then text hash.
 
-    Rows that repeat a doc_id are one document and stay or go together.
+    Rows of a component that repeat the id and the text are reduced to one of
+    them. Rows without shingles link with nothing and all stay.
     """
-    kept = jaccard_components(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return documents.join(kept, documents["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    rows, places = _classes(documents)
+    whole = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")
+    best = rows.filter("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min(whole).alias("best"))
+    best = best.join(places, ["key", "n_shingles"]).groupBy("label").agg(F.min("best").alias("best"))
+    again = rows.filter("n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    kept = best.select("best.doc_id", "best.text_hash").join(again, same, "left").select("doc_id", "text_hash", F.coalesce("_again", F.lit(False)).alias("_again"))
+    bare = rows.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(False).alias("_again")).distinct()
+    kept = kept.unionByName(bare).select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"), "_again")
+    kept = written(kept, "kept")
+
+    def rows_of(few: DataFrame) -> DataFrame:
+        on = documents["doc_id"].eqNullSafe(few["_kept"]) & (F.xxhash64(documents["text"]) == few["_kept_hash"])
+        return documents.join(few, on, "left_semi")
+
+    found, repeated = rows_of(kept.filter("not _again")), kept.filter("_again")
+    return found if repeated.isEmpty() else found.unionByName(rows_of(repeated).dropDuplicates(["doc_id", "text"]))

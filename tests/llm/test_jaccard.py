@@ -114,3 +114,17 @@ def test_rows_without_an_id_link_like_others(spark, monkeypatch, log):
     want = Counter((i, len(messy.shingles(t)), lowest[c]) for (i, t), c in zip(rows, labels, strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()) == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    texts = near_copies(6, groups=5, size=6, extra=8)
+    rows = [(None if k % 3 == 0 else i, t, k) for k, (i, t) in enumerate(texts)]
+    rows += [(None, "only rows without an id have this text", 900), (None, "only rows without an id have this text", 901)]
+    rows += [(*rows[1][:2], 902), (rows[4][0], rows[4][1] + " more", 903), (None, None, 904), (None, "", 905), (None, "", 906), (7001, " ", 907)]
+    labels = components_of([t for _, t, _ in rows])
+    kept = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert Counter(labels[i] for r in kept for i, row in enumerate(rows) if row == tuple(r)) == dict.fromkeys(labels, 1)
+    assert len(kept) == len(set(labels))
+    for r in kept:
+        mine = labels[[n for _, _, n in rows].index(r.n)]
+        assert r.doc_id == min((i for (i, _, _), c in zip(rows, labels, strict=True) if c == mine and i is not None), default=None)
