@@ -16,6 +16,7 @@ from revlake.llm.langid import identify_languages
 from revlake.llm.licenses import scan_licenses
 from revlake.llm.linededup import dedup_lines
 from revlake.llm.quality import score_documents
+from revlake.llm.runs import run_digests
 from revlake.llm.sharding import shard_documents
 from revlake.llm.tables import read
 from revlake.llm.warc import archived_pages
@@ -63,6 +64,10 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed", spans.alias("removed"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pair_index_bpe": op8_pair_index_bpe,
     "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
     "op10_line_window_dedup": op10_line_window_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: SQL for those of them that SQL can express.

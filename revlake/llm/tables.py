@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlake.llm import bytetext as B
 from revlake.sources.staging import new_folder
 
+#: Of texts that are worked on together, in bytes; a longer text is alone.
+PART = 1 << 20
+#: Limits of an Arrow batch between Spark and Python: a task holds some batches on both sides.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a job runs, Arrow batches are small; the session's own settings come back after it."""
+    before = {name: spark.conf.get(name, None) for name in _BATCHES}
+    for name, value in _BATCHES.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder that all executors share and read back; cuts the lineage."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parts(column: pa.Array, size: int = PART) -> Iterator[tuple[int, int]]:
+    """Rows low to high that hold about ``size`` bytes of text, or one row."""
+    _, offsets = B.flat(column)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def text_parts(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = PART) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The first column and the texts, cut by bytes."""
+    for b in batches:
+        for low, high in parts(b.column(text), size):
+            yield b.column(0).slice(low, high - low), b.column(text).slice(low, high - low)
 
 
 def fold(doc_id: str = "doc_id"):
