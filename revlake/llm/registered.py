@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm.bpe import encode_documents
+from revlake.llm.convtrie import conversation_trie
 from revlake.llm.decontam import find_overlaps
 from revlake.llm.fingerprints import fingerprint_documents
 from revlake.llm.jaccard import jaccard_components
@@ -68,6 +69,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
     "op10_line_window_dedup": op10_line_window_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: SQL for those of them that SQL can express.
@@ -111,4 +117,34 @@ SQL: dict[str, str] = {
                coalesce(array_to_string(list_transform(list_filter(gone, lambda i: NOT list_contains(gone, i - 1)),
                    lambda b: b || '-' || list_min(list_filter(range(b, len(lines) + 1), lambda e: NOT list_contains(gone, e)))), ','), '') AS removed
         FROM j""",
+    "op13_conversation_trie": """
+        WITH own AS (
+            SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        hashed AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+                4294967295) % 9 AS h FROM own),
+        rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+            FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        places AS (
+            SELECT conv_id, len(turns) AS size, d AS depth, turns[1:d] AS prefix
+            FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+        nodes AS (
+            SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+            FROM places GROUP BY prefix, depth),
+        children AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        costs AS (
+            SELECT n.*, coalesce(c.n, 0) AS n_children,
+                   CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.prefix[n.depth].t)) END AS own_saved
+            FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix AND c.depth = n.depth),
+        subtrees AS (
+            SELECT prefix[1:d] AS prefix, d AS depth, sum(own_saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM costs) GROUP BY ALL)
+        SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children::BIGINT AS n_children, s.n_leaves,
+               s.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+        FROM costs c JOIN subtrees s ON s.prefix = c.prefix AND s.depth = c.depth
+        LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.prefix = c.prefix[1:c.depth - 1]""",
 }
