@@ -21,6 +21,7 @@ from revlake.llm.runs import run_digests
 from revlake.llm.sharding import shard_documents
 from revlake.llm.tables import read
 from revlake.llm.warc import archived_pages
+from revlake.llm.wrapper import main_texts
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read(spark, sf_dir, "documents"))
 
 
+def op12_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(read(spark, sf_dir, "conversations"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fuzzy_license_scan": op9_fuzzy_license_scan,
     "op10_line_window_dedup": op10_line_window_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_wrapper_induction": op12_wrapper_induction,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -117,6 +123,16 @@ SQL: dict[str, str] = {
                coalesce(array_to_string(list_transform(list_filter(gone, lambda i: NOT list_contains(gone, i - 1)),
                    lambda b: b || '-' || list_min(list_filter(range(b, len(lines) + 1), lambda e: NOT list_contains(gone, e)))), ','), '') AS removed
         FROM j""",
+    "op12_wrapper_induction": """
+        WITH a AS (
+            SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(p|h1|br)>') AS blocks
+            FROM pages),
+        t AS (
+            SELECT page_id, url, list_filter(list_transform(blocks, lambda b: trim(regexp_replace(
+                replace(replace(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&amp;?', '&amp;', 'g'), '&quot;', '"'), '&amp;', '&'),
+                '\\s+', ' ', 'g'))), lambda b: b <> '') AS blocks
+            FROM a)
+        SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM t""",
     "op13_conversation_trie": """
         WITH own AS (
             SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
