@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.tables import written
+from revlake.llm.tables import unused, written
 
 LINES = 3
 _BLANKS = " \t\r"
@@ -51,26 +51,14 @@ def repeated_lines(texts: DataFrame) -> DataFrame:
     return positions.select("_id", "_hash", F.sort_array(F.array_distinct(covered)).alias("_covered"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """The documents with later occurrences removed, all their columns, and three more.
-
-    text is the remaining lines; n_lines counts the lines before, n_removed the
-    removed ones, removed lists the spans as array<struct<begin, end>> (lines
-    from 0, end exclusive). A text without repeats is returned as it is, a null
-    text stays null with 0 lines, a text of fewer than three lines has no
-    window, and a text all of whose lines go becomes empty. A null doc_id comes
-    before all others. Rows with equal id and text are one document: their
-    windows share one place, and such rows get equal results. An empty table
-    gives no rows. Columns named as the three new ones are not passed on.
-    """
-    columns = [c for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
+def _deduped(documents: DataFrame, added: list[str]) -> DataFrame:
+    """The documents without later occurrences, and the three columns of ``dedup_lines`` under other names."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = repeated_lines(documents.select(F.col("doc_id").alias("_id"), key.alias("_hash"), F.col("text").alias("_text")))
-    found = found.withColumnsRenamed({"_id": "_found_id", "_hash": "_found_hash", "_covered": "_found_covered"})
-    joined = documents.select(*columns).join(
-        found, documents["doc_id"].eqNullSafe(F.col("_found_id")) & (key == F.col("_found_hash")), "left"
-    )
-    lines, gone = F.split("text", "\n"), F.col("_found_covered")
+    id_, hash_, gone_ = unused(documents, "_found_id", "_found_hash", "_found_covered")
+    found = found.withColumnsRenamed({"_id": id_, "_hash": hash_, "_covered": gone_})
+    joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col(id_)) & (key == F.col(hash_)), "left")
+    lines, gone = F.split("text", "\n"), F.col(gone_)
     kept = F.transform(
         F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone).alias("k"))),
         lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n"),
@@ -81,21 +69,43 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         lambda z: F.struct(z["a"].alias("begin"), z["b"].alias("end")),
     )
     none = F.expr("cast(array() as array<struct<begin: int, end: int>>)")
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
-        "n_removed": F.when(gone.isNull(), 0).otherwise(F.size(gone)),
-        "removed": F.when(gone.isNull(), none).otherwise(spans),
-        "text": F.when(gone.isNull(), F.col("text")).otherwise(kept),
-    }).select(*columns, "n_lines", "n_removed", "removed")
+    values = (
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)),
+        F.when(gone.isNull(), none).otherwise(spans),
+    )
+    text = F.when(gone.isNull(), F.col("text")).otherwise(kept)
+    own = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns]
+    return joined.select(*own, *(v.alias(c) for v, c in zip(values, added, strict=True)))
+
+
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """The documents with later occurrences removed, all their columns, and three more.
+
+    text is the remaining lines; n_lines counts the lines before, n_removed the
+    removed ones, removed lists the spans as array<struct<begin, end>> (lines
+    from 0, end exclusive). A text without repeats is returned as it is, a null
+    text stays null with 0 lines, a text of fewer than three lines has no
+    window, and a text all of whose lines go becomes empty. A null doc_id comes
+    before all others. Rows with equal id and text are one document: their
+    windows share one place, and such rows get equal results. An empty table
+    gives no rows. Columns named as the three new ones are not passed on.
+    """
+    added = ["n_lines", "n_removed", "removed"]
+    return _deduped(documents.drop(*added), added)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents, with their own columns, less repeated lines; those of which nothing is left go.
 
-    ``n_chars`` follows the text where there is such a column.
+    ``n_chars`` follows the text where there is such a column; all other columns
+    stay as they are, whatever their names. Null and empty texts stay, repeated
+    rows are one document (see ``dedup_lines``), an empty table gives no rows.
     """
-    cleaned = dedup_lines(documents).filter(~((F.col("n_removed") > 0) & (F.btrim("text", F.lit(_BLANKS + "\n")) == "")))
+    removed = unused(documents, "n_lines", "n_removed", "removed")
+    n = F.col(removed[1])
+    cleaned = _deduped(documents, removed).filter(~((n > 0) & (F.btrim("text", F.lit(_BLANKS + "\n")) == "")))
     if "n_chars" in documents.columns:
         size = F.char_length("text").cast(documents.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
-    return cleaned.select(*documents.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(n > 0, size).otherwise(F.col("n_chars")))
+    return cleaned.select(*(F.col(f"`{c}`") for c in documents.columns))

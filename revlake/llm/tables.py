@@ -65,6 +65,17 @@ def text_parts(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = PAR
             yield b.column(0).slice(low, high - low), b.column(text).slice(low, high - low)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until the table has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: str = "doc_id"):
     """0 to 3 by the CRC-32 of the id as text; 2 is held out. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(2))

@@ -4,7 +4,8 @@ import random
 import re
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-EXTRA = ("score", "held_out", "lang_pred", "key", "pos", "w", "removed", "_id", "shard", "place", "label", "bucket", "_own", "n")
+EXTRA = ("score", "held_out", "lang_pred", "key", "pos", "w", "removed", "_id", "shard", "place", "label", "bucket", "_own", "n",
+         "_found_id", "_found_hash", "_found_covered", "n_lines", "n_removed", "_kept")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 

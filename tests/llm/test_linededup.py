@@ -28,7 +28,7 @@ def check(spark, docs):
     rows = docs.collect()
     gone = expected(rows)
     out = D.dedup_lines(docs)
-    assert out.columns == [c for c in docs.columns if c != "removed"] + ["n_lines", "n_removed", "removed"]
+    assert out.columns == [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")] + ["n_lines", "n_removed", "removed"]
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed, tuple(i for s in r.removed for i in range(s.begin, s.end))) for r in out.collect())
     want = Counter()
     for r in rows:
@@ -55,3 +55,12 @@ def test_stage_drops_what_is_left_empty_and_keeps_the_rest(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in D.without_repeats(docs).collect()}
     assert got == {1: (passage, 1), 3: ("own\nend", 7), 4: ("", 0), 5: (None, None), 6: ("clean text", 77)}
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    docs = messy.documents(spark)
+    out = D.without_repeats(docs)
+    assert out.schema == docs.schema
+    assert all(r[c] == "z" for r in out.collect() for c in messy.EXTRA)
+    assert all(r[c] == "z" for r in D.dedup_lines(docs).collect() for c in messy.EXTRA if c not in ("n_lines", "n_removed", "removed"))
+    assert D.without_repeats(messy.empty(spark)).count() == 0
