@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
 from revlake.llm.bitmaps import bitmap, passes
-from revlake.llm.tables import written
+from revlake.llm.tables import parts, unused, written
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("1110111", "11010111", "1101100101", "101101011")
@@ -26,7 +26,8 @@ LEAST_WORDS = 12
 LEAST_SHORT = 5
 ALIKE = 0.8
 REACH = 48
-BITMAP_LOG = 26
+#: Bits of the bitmap for each seed, and the limits of its size: 512 KB to 128 MB.
+BITS, BITMAP_LOGS = 32, (22, 30)
 _SPAN = max(map(len, MASKS))
 #: What a word that isn't equal costs, in equal words.
 _OTHER = round(ALIKE / (1 - ALIKE))
@@ -87,7 +88,7 @@ def _regions(documents: DataFrame, seen: np.ndarray, short: list[int]) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches:
+        for b in (b.slice(low, high - low) for b in batches for low, high in parts(b.column(2))):
             body, offsets = B.flat(b.column(2))
             begins, _, hashes = B.words(body, offsets, B.ALNUM)
             counts = B.counts_by_text(begins, offsets)
@@ -185,7 +186,9 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     and empty texts. Repeated rows give rows of their own, as far as id and text
     tell them apart. Empty tables give no rows; extra columns are ignored.
 
-    Only a bitmap of fixed size is broadcast; seeds are joined as tables.
+    Only a bitmap of 2 to the 22 to 30 bits is broadcast, by the number of seeds;
+    beyond some 30 million seeds it lets more foreign ones pass. Seeds are joined
+    as tables. Texts are cut into parts by bytes, so memory follows the longest.
     """
     items = written(_items(benchmark), "benchmark-items")
     seeds = items.select("_item", "item_id", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select(
@@ -193,7 +196,8 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     lengths = items.filter(F.octet_length("words") < 8 * _SPAN).select((F.octet_length("words") / 8).cast("int").alias("n")).distinct()
     short = sorted(r["n"] for r in lengths.collect() if r["n"] >= LEAST_SHORT)
-    regions = written(_regions(documents, bitmap(seeds, "seed", BITMAP_LOG), short), "seed-regions")
+    log = min(max((BITS * seeds.count()).bit_length(), BITMAP_LOGS[0]), BITMAP_LOGS[1])
+    regions = written(_regions(documents, bitmap(seeds, "seed", log), short), "seed-regions")
     hits = regions.select("_region", F.explode(F.arrays_zip("at", "seeds")).alias("z")).select(
         "_region", F.col("z.at").alias("at"), F.col("z.seeds").alias("seed")
     )
@@ -207,7 +211,14 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that overlap with no benchmark text."""
-    found = find_overlaps(documents, benchmark).select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash")).distinct()
+    """The documents, with all their columns, that overlap with no benchmark text.
+
+    What overlaps is as in ``find_overlaps``: null and empty texts have no
+    overlap and stay, of repeated rows all stay or go. Equal benchmark texts
+    count once. Empty tables on either side take nothing away.
+    """
+    items = benchmark.select("item_id", "text").dropDuplicates(["text"])
+    id_, hash_ = unused(documents, "_found_id", "_found_hash")
+    found = find_overlaps(documents, items).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
-    return documents.join(found, documents["doc_id"].eqNullSafe(F.col("_found_id")) & (key == F.col("_found_hash")), "left_anti")
+    return documents.join(found, documents["doc_id"].eqNullSafe(F.col(id_)) & (key == F.col(hash_)), "left_anti")

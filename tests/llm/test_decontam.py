@@ -51,6 +51,7 @@ def test_messy_documents(spark, benchmark):
     assert {x.doc_id for x in D.find_overlaps(both, benchmark).collect()} == {None, 9_000_000_001}
     kept = D.without_overlaps(both, benchmark)
     assert kept.columns == both.columns and kept.count() == odd.count()
+    assert all(x[c] == "z" for x in kept.collect() for c in messy.EXTRA)
     assert D.without_overlaps(messy.empty(spark), benchmark).count() == 0
     assert D.without_overlaps(odd, benchmark.limit(0)).count() == odd.count()
 
