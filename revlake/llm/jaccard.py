@@ -36,15 +36,17 @@ ALIKE = 80  # of 100
 EPSILON = 1 - ALIKE / 100
 LEAF = 64
 PIVOTS = 8
-#: Sets on each side of a block, and the pairs of a region up to which it is joined in blocks.
+FAR = 0.75
+#: Of a region with LEAF unsettled members or fewer, the pairs up to which they are compared one by one.
+LEAF_PAIRS = 100_000
+#: Sets on each side of a block.
 BLOCK = 512
-BLOCK_PAIRS = 1 << 28
 BITMAP_LOG = 26
 #: Of larger sets only shingles with a hash below this share are counted first.
 SAMPLED = 0.3
 _SMALL = 64
 _TOP = np.uint64(int(SAMPLED * 2**64))
-_PART, _FLUSH = 4 << 20, 2_000_000
+_PART, _FLUSH = 1 << 20, 500_000
 
 
 def slack(n):
@@ -273,13 +275,43 @@ def _linked_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.applyInArrow(_block_links, "a long, b long")
 
 
+def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of regions' members with pivots drawn from them, and the members of the regions' cells.
+
+    A member goes into the cell of its nearest pivot and into every other cell
+    that may hold a partner: the triangle inequality bounds the distance to its
+    pivot by the nearest one's and two EPSILON. A member further than FAR from
+    all pivots goes into a cell for these alone, where whoever may be its partner
+    goes as well; new pivots divide it. A region of which a cell would
+    hold more than three quarters, or whose cells hold two copies of each member
+    on average, stays one and is marked whole.
+    """
+    draw = F.pmod(F.xxhash64("key", "region", F.lit(PIVOTS)), F.lit(1 << 30))
+    least = regions.groupBy("region").agg(F.min(F.struct(draw.alias("x"), F.col("key").alias("k")))["k"].alias("sure"))
+    chosen = regions.join(least, "region").filter((draw < F.lit(PIVOTS << 30) / F.col("all")) | (F.col("key") == F.col("sure")))
+    chosen = chosen.select("region", F.col("key").alias("pivot"))
+    asked = regions.join(chosen, "region").filter("key <> pivot")
+    found = written(measured(asked.select("region", "key", "pivot", F.col("d").alias("old")), sets, "key", "pivot"), "cells")
+    unsettled = found.join(chosen.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
+    nearest = unsettled.groupBy("region", "key").agg(F.min("d").alias("best"), F.first("old").alias("old"))
+    near = unsettled.join(nearest.drop("old"), ["region", "key"]).filter((F.col("best") <= FAR) & (F.col("d") <= F.col("best") + 2 * EPSILON + 1e-9))
+    near = near.select("region", F.xxhash64("region", "pivot").alias("cell"), "key", "d")
+    far = nearest.filter(F.col("best") > FAR - EPSILON - 1e-9).select("region", F.xxhash64("region", F.lit("far")).alias("cell"), "key", F.col("old").alias("d"))
+    kept = near.unionByName(far)
+    cells = kept.groupBy("region", "cell").agg(F.count("*").alias("rows")).groupBy("region").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+    gain = cells.join(nearest.groupBy("region").agg(F.count("*").alias("keys")), "region")
+    gain = gain.select("region", ((F.col("rows") <= 2 * F.col("keys")) & (4 * F.col("most") <= 3 * F.col("keys"))).alias("split"))
+    divided = kept.join(gain.filter("split"), "region").select(F.col("cell").alias("region"), "key", "d", F.lit(False).alias("whole"))
+    whole = nearest.join(gain.filter("not split"), "region").select("region", "key", F.col("old").alias("d"), F.lit(True).alias("whole"))
+    return _edges(found, "key", "pivot"), written(divided.unionByName(whole), "cells-left")
+
+
 def linked_components(sets: DataFrame) -> DataFrame:
     """key and label of classes that link with another; equal labels are one component."""
     first = written(measured(regions_of_rare_shingles(sets), sets, "key", "region"), "regions")
     edges = _edges(first, "key", "region")
-    members = first.select("region", "key", "d")
+    members = first.select("region", "key", "d", F.lit(False).alias("whole"))
     sizes = sets.select("key", "n")
-    pivots = PIVOTS
     while True:
         labels = components(edges)
         named = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -295,43 +327,28 @@ def linked_components(sets: DataFrame) -> DataFrame:
         inside = named.join(open_, "region")
         found = []
         # Few others: each is compared with the members that the window and the sizes leave.
-        few = inside.filter(F.col("others") <= LEAF)
+        pairwise = (F.col("others") <= LEAF) & (F.col("others") * F.col("all") <= LEAF_PAIRS)
+        few = inside.filter(pairwise)
         other = few.filter("label <> main").select("region", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"), F.col("n").alias("nb"))
         pairs = few.withColumnRenamed("key", "a").join(other, "region").filter(
             (F.col("label") != F.col("lb")) & _near("d", "db") & (100 * F.least("n", "nb") >= ALIKE * F.greatest("n", "nb"))
         )
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(_edges(measured(pairs, sets, "a", "b"), "a", "b"))
-        # More others: members and others meet in blocks, which hold each set for BLOCK pairs.
-        more = (F.col("others") > LEAF) & (F.col("others") * F.col("all") <= BLOCK_PAIRS)
-        found.append(_linked_in_blocks(inside.filter(more), sets))
-        # Very many others: more pivots, cells around them, and replicas within the windows.
-        large = (F.col("others") > LEAF) & (F.col("others") * F.col("all") > BLOCK_PAIRS)
-        many = written(inside.filter(large).select("region", "key", "d", "all"), "large-regions")
-        rest = many.select("region", "key", "d").limit(0)
+        # More others: pivots, cells around them, and replicas within the windows.
+        asks = (F.col("others") > LEAF) & ~F.col("whole")
+        many = written(inside.filter(asks).select("region", "key", "d", "all"), "large-regions")
+        members = None
         if not many.isEmpty():
-            draw = F.pmod(F.xxhash64("key", "region", F.lit(pivots)), F.lit(1 << 30))
-            least = many.groupBy("region").agg(F.min(F.struct(draw.alias("x"), F.col("key").alias("k")))["k"].alias("sure"))
-            chosen = many.join(least, "region").filter((draw < F.lit(pivots << 30) / F.col("all")) | (F.col("key") == F.col("sure")))
-            chosen = chosen.select("region", F.col("key").alias("pivot"), F.col("d").alias("dp"))
-            asked = many.join(chosen, "region").filter("key <> pivot")
-            cells = written(measured(asked.select("region", "key", "pivot", F.col("d").alias("old")), sets, "key", "pivot"), "cells")
-            found.append(_edges(cells, "key", "pivot"))
-            unsettled = cells.join(chosen.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
-            nearest = unsettled.groupBy("region", "key").agg(F.min("d").alias("best"), F.first("old").alias("old"))
-            kept = unsettled.join(nearest.drop("old"), ["region", "key"]).filter(F.col("d") <= F.col("best") + 2 * EPSILON + 1e-9)
-            # Cells that hold nearly everything would only multiply the region; it then stays one.
-            gain = kept.groupBy("region").agg(F.count("*").alias("rows")).join(
-                nearest.groupBy("region").agg(F.count("*").alias("keys")), "region"
-            ).withColumn("split", F.col("rows") <= 2 * F.col("keys")).select("region", "split")
-            split = kept.join(gain.filter("split"), "region").select(F.xxhash64("region", "pivot").alias("region"), "key", "d")
-            whole = nearest.join(gain.filter("not split"), "region").select("region", "key", F.col("old").alias("d"))
-            rest = written(split.unionByName(whole), "cells-left")
-            pivots *= 2
+            links, members = _cells(many, sets)
+            found.append(links)
+        # A region that cells can't divide is joined in blocks, as is one with few others but very many members.
+        found.append(_linked_in_blocks(inside.filter(~pairwise & ~asks), sets))
         for links in found:
             edges = edges.unionByName(links)
         edges = written(edges.distinct(), "links")
-        members = rest
+        if members is None:
+            return components(edges)
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

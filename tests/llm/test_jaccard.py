@@ -14,7 +14,8 @@ def expected(rows):
 
     def find(x):
         while parent[x] != x:
-            x = parent[x] = parent[parent[x]]
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     for i, (_, a) in enumerate(sets):
@@ -50,17 +51,42 @@ def near_copies(seed, groups=6, size=14, extra=30):
     return [(i * 3, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("way", ["as it is", "blocks", "pivots"])
+@pytest.mark.parametrize("way", ["as it is", "blocks", "cells"])
 def test_near_copies(spark, monkeypatch, way):
-    if way != "as it is":
+    if way == "blocks":
+        monkeypatch.setattr(J, "LEAF_PAIRS", 0)
+        monkeypatch.setattr(J, "BLOCK", 5)
+    if way == "cells":
         monkeypatch.setattr(J, "LEAF", 1)
         monkeypatch.setattr(J, "BLOCK", 5)
-    if way == "pivots":
-        monkeypatch.setattr(J, "BLOCK_PAIRS", 0)
         monkeypatch.setattr(J, "PIVOTS", 2)
     check(spark.createDataFrame(near_copies(3), "doc_id long, text string"))
 
 
+def test_a_region_of_many_groups_is_divided_into_cells(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 50000)}"
+    rows, shared = [], [word() for _ in range(6)]
+    for _ in range(8):
+        base = [word() for _ in range(60)]
+        for k in range(100):
+            w = list(base)
+            for _ in range(r.randint(1, 2)):
+                w[r.randrange(60)] = word()
+            rows.append((len(rows), " ".join(w + (shared if k < 10 else []))))
+    seen, cells = [], J._cells
+
+    def spied(regions, sets):
+        links, members = cells(regions, sets)
+        seen.append((regions.count(), members.filter("not whole").count(), members.filter("not whole").select("region").distinct().count()))
+        return links, members
+
+    monkeypatch.setattr(J, "_cells", spied)
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    # Documents of a region, places in cells (replicas included), and cells.
+    assert seen and seen[0][0] > J.LEAF and seen[0][1] > J.LEAF and seen[0][2] > 1
+
+
 def test_messy_documents(spark):
     docs = messy.documents(spark)
     check(docs)
