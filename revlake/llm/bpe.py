@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK = 48_000_000
+from revlake.llm.tables import frugal
+
+BLOCK = 12_000_000
 _CHUNK = 512
 _SHIFT = np.int64(20)
 
@@ -310,7 +312,7 @@ def encode_documents(documents: DataFrame, path: str, keep: bool = False) -> Dat
                     columns += [pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(encode, schema)
+    return documents.select("doc_id", "text").mapInArrow(frugal(encode), schema)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
 from revlake.llm.bitmaps import bitmap, passes
-from revlake.llm.tables import parts, unused, written
+from revlake.llm.tables import frugal, parts, unused, written
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("1110111", "11010111", "1101100101", "101101011")
@@ -122,7 +122,7 @@ def _regions(documents: DataFrame, seen: np.ndarray, short: list[int]) -> DataFr
 
     texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.lower("text").alias("text"))
     schema = f"doc_id {id_type}, text_hash long, start long, doc_words binary, at array<int>, seeds array<long>"
-    return texts.mapInArrow(run, schema).withColumn("_region", F.monotonically_increasing_id())
+    return texts.mapInArrow(frugal(run), schema).withColumn("_region", F.monotonically_increasing_id())
 
 
 def best_stretch(same: np.ndarray, least: int = 0) -> tuple[int, int] | None:

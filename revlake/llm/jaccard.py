@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from revlake.llm import bytetext as B
 from revlake.llm.bitmaps import bitmap, passes
 from revlake.llm.components import components
-from revlake.llm.tables import written
+from revlake.llm.tables import frugal, written
 
 WORDS = 5
 ALIKE = 80  # of 100
@@ -40,7 +40,7 @@ FAR = 0.75
 #: Of a region with LEAF unsettled members or fewer, the pairs up to which they are compared one by one.
 LEAF_PAIRS = 100_000
 #: Sets on each side of a block.
-BLOCK = 512
+BLOCK = 1024
 BITMAP_LOG = 26
 #: Of larger sets only shingles with a hash below this share are counted first.
 SAMPLED = 0.3
@@ -92,7 +92,7 @@ def document_classes(documents: DataFrame) -> DataFrame:
                 )
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return texts.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key long, counted long, text_hash long")
+    return texts.mapInArrow(frugal(run), f"doc_id {id_type}, n_shingles long, key long, counted long, text_hash long")
 
 
 def _pairs_sorted(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def shared_shingles(documents: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"key": pa.array(kinds.view(np.int64)), "covered": pa.array(sums)})
 
     schema = "bucket long, tokens binary, keys binary, here binary, times binary"
-    indexed = documents.select("text").mapInArrow(index, schema)
+    indexed = documents.select("text").mapInArrow(frugal(index), schema)
     return indexed.groupBy("bucket").applyInArrow(counted, "key long, covered long").groupBy("key").agg(F.sum("covered").alias("covered"))
 
 
@@ -191,7 +191,7 @@ def class_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["key", "n", "shingles"],
                 )
 
-    made = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "key long, n long, shingles array<long>")
+    made = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(frugal(run), "key long, n long, shingles array<long>")
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -243,8 +243,8 @@ def _block_links(table: pa.Table) -> pa.Table:
     (ka, la, na, sa, oa), (kb, lb, nb, sb, ob) = sides
     common = np.intersect1d(sa, sb)
     shared = np.zeros((len(ka), len(kb)), np.float32)
-    for low in range(0, len(common), 8192):
-        part = common[low : low + 8192]
+    for low in range(0, len(common), 2048):
+        part = common[low : low + 2048]
         marks = []
         for s, o, rows in ((sa, oa, len(ka)), (sb, ob, len(kb))):
             at = np.minimum(np.searchsorted(part, s), len(part) - 1)
@@ -275,6 +275,21 @@ def _linked_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.applyInArrow(_block_links, "a long, b long")
 
 
+def _to_pivots(regions: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """region, key, pivot, old (the distance so far), d and link of each member with each pivot of its region.
+
+    A member's set moves once, to its region's few pivots.
+    """
+    own = chosen.join(sets.withColumnRenamed("key", "pivot"), "pivot")
+    pivots = own.groupBy("region").agg(F.collect_list(F.struct("pivot", "n", "shingles")).alias("_pivots"))
+    held = regions.select("region", "key", F.col("d").alias("old")).join(sets, "key").join(pivots, "region")
+    shared = lambda p: F.size(F.array_intersect("shingles", p["shingles"])).cast("long")
+    told = F.transform("_pivots", lambda p: F.struct(p["pivot"].alias("pivot"), p["n"].alias("m"), shared(p).alias("i")))
+    rows = held.select("region", "key", "old", "n", F.inline(told)).filter("key <> pivot")
+    union = F.col("n") + F.col("m") - F.col("i")
+    return rows.select("region", "key", "pivot", "old", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= ALIKE * union).alias("link"))
+
+
 def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of regions' members with pivots drawn from them, and the members of the regions' cells.
 
@@ -290,8 +305,7 @@ def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = regions.groupBy("region").agg(F.min(F.struct(draw.alias("x"), F.col("key").alias("k")))["k"].alias("sure"))
     chosen = regions.join(least, "region").filter((draw < F.lit(PIVOTS << 30) / F.col("all")) | (F.col("key") == F.col("sure")))
     chosen = chosen.select("region", F.col("key").alias("pivot"))
-    asked = regions.join(chosen, "region").filter("key <> pivot")
-    found = written(measured(asked.select("region", "key", "pivot", F.col("d").alias("old")), sets, "key", "pivot"), "cells")
+    found = written(_to_pivots(regions, chosen, sets), "cells")
     unsettled = found.join(chosen.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
     nearest = unsettled.groupBy("region", "key").agg(F.min("d").alias("best"), F.first("old").alias("old"))
     near = unsettled.join(nearest.drop("old"), ["region", "key"]).filter((F.col("best") <= FAR) & (F.col("d") <= F.col("best") + 2 * EPSILON + 1e-9))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
-from revlake.llm.tables import fold, written
+from revlake.llm.tables import fold, frugal, written
 
 #: Language families by ISO 639-1 code. Any other language is a family of its own.
 FAMILIES = {
@@ -211,7 +211,7 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG, languages: int = LANGUAG
     scale = 1 << 30
     limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(scale * min(1.0, per_lang / r["count"])))])
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0)))
-    sample = written(drawn.select("lang", "text").mapInArrow(_features, "lang string, counts binary"), "langid-sample")
+    sample = written(drawn.select("lang", "text").mapInArrow(frugal(_features), "lang string, counts binary"), "langid-sample")
     sums = {r["lang"]: np.frombuffer(r["sums"], np.int64) for r in sample.groupBy("lang").applyInPandas(_sum_language, "lang string, sums binary").collect()}
     if not sums:
         return Model()
@@ -262,7 +262,7 @@ def predict(documents: DataFrame, model: Model, carry: list[str] | None = None)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    found = rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(frugal(run), schema)
     return found.select("doc_id", "held_out", "lang_pred", "score", *[f.name for f in kept[2:]])
 
 

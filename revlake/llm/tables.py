@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from revlake.sources.staging import new_folder
 
 #: Of texts that are worked on together, in bytes; a longer text is alone.
 PART = 1 << 20
+_LARGE = 4 << 20
 #: Limits of an Arrow batch between Spark and Python: a task holds some batches on both sides.
 _BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
@@ -48,6 +51,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Give memory back at once: large arrays when they are freed, the rest at the end of a task.
+
+    A worker process lives on for later tasks, and what its allocators keep is
+    missing to them and to Spark. Where the C library has no such calls nothing
+    changes.
+    """
+
+    @wraps(run)
+    def held(*args) -> Iterator[pa.RecordBatch]:
+        library = ctypes.CDLL(None)
+        if hasattr(library, "mallopt"):
+            library.mallopt(-3, _LARGE)  # M_MMAP_THRESHOLD: from this size on, memory of its own
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(library, "malloc_trim"):
+                library.malloc_trim(0)
+
+    return held
+
+
 def parts(column: pa.Array, size: int = PART) -> Iterator[tuple[int, int]]:
     """Rows low to high that hold about ``size`` bytes of text, or one row."""
     _, offsets = B.flat(column)
