@@ -19,13 +19,13 @@ WHITE_SPACE = "".join(
 )
 
 
-def reused(build: Callable[..., Column]) -> Callable[..., Column]:
-    """Build an expression once per JVM and set of (hashable) arguments.
+def reused[T](build: Callable[..., T]) -> Callable[..., T]:
+    """Build an expression, or several, once per JVM and set of (hashable) arguments.
 
     Large expressions take thousands of calls to the JVM to put together. They
     name their input columns, so the same one serves every plan.
     """
-    built: dict[tuple, Column] = {}
+    built: dict[tuple, T] = {}
 
     @wraps(build)
     def get(*args):

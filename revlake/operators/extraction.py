@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.functions.lexing import functions_in
+from revlake.functions.lexing import body_end_columns, functions_in, with_body_ends
 from revlake.functions.text import newlines, reused, strip
 from revlake.languages import LANGUAGES, LanguageSpec
 from revlake.operators.diffs import (
@@ -31,9 +31,15 @@ def function_id(line: Column, keys: tuple[str, ...] = PR_KEYS) -> Column:
 
 @reused
 def _found(compat: bool, specs: tuple[LanguageSpec, ...]) -> Column:
-    return by_language(
-        F.col("language"), lambda spec: functions_in(spec, F.col("added_text"), compat), specs
-    )
+    def found(spec: LanguageSpec) -> Column:
+        return functions_in(spec, F.col("added_text"), compat, chunks=F.col("_chunks"), ends=F.col("_ends"))
+
+    return by_language(F.col("language"), found, specs)
+
+
+@reused
+def _passes(specs: tuple[LanguageSpec, ...]) -> tuple[Column, Column, Column]:
+    return body_end_columns(lambda choose: by_language(F.col("language"), choose, specs))
 
 
 def functions_of_files(
@@ -53,7 +59,10 @@ def functions_of_files(
     """
     if line_mode not in ("true", "file_first"):
         raise ValueError(f"unknown line_mode: {line_mode}")
+    braces = tuple(spec for spec in specs if spec.body != "indent")
     listed = (F.inline_outer if keep_all else F.inline)(_found(compat, specs))
+    if braces:
+        texts = with_body_ends(texts, _passes(braces))
     rows = texts.select(*keys, *carry, "file_path", "language", "line_numbers", listed)
     source = strip(F.col("source"))
     numbers = F.col("line_numbers")

@@ -251,6 +251,17 @@ def changed_functions_file_first(spark, sf_dir):
     return found.select("pr_number", "function_name", "start_line", "end_line")
 
 
+@_register(
+    "changed_functions_unclosed",
+    "WITH u AS (SELECT c_custkey AS k, 70 + c_custkey % 10 AS m FROM customer) "
+    "SELECT k AS pr_number, 'f1' AS function_name, 1 AS start_line, (2 * m + 3)::INTEGER AS end_line FROM u WHERE k % 3 = 0 "
+    "UNION ALL SELECT k, 'last', (2 * m + 1)::INTEGER, (2 * m + 3)::INTEGER FROM u WHERE k % 3 <> 0 "
+    "UNION ALL SELECT k, 'f' || i, (2 * i - 1)::INTEGER, (2 * m + 3)::INTEGER FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM u WHERE k % 3 = 2)",
+)
+def changed_functions_unclosed(spark, sf_dir):
+    return E.changed_functions(B.unclosed_diffs(spark, sf_dir)).select("pr_number", "function_name", "start_line", "end_line")
+
+
 @_register(
     "rust_match_arms",
     _FUNCTIONS + " SELECT pr_number, function_name, CASE WHEN function_name LIKE 'f%' THEN 6 * n_match ELSE 0 END AS arms "

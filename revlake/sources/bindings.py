@@ -246,6 +246,26 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unclosed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One new file per customer: 70 to 79 functions that never close, and a closed one behind them."""
+    k = F.col("c_custkey")
+    many = (70 + k % 10).cast("int")
+    kind = k % 3
+    javascript = _lines(_times(many, "function f%s(a) {", "  g('}', a); // }"), "function last() {", "  return `}`;", "}")
+    rust = _lines(_times(many, "fn f%s(a: i32) {", '    g("}", a); // }'), "fn last() {", "    /* } */", "}")
+    go = _lines(_times(many, "func f%s(a int) {", "\tg(`}`, a) // }"), "func last() {", '\ts := "}"', "}")
+    lines = F.when(kind == 0, javascript).when(kind == 1, rust).otherwise(go)
+    path = F.format_string("src/u%d%s", k, F.when(kind == 0, ".js").when(kind == 1, ".rs").otherwise(".go"))
+    text = F.concat(
+        F.format_string("diff --git a/%s b/%s\nnew file mode 100644\n--- /dev/null\n+++ b/%s\n", path, path, path),
+        F.format_string("@@ -0,0 +1,%d @@\n", F.size(lines)),
+        F.array_join(F.transform(lines, lambda l: F.concat(F.lit("+"), l)), "\n"), F.lit("\n"),
+    )
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
+        F.lit("org/unclosed").alias("repo_full_name"), k.alias("pr_number"), F.lit("Unclosed").alias("pr_title"), text.alias("diff_text")
+    )
+
+
 def code_cte() -> str:
     """The oracle's view of generated code: every order with its counts."""
     counts = ", ".join(

@@ -306,8 +306,18 @@ def brute_force_functions(text, spec):
     return found
 
 
+def df_functions(df, spec):
+    """t and f: the functions by the passes over each text."""
+    if spec.body == "indent":
+        return df.select("t", X.functions_in(spec, F.col("t")).alias("f"))
+    told = X.with_body_ends(df, X.body_end_columns(lambda choose: choose(spec), "t"))
+    return told.select("t", X.functions_in(spec, F.col("t"), chunks=F.col("_chunks"), ends=F.col("_ends")).alias("f"))
+
+
+@pytest.mark.parametrize("windows", [X.BODY_WINDOWS, (1,), (1, 2)], ids=["windows", "one pass", "both"])
 @pytest.mark.parametrize("spec", LANGUAGES, ids=lambda s: s.language)
-def test_functions_equal_brute_force(spark, spec):
+def test_functions_equal_brute_force(spark, monkeypatch, spec, windows):
+    monkeypatch.setattr(X, "BODY_WINDOWS", windows)
     pieces = [
         "def f(a):", "  def g(b): return 1", "\tasync def h(", "    x = 1", "  y = {", "}", "  }", "", "   ",
         "function h(x) {", "function i(", "  if (x) {", "while (f(", "const k = y => y", "const of = (a) => {",
@@ -316,8 +326,39 @@ def test_functions_equal_brute_force(spark, spec):
         "func (t *T) M() {", "func N(", '"{', "'}", "`", "// }", "/* {", "*/", "function j(a): Promise<X> {",
     ]
     rng = random.Random(23)
-    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(16))) for _ in range(4000)]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(16))) for _ in range(2500)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
-    for row in df.select("t", X.functions_in(spec, F.col("t")).alias("f")).collect():
+    for row in df_functions(df, spec).collect():
         found = [(f.function_name, f.source, f.first_line) for f in row.f]
         assert found == brute_force_functions(row.t, spec), repr(row.t)
+
+
+def unclosed_text(language, count):
+    if language == "javascript":
+        return "\n".join(f"function f{i}(a) {{\n  if (a) {{ g(a); }}" for i in range(count))
+    return "\n".join(f"fn f{i}(a: i32) {{\n  let s = \"}}\";" for i in range(count))
+
+
+@pytest.mark.parametrize("spec", [JAVASCRIPT, RUST], ids=lambda s: s.language)
+def test_unclosed_bodies_cost_in_proportion(spark, spec):
+    import time
+
+    def seconds(count):
+        df = spark.createDataFrame([(unclosed_text(spec.language, count),)], "t string")
+        start = time.perf_counter()
+        found = df_functions(df, spec).select(F.size("f").alias("n"), F.length(F.get("f", F.lit(0))["source"]).alias("size"), F.length("t").alias("all"))
+        (row,) = found.collect()
+        assert (row.n, row.size) == ((1, row.all) if spec is JAVASCRIPT else (0, None))
+        return time.perf_counter() - start
+
+    seconds(500)
+    least = {n: min(seconds(n) for _ in range(3)) for n in (2000, 4000)}
+    assert least[4000] <= 2.5 * least[2000] + 0.1, least
+
+
+def test_closed_bodies_among_thousands_of_unclosed_ones(spark):
+    text = "func open(a) {\n" * 3000 + "func last() {\n  return \"}\"\n}\n"
+    names = df_functions(spark.createDataFrame([(text,)], "t string"), GO)
+    (row,) = names.select(F.size("f").alias("n"), F.element_at("f", -1).alias("last"), F.get("f", F.lit(2998))["source"].alias("inner")).collect()
+    assert row.n == 3001 and row.last.source == "func last() {\n  return \"}\"\n}" and row.last.first_line == 3000
+    assert row.inner == text[15 * 2998 :]
