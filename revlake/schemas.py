@@ -28,7 +28,7 @@ DELIVERIES = _struct(delivery_id=_S, received_at=_TS, signature=_S, body=_S)
 
 JOBS = _struct(
     id=_L, celery_task_id=_S, repo_full_name=_S, pr_number=_L, status=_S, error_message=_S,
-    created_at=_TS, updated_at=_TS,
+    created_at=_TS, updated_at=_TS, pr_title=_S, installation_id=_L,
 )
 
 JOB_EVENTS = _struct(task_id=_S, seq=_L, status=_S, error_message=_S, ts=_TS)
@@ -41,6 +41,7 @@ REPO_CONFIGS = _struct(
 REVIEWS = _struct(
     id=_L, repo_full_name=_S, pr_number=_L, pr_title=_S, function_name=_S, file_path=_S,
     line_number=_I, complexity_score=_D, suggestion=_S, priority=_S, status=_S, created_at=_TS,
+    review_key=_S, task_id=_S,
 )
 
 PR_COMMENTS = _struct(repo_full_name=_S, pr_number=_L, comment_id=_L, body=_S, created_at=_TS)

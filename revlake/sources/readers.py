@@ -22,6 +22,19 @@ def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_landed_diffs(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Landed diff files with the task each was fetched for, whatever their names.
+
+    ``manifest`` has a row for each file: ``file_path`` as Spark names it, and
+    ``task_id``. A file that it doesn't name is not read into a run, and a file
+    named for several tasks is read for each. The texts don't move for the join
+    while the manifest is within the broadcast limit.
+    """
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    files = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("diff_text"))
+    return files.join(manifest.select("file_path", "task_id"), "file_path").select("task_id", "diff_text")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(schema).load(path)
 

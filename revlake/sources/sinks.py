@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlake import schemas
 
@@ -12,12 +13,13 @@ def with_review_defaults(reviews: DataFrame) -> DataFrame:
     """Review rows in table order, with the stored defaults where a value is missing."""
     fallback = {name: F.lit(value) for name, value in schemas.REVIEW_DEFAULTS.items()}
     fallback["created_at"] = F.current_timestamp()
-    return reviews.select(
-        *[
-            F.coalesce(F.col(name), fallback[name]).alias(name) if name in fallback else F.col(name)
-            for name in schemas.REVIEWS.names
-        ]
-    )
+
+    def stored(field: T.StructField) -> Column:
+        # Reviews without a key or a task of their own keep null there.
+        own = F.col(field.name) if field.name in reviews.columns else F.lit(None).cast(field.dataType)
+        return F.coalesce(own, fallback[field.name]).alias(field.name) if field.name in fallback else own.alias(field.name)
+
+    return reviews.select(*[stored(field) for field in schemas.REVIEWS])
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:

@@ -58,7 +58,7 @@ def test_get_review(spark):
 
 def test_job_list(spark):
     jobs = spark.createDataFrame(
-        [(1, "t", "o/r", 3, "failed", "boom", datetime(2024, 1, 1), None)], schemas.JOBS
+        [(1, "t", "o/r", 3, "failed", "boom", datetime(2024, 1, 1), None, None, None)], schemas.JOBS
     )
     row = Q.list_jobs(jobs, repo="o/r").rows.first()
     assert (row.celery_task_id, row.repo, row.error_message, row.created_at) == ("t", "o/r", "boom", "2024-01-01T00:00:00")
