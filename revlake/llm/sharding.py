@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from revlake.llm.tables import written
 
 ROUNDS = 6
-WALKS = 16
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -58,16 +57,15 @@ def _network(x: Column, n: int, seed: int, rounds: range, sign: int) -> Column:
 
 def _walk(x: Column, n: int, seed: int, rounds: range, sign: int) -> Column:
     a, b = sides(n)
-    # A walk outside meets each of the a * b - n outer numbers once at most.
-    # Each is met with a chance below 1 / sqrt(n), so 16 steps are never used
-    # up for the large n for which they are fewer than that.
-    steps = max(1, min(a * b - n, max(WALKS, 4096 if a <= 4096 else 0)))
-    first = _network(x, n, seed, rounds, sign)
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), first,
-        lambda y, _: F.when(y < n, y).otherwise(_network(y, n, seed, rounds, sign)),
-    )
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    # A walk meets each of the a * b - n outer numbers once at most, so as many
+    # steps always end it. Only the few rows that begin outside walk at all.
+    steps = F.sequence(F.lit(1), F.lit(max(1, a * b - n)))
+
+    def inside(first: Column) -> Column:
+        walked = F.aggregate(steps, first, lambda y, _: F.when(y < n, y).otherwise(_network(y, n, seed, rounds, sign)))
+        return F.when(first < n, first).otherwise(walked)
+
+    return F.transform(F.array(_network(x, n, seed, rounds, sign)), inside)[0]
 
 
 def permuted(x: Column, n: int, seed: int = 1) -> Column:

@@ -60,3 +60,20 @@ def test_messy_documents(spark):
 
 def test_empty_table(spark):
     assert S.shard_documents(messy.empty(spark)).count() == 0
+
+
+def test_walks_end_and_cost_little_at_any_count(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    seconds = {}
+    for n in (17_000_000, 16_004_001):  # many outer numbers, and fewer
+        rows = spark.range(n - 100_000, n).select(F.col("id"), S.permuted(F.col("id"), n).alias("p"))
+        rows.write.format("noop").mode("overwrite").save()
+        start = time.perf_counter()
+        rows.write.format("noop").mode("overwrite").save()
+        seconds[n] = time.perf_counter() - start
+        back = rows.filter((F.col("p") < 0) | (F.col("p") >= n) | (S.restored(F.col("p"), n) != F.col("id")))
+        assert back.count() == 0
+    assert seconds[16_004_001] <= 1.3 * seconds[17_000_000] + 0.5, seconds
