@@ -186,22 +186,26 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """A model from all labelled documents outside the held-out fold; fold 3 calibrates.
+    """A model from all labelled documents outside the held-out fold; those of fold 3 calibrate.
+
+    Without labels in fold 3, or in it alone, the ridge scores are not calibrated.
 
     Sums leave the tasks, never rows: the driver solves for RANDOM_FEATURES + 1
     weights and pools BINS + 1 calibration bins.
     """
-    spread = stats.select(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]).first()
+    learning = stats.filter(fold() != 2)
+    spread = learning.select(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]).first()
     mean = np.array([spread[f"m{i}"] or 0.0 for i in range(len(FEATURES))])
     scale = np.array([spread[f"s{i}"] or 1.0 for i in range(len(FEATURES))])
     model = Model(mean, np.maximum(scale, 1e-6))
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
-    learnt = stats.filter(fold() != 2).join(known, F.col("doc_id") == F.col("_id")).withColumn("_fold", fold())
-    # With few labels one fold may be empty; then both parts use all of them.
+    learnt = learning.join(known, F.col("doc_id") == F.col("_id")).withColumn("_fold", fold())
     sizes = {r["_fold"]: r["count"] for r in learnt.groupBy("_fold").count().collect()}
     if not sizes:
         return model
-    apart = sizes.get(CALIBRATION_FOLD, 0) >= 50 and sum(sizes.values()) - sizes[CALIBRATION_FOLD] >= 50
+    # Where all labels are in the calibration fold they train, and nothing calibrates.
+    held_size = sizes.get(CALIBRATION_FOLD, 0)
+    apart = sum(sizes.values()) > held_size
     training = learnt.filter(F.col("_fold") != CALIBRATION_FOLD) if apart else learnt
     sums = training.select("_y", *FEATURES).mapInArrow(_normal_equations(model), "at long, value double")
     values = np.zeros(0)
@@ -214,12 +218,15 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     penalty = np.diag(np.append(np.full(size - 1, RIDGE * max(gram[-1, -1], 1)), 1e-9))
     model.weights = np.linalg.solve(gram + penalty, values[-size:])
 
+    if not (apart and held_size):
+        return model
+
     def binned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins = np.rint(model.raw(_stats(b, 1)) * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column(0)], names=["bin", "y"])
 
-    held = learnt.filter(F.col("_fold") == CALIBRATION_FOLD) if apart else learnt
+    held = learnt.filter(F.col("_fold") == CALIBRATION_FOLD)
     bins = held.select("_y", *FEATURES).mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     pooled = isotonic(np.array([r["y"] for r in bins]), np.array([float(r["n"]) for r in bins]))
     model.steps = np.interp(np.arange(BINS + 1), [r["bin"] for r in bins], pooled)
