@@ -42,13 +42,24 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.spli
 BITS = 12
 SIZE = 1 << BITS
 PER_LANG = 2000
-LANGUAGES = 200
 UNKNOWN = "und"
 _TEXTS, _PART = 256, 1 << 20
 
 
-def family_of(lang: str) -> str:
-    return _FAMILY.get(lang.lower().split("-")[0], lang)
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    """Languages by family. Where a base code comes with several tags, its languages are a family of their own.
+
+    So a family has no more members than it has base codes, or a base code tags.
+    """
+    base = {lang: lang.lower().split("-")[0] for lang in langs}
+    tags: dict[str, int] = {}
+    for lang in langs:
+        tags[base[lang]] = tags.get(base[lang], 0) + 1
+    out: dict[str, list[str]] = {}
+    for lang in langs:
+        code = base[lang]
+        out.setdefault(code if tags[code] > 1 else _FAMILY.get(code, lang), []).append(lang)
+    return out
 
 
 # Letters and bytes of longer characters stay, A-Z as a-z; all else is one space.
@@ -198,27 +209,26 @@ def _fit_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [key[0]], "b": [key[1]], "weights": [svm_weights(x, y).tobytes()]})
 
 
-def fit(documents: DataFrame, per_lang: int = PER_LANG, languages: int = LANGUAGES) -> Model:
-    """A model from a sample of about ``per_lang`` documents for each of the most frequent languages.
+def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """A model from a sample of about ``per_lang`` documents for each labelled language.
+
+    Of each language 32 KB of sums come to the driver, of each pair in a family 33 KB of weights.
 
     Only rows outside the held-out fold with a language and a letter count. The
     sample is drawn by a hash of the id, so it does not depend on partitions.
     """
     labelled = documents.filter(F.col("lang").isNotNull() & (fold() != 2)).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return Model()
     scale = 1 << 30
-    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(scale * min(1.0, per_lang / r["count"])))])
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0)))
+    share = F.floor(F.lit(scale) * F.least(F.lit(1.0), per_lang / F.col("count"))).alias("_limit")
+    # Written, so that its size is known: a table of few languages is broadcast.
+    limits = written(labelled.groupBy("lang").count().select(F.col("lang").alias("_lang"), share), "langid-limits")
+    drawn = labelled.join(limits, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < F.col("_limit"))
     sample = written(drawn.select("lang", "text").mapInArrow(frugal(_features), "lang string, counts binary"), "langid-sample")
     sums = {r["lang"]: np.frombuffer(r["sums"], np.int64) for r in sample.groupBy("lang").applyInPandas(_sum_language, "lang string, sums binary").collect()}
     if not sums:
         return Model()
     langs = sorted(sums)
-    by_family: dict[str, list[str]] = {}
-    for lang in langs:
-        by_family.setdefault(family_of(lang), []).append(lang)
+    by_family = families_of(langs)
     logs = []
     for members in by_family.values():
         shares = np.mean([(sums[x] + 0.5) / (sums[x].sum() + 0.5 * SIZE) for x in members], axis=0)

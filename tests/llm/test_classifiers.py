@@ -99,3 +99,30 @@ def test_statistics_do_not_depend_on_neighbours():
     together = quality.statistics(*B.flat(pa.array(texts)))
     for i, t in enumerate(texts):
         assert np.allclose(quality.statistics(*B.flat(pa.array([t], pa.string())))[0], together[i]), t[:50]
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"x{i % 250:03d}", f"word{chr(97 + i % 250 % 26)} " + chr(0x4E00 + i % 250) * 9) for i in range(2500)]
+    rows += [(3000 + i, ("en-GB", "en-US", "de")[i % 3], ("colour lift", "color elevator", "farbe aufzug")[i % 3] + f" {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    model = langid.fit(docs)
+    assert len(model.langs) == 253
+    names = [sorted(model.langs[i] for i in f) for f in model.families]
+    assert ["en-GB", "en-US"] in names and ["de"] in names and all(len(n) == 1 for n in names if n != ["en-GB", "en-US"])
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert np.mean([found[i] == lang for i, lang, _ in rows]) > 0.95
+
+
+@pytest.mark.parametrize(("fold3", "others"), [(3, 40), (0, 40), (30, 0), (0, 0)])
+def test_quality_with_few_labels_in_a_fold(spark, docs, fold3, others):
+    def bucket(i):
+        return zlib.crc32(str(i).encode()) % 4
+
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    chosen = [i for i in ids if bucket(i) == 3][:fold3] + [i for i in ids if bucket(i) in (0, 1)][:others]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(chosen)], "doc_id long, quality int")
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, labels)
+    assert (model.weights is not None) == bool(chosen) and (model.steps is not None) == bool(fold3 and others)
+    scores = [r.score for r in quality.score_documents(docs.limit(50), labels).collect()]
+    assert len(scores) == 50 and all(0 <= s <= 1 for s in scores)
