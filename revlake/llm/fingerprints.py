@@ -9,13 +9,16 @@ shingles. All of it is built-in functions.
 
 from __future__ import annotations
 
+import bisect
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 128
 WORDS = 5
 ROWS_PER_BUCKET = 2000
-_FINE = 64
+_FINE = 256
 _EMPTY = "cast(array() as array<bigint>)"
 
 
@@ -78,37 +81,61 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds the key has reached, searched in two levels; -1 for null."""
+def _share_of(hashed: Column, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges of hashes a hash lies in, from 0."""
+    return F.shiftright(F.shiftrightunsigned(hashed, 33) * parts, 31)
+
+
+def _bucket(key: Column, hashed: Column, bounds: list[int], bare: int) -> Column:
+    """How many bounds the key has reached; below 0 for null.
+
+    A bound that stands in the list several times is an id of as many buckets'
+    rows. Its rows are divided by their hash, the lowest into the highest
+    bucket, and rows without an id into ``bare`` buckets in the same way.
+    """
+    without = -1 - _share_of(hashed, F.lit(bare).cast("long"))
     if not bounds:
-        return F.when(key.isNull(), -1).otherwise(0)
-    groups = [bounds[i : i + _FINE] for i in range(0, len(bounds), _FINE)]
-    heads = F.array(*[F.lit(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
+        return F.when(key.isNull(), without).otherwise(F.lit(0)).cast("int")
+    ids = sorted(set(bounds))
+    reached = [bisect.bisect_right(bounds, x) for x in ids]
+    table = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)  # noqa: E731  (folded to a constant)
+    heads = table(ids[::_FINE], "array<bigint>")
+    fine = table([ids[i : i + _FINE] for i in range(0, len(ids), _FINE)], "array<array<bigint>>")
+    counts = table([0, *reached], "array<int>")
     coarse = F.size(F.filter(heads, lambda h: h <= key))
     inner = F.size(F.filter(F.get(fine, coarse - 1), lambda h: h <= key))
-    return F.when(key.isNull(), -1).when(coarse == 0, 0).otherwise((coarse - 1) * _FINE + inner)
+    number = F.when(coarse == 0, 0).otherwise((coarse - 1) * _FINE + inner)
+    last = F.get(F.get(fine, coarse - 1), inner - 1)
+    copies = F.get(counts, number) - F.get(counts, number - 1)
+    top = F.get(counts, number)
+    found = F.when(number == 0, 0).when((last == key) & (copies > 1), top - _share_of(hashed, copies.cast("long"))).otherwise(top)
+    return F.when(key.isNull(), without).otherwise(found).cast("int")
 
 
 def beside_next(documents: DataFrame, columns: dict[str, Column], max_buckets: int = _FINE * _FINE) -> DataFrame:
     """Each document's doc_id, text and ``columns``, and as next_* those of the next one by descending id.
 
     The last document's next is the first. Documents are dealt once, by ranges
-    of ids, into sorted buckets; the first row of each bucket also goes, as a
+    of ids, into sorted buckets of about ROWS_PER_BUCKET rows (more of them
+    beyond 130 million rows); the first row of each bucket also goes, as a
     guest, to the end of the bucket before it. ``columns`` are computed behind
-    that exchange. Repeated ids follow in order of their text; null ids are last.
+    that exchange. Rows of one id follow in order of their texts' hash, null ids
+    are last; both are divided over buckets like all others. Ids are integers;
+    others are taken while one bucket holds all rows.
     """
-    texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = texts.count()
-    buckets = max(1, min(max_buckets, n // ROWS_PER_BUCKET))
+    texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_text_hash", F.xxhash64("text"))
+    sizes = texts.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    buckets = max(1, min(max_buckets, sizes["named"] // ROWS_PER_BUCKET))
+    bare = max(1, min(max_buckets, (sizes["n"] - sizes["named"]) // ROWS_PER_BUCKET))
     bounds: list[int] = []
     if buckets > 1:
         parts = [i / buckets for i in range(1, buckets)]
         found = texts.agg(F.percentile_approx("doc_id", parts, 10 * buckets).alias("p")).first()["p"]
-        bounds = sorted({int(x) for x in found or []})
-    dealt = texts.withColumn("_bucket", _bucket(F.col("doc_id"), bounds))
-    # One row for each bucket, max_buckets + 1 at most.
-    firsts = dealt.groupBy("_bucket").agg(F.max("doc_id").alias("_first"))
+        bounds = sorted(int(x) for x in found or [])
+    dealt = texts.withColumn("_bucket", _bucket(F.col("doc_id"), F.col("_text_hash"), bounds, bare))
+    # One row for each bucket, 2 * max_buckets at most. Its first row has the greatest id, and of that the lowest hash.
+    place = F.struct("doc_id", F.bitwise_not("_text_hash").alias("h"))
+    firsts = dealt.groupBy("_bucket").agg(F.max(place).alias("_first"))
     order = Window.orderBy(F.desc("_bucket"))
     ring = firsts.select(
         "_bucket", "_first",
@@ -116,18 +143,18 @@ def beside_next(documents: DataFrame, columns: dict[str, Column], max_buckets: i
     )
     joined = dealt.join(F.broadcast(ring), "_bucket")
     homes = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")))
-    first = F.col("doc_id").eqNullSafe(F.col("_first"))
+    first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.bitwise_not("_text_hash") == F.col("_first.h"))
     homes = F.when(first, F.concat(homes, F.array(F.struct(F.col("_to").alias("b"), F.lit(1).alias("guest"))))).otherwise(homes)
-    spread = joined.select("doc_id", "text", F.explode(homes).alias("_home")).select(
-        "doc_id", "text", F.col("_home.b").alias("_bucket"), F.col("_home.guest").alias("_guest")
+    spread = joined.select("doc_id", "text", "_text_hash", F.explode(homes).alias("_home")).select(
+        "doc_id", "text", "_text_hash", F.col("_home.b").alias("_bucket"), F.col("_home.guest").alias("_guest")
     )
-    order = [F.col("_guest"), F.desc("doc_id"), F.col("text")]
+    order = [F.col("_guest"), F.desc("doc_id"), F.col("_text_hash"), F.col("text")]
     placed = spread.repartition("_bucket").sortWithinPartitions("_bucket", *order).withColumns(columns)
     window = Window.partitionBy("_bucket").orderBy(*order)
     names = ["text", *columns]
     return (
         placed.withColumns({f"next_{c}": F.lead(c).over(window) for c in names})
-        .filter(F.col("_guest") == 0).drop("_bucket", "_guest")
+        .filter(F.col("_guest") == 0).drop("_bucket", "_guest", "_text_hash")
     )
 
 

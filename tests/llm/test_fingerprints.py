@@ -55,6 +55,35 @@ def test_documents_over_several_buckets(spark, monkeypatch):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_rows_without_an_id_and_of_one_id_are_divided(spark):
+    from pyspark.sql import functions as F
+
+    # Small partitions would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_divided(spark, F)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def check_divided(spark, F):
+    kind = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 70).otherwise(F.col("id"))
+    docs = spark.range(60_000).select(kind.cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = P.beside_next(docs, {}).select("doc_id", "text", "next_text", F.spark_partition_id().alias("p"))
+    placed = rows.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k")).agg(F.count("*").alias("n"), F.count_distinct("p").alias("p")).filter("n > 1")
+    assert {r.k: r.n for r in placed.collect()} == {-1: 20_000, 70: 20_000} and all(r.p > 3 for r in placed.collect())
+    # Walking on from any row meets every row once.
+    after = {r.text: r.next_text for r in rows.collect()}
+    ids = {r.text: r.doc_id for r in docs.collect()}
+    at, seen, order = max((i, t) for t, i in ids.items() if i is not None)[1], set(), []
+    while at not in seen:
+        seen.add(at)
+        order.append(ids[at])
+        at = after[at]
+    assert len(seen) == len(ids) == 60_000
+    assert order == sorted((i for i in order if i is not None), reverse=True) + [None] * 20_000
+
+
 def test_merging_parts_gives_the_whole(spark):
     parts = spark.createDataFrame([("a", "x" + " one two three four five six seven" * 3), ("a", "p q r s t u"), ("b", "")], "g string, t string")
     sketches = parts.select("g", P.fingerprint(F.col("t"), 4).alias("f"))
