@@ -23,6 +23,8 @@ from revlake.sources.staging import new_folder
 
 LEAST_REVISIT = 100
 RECORDS_PER_FILE = 4000
+#: Larger payloads are written apart, fewer to a file, so that a file of either kind holds FILE_BYTES at most, or one record.
+LARGE, FILE_BYTES = 1 << 16, 1 << 28
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -75,7 +77,11 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One record for each row of page_id, url, html (null: empty), in files of bounded numbers of records."""
+    """One record for each row of page_id, url, html (null: empty), in files bounded by records and bytes.
+
+    Payloads of more than LARGE bytes have files of their own, each for as many
+    records as FILE_BYTES holds of the largest of them.
+    """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,11 +89,19 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
             made = [member(record(i, u, p, r, v)) for i, u, p, v, r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    members = with_roles(pages).mapInArrow(packed, "value binary").select(F.col("value").cast("string"))
-    # The separator's bytes are written as they are in this encoding.
-    members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option(
-        "maxRecordsPerFile", records_per_file
-    ).text(path)
+    told = with_roles(pages)
+    size = F.octet_length("payload")
+    largest = pages.agg(F.max(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    few = max(1, min(records_per_file, FILE_BYTES // max(largest, 1)))
+    kinds = [(told, records_per_file)]
+    if largest > LARGE:
+        kinds = [(told.filter(size <= LARGE), records_per_file), (told.filter(size > LARGE), few)]
+    for rows, per_file in kinds:
+        members = rows.mapInArrow(packed, "value binary").select(F.col("value").cast("string"))
+        # The separator's bytes are written as they are in this encoding.
+        members.write.mode("append").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option(
+            "maxRecordsPerFile", per_file
+        ).text(path)
 
 
 def inflated(data: memoryview, at: int) -> tuple[bytes, int, str]:
@@ -286,14 +300,18 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     page_id, payload_bytes, payload_digest, record_type, refers_to. A null html
     is an empty payload. Rows that repeat the smallest page_id of a payload are
     all responses; a null page_id counts as larger than any other. An empty
-    table gives no rows; extra columns are ignored.
+    table gives no rows; extra columns are ignored. A gap in the archives fails
+    the job. A file is read as one value of FILE_BYTES at most before it is
+    compressed, or one page.
     """
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_archives(pages, path)
     id_type = pages.schema["page_id"].dataType.simpleString()
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as {id_type})")
-    found = read_archives(spark, path, payloads=False).filter(F.col("gap").isNull())
+    found = read_archives(spark, path, payloads=False)
+    # Its own archives are whole; a gap would be lost pages.
+    lost = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "gap")).cast(id_type)
     return found.select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+        F.when(F.col("gap").isNotNull(), lost).otherwise(number("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
