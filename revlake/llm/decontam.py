@@ -27,7 +27,7 @@ LEAST_SHORT = 5
 ALIKE = 0.8
 REACH = 48
 #: Bits of the bitmap for each seed, and the limits of its size: 512 KB to 128 MB.
-BITS, BITMAP_LOGS = 32, (22, 30)
+BITS, BITMAP_LOGS = 1 << 14, (22, 30)
 _SPAN = max(map(len, MASKS))
 #: What a word that isn't equal costs, in equal words.
 _OTHER = round(ALIKE / (1 - ALIKE))
@@ -187,7 +187,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     tell them apart. Empty tables give no rows; extra columns are ignored.
 
     Only a bitmap of 2 to the 22 to 30 bits is broadcast, by the number of seeds;
-    beyond some 30 million seeds it lets more foreign ones pass. Seeds are joined
+    beyond some 10 million seeds a foreign seed passes with a chance above 1 in 100. Seeds are joined
     as tables. Texts are cut into parts by bytes, so memory follows the longest.
     """
     items = written(_items(benchmark), "benchmark-items")
