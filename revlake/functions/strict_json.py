@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revlake.functions.text import let
+
 # A JSON string, and any other lasting token.
 _STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"'
 _SCALAR = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity"
@@ -36,11 +38,20 @@ def is_json(text: Column) -> Column:
     Most texts are settled by the parser; only those it refuses are looked at
     for duplicate keys, the one thing it refuses and JSON allows.
     """
-    folded = _reduced(text)
-    # Innermost objects and lists become values, level by level; 32 levels deep.
-    for _ in range(32):
-        folded = F.regexp_replace(folded, r"\{(?:s:[sv](?:,s:[sv])*+)?\}|\[(?:[sv](?:,[sv])*+)?\]", "v")
-    return F.when(text.isNull(), False).when(_parses(text), True).otherwise(folded.rlike("^[sv]$"))
+
+    def folded(reduced: Column) -> Column:
+        # Innermost objects and lists become values, level by level, until nothing changes.
+        levels = F.sequence(F.lit(1), F.greatest(F.length(F.regexp_replace(reduced, r"[^\[{]", "")), F.lit(1)))
+
+        def fold(state: Column, _: Column) -> Column:
+            shorter = F.regexp_replace(state["text"], r"\{(?:s:[sv](?:,s:[sv])*+)?\}|\[(?:[sv](?:,[sv])*+)?\]", "v")
+            moved = let(shorter, lambda s: F.struct(s.alias("text"), (s == state["text"]).alias("done")))
+            return F.when(state["done"], state).otherwise(moved)
+
+        start = F.struct(reduced.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(levels, start, fold, lambda state: state["text"])
+
+    return F.when(text.isNull(), False).when(_parses(text), True).otherwise(let(_reduced(text), folded).rlike("^[sv]$"))
 
 
 def is_typed_object(text: Column, names: list[str]) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.functions import reports as R
 from revlake.functions.rules import SOURCE_RULES, Rule, rule_issues
 from revlake.operators.complexity import rank_of
 
+ALL_TOOLS = tuple(dict.fromkeys((*R.SECURITY_TOOLS, *R.COMPLEXITY_TOOLS)))
 ISSUE_FIELDS = ("test_id", "description", "severity", "confidence", "line_number")
 
 
@@ -50,6 +51,23 @@ def report_health(scan_reports: DataFrame) -> DataFrame:
     )
 
 
+def observed(scan_reports: DataFrame, observation: Observation) -> DataFrame:
+    """The reports; while a job reads them, each tool's reports and unreadable ones are counted."""
+    unread = ~R.is_readable(F.col("tool"), F.col("stdout"))
+    counts = []
+    for tool in ALL_TOOLS:
+        own = F.coalesce(F.col("tool") == tool, F.lit(False))
+        counts += [F.count_if(own).alias(tool), F.count_if(own & unread).alias(f"{tool}_unreadable")]
+    return scan_reports.observe(observation, *counts)
+
+
+def observed_health(spark: SparkSession, observation: Observation) -> DataFrame:
+    """``report_health`` of the reports that a finished job has read; tools without a report are left out."""
+    found = observation.get
+    rows = [(tool, found[tool], found[f"{tool}_unreadable"]) for tool in ALL_TOOLS if found[tool]]
+    return spark.createDataFrame(rows, "tool string, reports long, unreadable long")
+
+
 def scan_functions(functions: DataFrame, rules: tuple[Rule, ...] = SOURCE_RULES) -> DataFrame:
     """Issues found by source rules in function texts; ``issues`` stays in the row."""
     return functions.withColumn(
@@ -62,6 +80,44 @@ def scan_texts(texts: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -
     return texts.select(key, F.inline(rule_issues(F.col(text), None, rules)))
 
 
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Rules with an ``anchor``: of a needle's runs of three characters the one that fewest needles have.
+
+    Rules are rows of rule_id, language (null: all), needle (three characters or
+    more that every match's text holds), pattern, severity, confidence and
+    description.
+    """
+    grams = rules.select("rule_id", F.explode(_trigrams(F.col("needle"))).alias("gram"))
+    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    anchors = counted.groupBy("rule_id").agg(F.min(F.struct("n", "gram"))["gram"].alias("anchor"))
+    return rules.join(anchors, "rule_id")
+
+
+def scan_with_rule_table(texts: DataFrame, key: str, text: str, language: str, index: DataFrame) -> DataFrame:
+    """One row per match of a table's rules and line; costs follow the rules whose needle a text holds.
+
+    A text meets rules by its own runs of three characters. Only where the
+    needle stands in it too the pattern is tried, line by line. Null texts and
+    those of fewer characters match nothing.
+    """
+    grams = texts.select(key, text, language, F.explode(_trigrams(F.col(text))).alias("anchor"))
+    rule = F.struct("rule_id", "pattern", "severity", "confidence", "description", "needle", F.col("language").alias("of"))
+    found = grams.join(index.select("anchor", rule.alias("_rule")), "anchor")
+    r = F.col("_rule")
+    meant = F.contains(F.col(text), r["needle"]) & (r["of"].isNull() | (r["of"] == F.col(language)))
+    hits = F.filter(
+        F.transform(F.split(text, "\n", -1), lambda line, i: F.when(F.regexp_like(line, r["pattern"]), i + 1)), lambda n: n.isNotNull()
+    )
+    return found.filter(meant).select(
+        key, r["rule_id"].alias("test_id"), r["description"].alias("description"), r["severity"].alias("severity"),
+        r["confidence"].alias("confidence"), F.explode(hits).alias("line_number"),
+    )
+
+
 def issue_text(test_id: Column, description: Column, severity: Column) -> Column:
     return F.format_string("[%s] %s (severity: %s)", test_id, description, severity)
 

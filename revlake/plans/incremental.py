@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlake import schemas
 from revlake.operators import configs as G
 from revlake.operators import intake as W
+from revlake.operators import extraction as E
 from revlake.operators import listing as Q
+from revlake.operators import security
 from revlake.operators import triage as L
 from revlake.plans import review_run as P
 from revlake.plans.registered import (
-    _JOB_STATUS, _NEWEST, _OUTCOME, _REVIEW_VIEW, _REVIEWS, QUERIES, _register, _run, _SORTED,
+    _CODE, _JOB_STATUS, _NEWEST, _OUTCOME, _REVIEW_VIEW, _REVIEWS, QUERIES, _register, _run, _SORTED,
 )
 from revlake.sources import bindings as B
 from revlake.sources import maintained as M
@@ -181,3 +184,36 @@ def landed_diffs_to_reviews(spark, sf_dir):
     return read_reviews(spark, f"{folder}/reviews").select(
         "task_id", "repo_full_name", "pr_number", "pr_title", "function_name", "line_number", "status"
     )
+
+
+@_register(
+    "report_unreadable_observed",
+    _CODE + " SELECT CASE language WHEN 'python' THEN 'bandit' WHEN 'javascript' THEN 'eslint_security' WHEN 'rust' THEN 'clippy' ELSE 'gosec' END AS tool, "
+    "count(*) AS reports, count(CASE WHEN k % 13 = 0 THEN 1 END) AS unreadable FROM code WHERE language IS NOT NULL GROUP BY language",
+)
+def report_unreadable_observed(spark, sf_dir):
+    """Counted while a run's reviews are written, without reading the reports again."""
+    counts = Observation("report health")
+    run = P.review_run(
+        B.diffs(spark, sf_dir), B.repo_configs(spark, sf_dir), B.triage_responses(spark, sf_dir), B.scan_reports(spark, sf_dir), report_counts=counts
+    )
+    append_reviews(run.reviews, new_folder(spark, "observed"), 0)
+    return security.observed_health(spark, counts)
+
+
+@_register(
+    "source_rule_scan_many_rules",
+    _CODE + " SELECT pr_number, 'part-' || k AS test_id, 1 AS line_number FROM code JOIN part ON p_partkey = k WHERE language IS NOT NULL",
+)
+def source_rule_scan_many_rules(spark, sf_dir):
+    """A rule for every part: the name of one generated function."""
+    key = F.col("p_partkey").cast("string")
+    rules = B.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), key).alias("rule_id"), F.lit(None).cast("string").alias("language"), F.concat(F.lit("f"), key, F.lit("(")).alias("needle"),
+        F.concat(F.lit(r"\bf"), key, F.lit(r"\s*\(")).alias("pattern"), F.lit("LOW").alias("severity"), F.lit("HIGH").alias("confidence"),
+        F.lit("generated name").alias("description"),
+    )
+    index = stage(security.rule_index(rules), "rule-index")
+    found = E.changed_functions(B.diffs(spark, sf_dir)).select("pr_number", F.col("language").alias("text_language"), "source_code")
+    hits = security.scan_with_rule_table(found, "pr_number", "source_code", "text_language", index)
+    return hits.select("pr_number", "test_id", "line_number")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from revlake.functions.rules import rule_issues
@@ -19,7 +19,7 @@ from revlake.operators.complexity import score_functions
 from revlake.operators.configs import with_run_config
 from revlake.operators.diffs import PR_KEYS
 from revlake.operators.extraction import changed_functions
-from revlake.operators.security import gate_issues, issue_lists, issue_text, security_issues
+from revlake.operators.security import gate_issues, issue_lists, issue_text, observed, security_issues
 from revlake.operators.triage import POSTED_SEVERITIES, latest_replies, severity_gate, validate_replies
 from revlake.sources.staging import stage
 
@@ -318,6 +318,7 @@ def review_run(
     style: C.CommentStyle = C.STYLE,
     staged: bool = True,
     keep_text: bool = False,
+    report_counts: Observation | None = None,
     **extraction,
 ) -> ReviewRun:
     """Plan a whole run.
@@ -326,7 +327,8 @@ def review_run(
     results, so those are written once to the shared checkpoint folder unless
     ``staged`` is false. Where diffs carry a ``task_id`` every task is a run of
     its own, else every PR is one. Without scanner reports the built-in source rules take
-    their place.
+    their place. ``report_counts`` counts reports and unreadable ones per tool
+    while the first of the reviews' jobs reads them (see ``observed_health``).
     """
     specs = extraction.get("specs", LANGUAGES)
     results = scored_results(diffs, configs, keep_all=True, **extraction)
@@ -336,10 +338,15 @@ def review_run(
         text = F.when(F.col("is_flagged"), F.col("source_code")) if wanted else F.lit(None).cast("string")
         results = stage(results.withColumn("source_code", text), "results")
     replies = validate_replies(latest_replies(triage_responses))
+    if staged:
+        # Findings, failed and waiting runs and outcomes all read them: each reply is parsed once.
+        replies = stage(replies, "replies")
     flagged = flagged_only(results)
     if scan_reports is None:
         found = findings(with_rule_issues(flagged), replies)
     else:
+        if report_counts is not None:
+            scan_reports = observed(scan_reports, report_counts)
         found = with_issue_lists(findings(flagged, replies), security_issues(scan_reports))
     failed = failed_prs(flagged, replies, parse_failures(results))
     unfinished = failed.select(*run_keys(failed)).unionByName(waiting_prs(flagged, replies))

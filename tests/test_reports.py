@@ -136,3 +136,26 @@ def test_gate_and_issue_lists(spark):
     assert [(r.function_id, r.security_issues) for r in lists] == [
         ("a", ["[B1] t (severity: LOW)", "[B2]  (severity: LOW)"])
     ]
+
+
+def test_json_of_any_depth(spark):
+    from revlake.functions.strict_json import is_json
+
+    deep = lambda n, inner: "[" * n + inner + "]" * n
+    texts = {deep(n, '{"a": 1, "a": 2}'): True for n in (0, 5, 31, 32, 200)}
+    texts |= {deep(200, '{"a": 1, "a": 2') : False, deep(200, '{"a": 1, "a": 2}')[:-1]: False, "[" * 3000 + "]" * 2999: False, "[{}, {}, []]" * 2: False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", is_json(F.col("t")).alias("j")).collect()
+    assert {r.t: r.j for r in rows} == texts
+
+
+def test_rules_of_a_table(spark):
+    from revlake.operators import security as S
+
+    rules = [
+        ("eval", None, "eval(", r"\beval\(", "LOW", "HIGH", "d"), ("js", "javascript", "new Buffer", r"new\s+Buffer\(", "HIGH", "LOW", "d"),
+        ("é", None, "é€x", "é€x+", "LOW", "LOW", "d"), ("never", None, "zzz", ".", "LOW", "LOW", "d"),
+    ]
+    index = S.rule_index(spark.createDataFrame(rules, "rule_id string, language string, needle string, pattern string, severity string, confidence string, description string"))
+    texts = [(1, "a\nx = eval(b)\nmy_eval(c)\neval(d)", "python"), (2, "new Buffer(1)", "javascript"), (3, "new Buffer(1)", "python"), (4, "é€xx", None), (5, None, "go"), (6, "", "go"), (7, "ev", "go")]
+    found = S.scan_with_rule_table(spark.createDataFrame(texts, "k long, t string, lang string"), "k", "t", "lang", index)
+    assert sorted((r.k, r.test_id, r.line_number) for r in found.collect()) == [(1, "eval", 2), (1, "eval", 4), (2, "js", 1), (4, "é", 1)]
