@@ -84,22 +84,55 @@ def glob_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.array_join(pieces, ""), F.lit("$"))
 
 
-def exclusion_regex(patterns: Column) -> Column:
-    """Comma-separated globs as one alternation, or null when there are none."""
+def exclusion_steps(patterns: Column) -> Column:
+    """Comma-separated globs taken apart, once for each row of settings, or null when there are none.
+
+    A glob of stars and plain text alone is its ``parts`` between the stars; any
+    other is a ``regex``.
+    """
     globs = F.filter(
         F.transform(F.split(patterns, ","), lambda p: F.trim(p)), lambda p: p != ""
     )
-    joined = F.array_join(F.transform(globs, glob_to_regex), "|")
-    return F.nullif(joined, F.lit(""))
+    steps = F.transform(
+        globs,
+        lambda g: F.struct(
+            F.when(~g.rlike(r"[?\[]"), F.split(g, r"\*+", -1)).alias("parts"),
+            F.when(g.rlike(r"[?\[]"), glob_to_regex(g)).alias("regex"),
+        ),
+    )
+    return F.when(F.size(globs) > 0, steps)
+
+
+def _matches_parts(path: Column, parts: Column) -> Column:
+    """Whether a path begins with the first part, ends with the last, and holds the others between in order."""
+    head, tail, count = F.get(parts, 0), F.element_at(parts, -1), F.size(parts)
+    free = F.length(path) - F.length(tail)
+
+    def step(at: Column, part: Column) -> Column:
+        # The leftmost place leaves most room to the parts behind; 0 stands for none.
+        found = F.call_function("locate", part, path, F.greatest(at, F.lit(1)))
+        return F.when((at > 0) & (found > 0), found + F.length(part)).otherwise(0)
+
+    middle = F.aggregate(F.slice(parts, 2, F.greatest(count - 2, F.lit(0))), F.length(head) + 1, step)
+    several = F.startswith(path, head) & F.endswith(path, tail) & (middle > 0) & (middle - 1 <= free)
+    return F.when(count == 1, path == head).otherwise(several)
+
+
+def excluded(path: Column, steps: Column) -> Column:
+    """Whether any glob of ``exclusion_steps`` matches; plain globs compile nothing."""
+    return F.exists(
+        steps,
+        lambda g: F.when(g["regex"].isNotNull(), F.regexp_like(path, g["regex"])).otherwise(_matches_parts(path, g["parts"])),
+    )
 
 
 def with_excluded(files: DataFrame, configs: DataFrame, path: str = "file_path") -> DataFrame:
     """Mark files that match their repository's exclude patterns in ``is_excluded``."""
     rules = configs.select(
-        "repo_full_name", exclusion_regex(F.col("exclude_patterns")).alias("_excluded")
+        "repo_full_name", exclusion_steps(F.col("exclude_patterns")).alias("_excluded")
     ).filter(F.col("_excluded").isNotNull())
     joined = lookup_join(files, rules, "repo_full_name", F.col(path))
-    hit = F.coalesce(F.regexp_like(F.col(path), F.col("_excluded")), F.lit(False))
+    hit = F.coalesce(excluded(F.col(path), F.col("_excluded")), F.lit(False))
     return joined.withColumn("is_excluded", hit).drop("_excluded")
 
 

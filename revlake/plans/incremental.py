@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from revlake import schemas
 from revlake.operators import configs as G
 from revlake.operators import intake as W
+from revlake.operators import diffs as D
 from revlake.operators import extraction as E
 from revlake.operators import listing as Q
 from revlake.operators import security
@@ -217,3 +218,27 @@ def source_rule_scan_many_rules(spark, sf_dir):
     found = E.changed_functions(B.diffs(spark, sf_dir)).select("pr_number", F.col("language").alias("text_language"), "source_code")
     hits = security.scan_with_rule_table(found, "pr_number", "source_code", "text_language", index)
     return hits.select("pr_number", "test_id", "line_number")
+
+
+# Pattern sets by customer, and what they leave out in SQL.
+_GLOBS = (
+    "'src/F/*, *' || c_custkey || '.md'", "'*.rs, docs/*'", "'src/*/f*' || c_custkey % 10 || '*.py, gone/' || c_custkey", "'src/[FO]/f??.go, **/f*7.js'", "''",
+)
+_LEFT_OUT = (
+    "file_path LIKE 'src/F/%' OR file_path LIKE '%' || o_custkey || '.md'", "file_path LIKE '%.rs'", "file_path LIKE 'src/%/f%' || o_custkey % 10 || '%.py'",
+    "regexp_full_match(file_path, 'src/[FO]/f..\\.go') OR file_path LIKE '%/f%7.js'", "FALSE",
+)
+
+
+@_register(
+    "path_exclusion_many_repositories",
+    _CODE + " SELECT 'org/c' || o_custkey AS repo_full_name, pr_number, file_path FROM code WHERE NOT CASE o_custkey % 5 "
+    + " ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(_LEFT_OUT)) + " END",
+)
+def path_exclusion_many_repositories(spark, sf_dir):
+    """A pattern set for every customer's repository."""
+    sets = "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(_GLOBS)) + " END"
+    repo = lambda key: F.concat(F.lit("org/c"), F.col(key).cast("string")).alias("repo_full_name")
+    configs = B.table(spark, sf_dir, "customer").select(repo("c_custkey"), F.expr(sets).alias("exclude_patterns"))
+    files = B.orders_code(spark, sf_dir).select(repo("o_custkey"), "pr_number", "file_path")
+    return D.drop_excluded(files, configs)

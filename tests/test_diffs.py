@@ -206,3 +206,21 @@ def test_changed_lengths_are_always_noticed(spark):
         broken.append("\n".join(lines))
     flagged = D.diff_errors(table(spark, *broken).repartition(8), ("pr_number",)).count()
     assert flagged == 500
+
+
+def test_globs_equal_fnmatch(spark):
+    import random
+    from fnmatch import fnmatchcase
+
+    r = random.Random(9)
+    piece = lambda: r.choice(["*", "**", "a", "b", "ab", "/", "é", ".", "%", "?", "[ab]"])
+    rows = []
+    for _ in range(1500):
+        plain = r.random() < 0.7
+        glob = "".join(p for p in (piece() for _ in range(r.randint(1, 7))) if not (plain and p[0] in "?["))
+        path = "".join(r.choice(["a", "b", "/", "é", ".", "%"]) for _ in range(r.randint(0, 9)))
+        if glob:
+            rows.append((glob, path))
+    df = spark.createDataFrame(rows, "g string, p string")
+    for row in df.select("g", "p", D.excluded(F.col("p"), D.exclusion_steps(F.col("g"))).alias("hit")).collect():
+        assert row.hit == fnmatchcase(row.p, row.g), (row.g, row.p)
