@@ -262,6 +262,21 @@ def changed_functions_unclosed(spark, sf_dir):
     return E.changed_functions(B.unclosed_diffs(spark, sf_dir)).select("pr_number", "function_name", "start_line", "end_line")
 
 
+@_register(
+    "changed_functions_several_files",
+    "WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 0) "
+    + " UNION ALL ".join(
+        f"SELECT k AS pr_number, 'src/{path}' || k || '{ext}' AS file_path, '{name}' || k AS function_name, {start} AS start_line, {end} AS end_line FROM s"
+        for path, ext, name, start, end in (
+            ("n", ".js", "outer", 1, 4), ("n", ".js", "twice", 5, 5), ("r", ".rs", "defined", 3, 5), ("g", ".go", "one", 5, 7), ("g", ".go", "two", 61, 62),
+        )
+    ),
+)
+def changed_functions_several_files(spark, sf_dir):
+    found = E.changed_functions(B.several_file_diffs(spark, sf_dir))
+    return found.select("pr_number", "file_path", "function_name", "start_line", "end_line")
+
+
 @_register(
     "rust_match_arms",
     _FUNCTIONS + " SELECT pr_number, function_name, CASE WHEN function_name LIKE 'f%' THEN 6 * n_match ELSE 0 END AS arms "

@@ -246,6 +246,38 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def several_file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diff of five files per customer, every fourth one empty.
+
+    A deleted file, one that only loses lines, JavaScript with a function in
+    another and an arrow without a block, Rust with a declaration, and Go in two hunks.
+    """
+    k = F.col("c_custkey")
+
+    def hunk(start: int, *lines: str) -> str:
+        return f"@@ -{start - 1},0 +{start},{len(lines)} @@\n" + "".join(f"+{line}\n" for line in lines)
+
+    def new(path: str, *hunks: str) -> str:
+        return f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n" + "".join(hunks)
+
+    text = (
+        "diff --git a/src/gone.py b/src/gone.py\ndeleted file mode 100644\n--- a/src/gone.py\n+++ /dev/null\n"
+        "@@ -1,2 +0,0 @@\n-def gone():\n-    pass\n"
+        "diff --git a/src/less.py b/src/less.py\n--- a/src/less.py\n+++ b/src/less.py\n@@ -3,2 +2,0 @@\n-def less():\n-    pass\n"
+        + new(
+            "src/nK.js",
+            hunk(1, "function outerK(a) {", "  function inner(b) { return '}' + b; }", "  return inner(a);", "}", "const twiceK = (x) => x * 2;", "let y = 1;"),
+        )
+        + new("src/rK.rs", hunk(1, "fn declared(a: i32) -> i32;", "trait T { fn later(&self); }", "pub fn definedK() -> i32 {", "    1 // }", "}"))
+        + new("src/gK.go", hunk(5, "func oneK() int {", "\treturn 1", "}"), hunk(60, "// func no() {", "func (t *T) twoK() {", "}"))
+    )
+    full = F.replace(F.lit(text), F.lit("K"), k.cast("string"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
+        F.lit("org/several").alias("repo_full_name"), k.alias("pr_number"), F.lit("Several").alias("pr_title"),
+        F.when(k % 4 == 0, "").otherwise(full).alias("diff_text"),
+    )
+
+
 def unclosed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One new file per customer: 70 to 79 functions that never close, and a closed one behind them."""
     k = F.col("c_custkey")
