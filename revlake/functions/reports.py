@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revlake import schemas
 from revlake.functions.strict_json import is_json
+from revlake.languages import LANGUAGES
 
 ISSUE_TYPE = (
     "array<struct<test_id:string,description:string,severity:string,confidence:string,line_number:int>>"
@@ -158,9 +159,7 @@ COMPLEXITY_TOOLS: dict[str, Callable[[Column], Column]] = {
     "gocyclo": gocyclo_results,
     "eslint_complexity": eslint_complexity_results,
 }
-SECURITY_TOOL_OF = {
-    "python": "bandit", "javascript": "eslint_security", "rust": "clippy", "go": "gosec",
-}
+SECURITY_TOOL_OF = {spec.language: spec.security_tool for spec in LANGUAGES if spec.security_tool}
 
 
 def by_tool(

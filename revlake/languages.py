@@ -29,6 +29,10 @@ _PY_DOUBLE = r'"(?:[^"\\\n]|\\(?s:.)|\\\z)*+(?:"|\z|(?=\n))'
 _PY_SINGLE = r"'(?:[^'\\\n]|\\(?s:.)|\\\z)*+(?:'|\z|(?=\n))"
 
 
+# Upper score of each rank; above the last comes F.
+RANK_BANDS = ((5, "A"), (10, "B"), (20, "C"), (30, "D"))
+
+
 @dataclass(frozen=True)
 class LanguageSpec:
     language: str
@@ -51,6 +55,11 @@ class LanguageSpec:
     # A function's result lists the functions inside it as well.
     lists_inner: bool = False
     name_groups: int = field(default=1)
+    # Upper score of each rank, lines counted behind a function where all start
+    # at the file's first line, and the scanner that serves the language.
+    rank_bands: tuple[tuple[int, str], ...] = RANK_BANDS
+    lines_behind: int = 0
+    security_tool: str | None = None
 
     @property
     def plain_signature(self) -> str:
@@ -91,6 +100,9 @@ PYTHON = LanguageSpec(
         (r"^[ \t]*case\s[^\n=]*:", 1),
     ),
     body="indent",
+    rank_bands=(*RANK_BANDS, (40, "E")),
+    lines_behind=1,
+    security_tool="bandit",
 )
 JAVASCRIPT = LanguageSpec(
     language="javascript",
@@ -111,6 +123,7 @@ JAVASCRIPT = LanguageSpec(
     ),
     nested=False,
     name_groups=3,
+    security_tool="eslint_security",
 )
 RUST = LanguageSpec(
     language="rust",
@@ -126,6 +139,7 @@ RUST = LanguageSpec(
     lexed_head=True,
     match_arms=True,
     lists_inner=True,
+    security_tool="clippy",
 )
 GO = LanguageSpec(
     language="go",
@@ -134,6 +148,7 @@ GO = LanguageSpec(
     literals=(_LINE_COMMENT, _BLOCK_COMMENT, _DOUBLE, _RAW),
     quotes='"`',
     branch_rules=((r"(?=[cfi&|])(?:\b(?:if|for|case)\b|&&|\|\|)", 1),),
+    security_tool="gosec",
 )
 
 # Registration order decides which extension wins.

@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 
 from revlake.functions.lexing import code_only, functions_in, match_arms
 from revlake.functions.text import let, reused, strip
-from revlake.languages import FLAGS, LANGUAGES, LanguageSpec
+from revlake.languages import FLAGS, LANGUAGES, RANK_BANDS, LanguageSpec
 from revlake.operators.extraction import by_language
 
-# Upper score of each rank; above the last comes F. The extended
-# bands are those of Python scores.
-RANK_BANDS = ((5, "A"), (10, "B"), (20, "C"), (30, "D"))
-PYTHON_RANK_BANDS = (*RANK_BANDS, (40, "E"))
-
 
 def _banded(score: Column, bands) -> Column:
     choice = None
@@ -24,11 +19,15 @@ def _banded(score: Column, bands) -> Column:
     return choice.otherwise("F")
 
 
-def rank_of(score: Column, language: Column | None = None) -> Column:
+def rank_of(
+    score: Column, language: Column | None = None, specs: tuple[LanguageSpec, ...] = LANGUAGES
+) -> Column:
+    """Rank by the bands of the language's record, or by the common ones."""
     plain = _banded(score, RANK_BANDS)
-    if language is None:
+    own = tuple(s for s in specs if s.rank_bands != RANK_BANDS)
+    if language is None or not own:
         return plain
-    return F.when(language == "python", _banded(score, PYTHON_RANK_BANDS)).otherwise(plain)
+    return F.coalesce(by_language(language, lambda s: _banded(score, s.rank_bands), own), plain)
 
 
 def score_of(spec: LanguageSpec, source: Column) -> Column:

@@ -70,7 +70,7 @@ def functions_of_files(
         start = F.get(numbers, F.col("first_line"))
         end = F.get(numbers, F.col("first_line") + newlines(source))
     else:
-        extra = F.when(F.col("language") == "python", 1).otherwise(0)
+        extra = F.coalesce(by_language(F.col("language"), lambda spec: F.lit(spec.lines_behind), specs), F.lit(0))
         start = F.get(numbers, F.lit(0))
         end = start + F.col("lines") + extra
     return rows.select(
