@@ -95,13 +95,20 @@ def read_database_table(
     return reader.load()
 
 
+# Rows of a narrow table that one task takes through text work.
+SPREAD_ROWS = 20_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a stored table whose few splits would leave most cores idle.
+    """Spread a stored table whose splits would leave cores idle or one task with most rows.
 
-    Text work is bound by the processor. A table that keeps a quarter of the
-    cores busy is left alone: moving it would cost more than the idle ones.
+    Text work is bound by the processor. Splits tell little: a file of one row
+    group is read whole by one of them. So rows are counted, which reads no
+    column, and dealt to a number of tasks that grows with them. A table of few
+    rows a split that keeps a quarter of the cores busy is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 4 > cores:
+    rows, splits = df.count(), df.rdd.getNumPartitions()
+    if splits * 4 > cores and rows <= splits * SPREAD_ROWS // 4:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(cores, -(-rows // SPREAD_ROWS)), *keys)
