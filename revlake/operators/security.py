@@ -80,18 +80,30 @@ def scan_texts(texts: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -
     return texts.select(key, F.inline(rule_issues(F.col(text), None, rules)))
 
 
-def _trigrams(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+# Lengths of the runs by which texts meet rules. A rule takes the longest that
+# its needle holds, so that few needles share it however many rules there are.
+ANCHOR_LENGTHS = (3, 5, 8)
+
+# Rules whose anchors are sent to every task, which lets only their runs pass: 4 million are about 100 MB there.
+SENT_ANCHORS = 4_000_000
+
+
+def _grams(text: Column, length: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
-    """Rules with an ``anchor``: of a needle's runs of three characters the one that fewest needles have.
+    """Rules with an ``anchor``: of a needle's runs of the longest anchor length the one that fewest needles have.
 
     Rules are rows of rule_id, language (null: all), needle (three characters or
     more that every match's text holds), pattern, severity, confidence and
     description.
     """
-    grams = rules.select("rule_id", F.explode(_trigrams(F.col("needle"))).alias("gram"))
+    needle, of_longest = F.col("needle"), None
+    for length in reversed(ANCHOR_LENGTHS):
+        long_enough, runs = F.length(needle) >= length, _grams(needle, length)
+        of_longest = F.when(long_enough, runs) if of_longest is None else of_longest.when(long_enough, runs)
+    grams = rules.select("rule_id", F.explode(of_longest).alias("gram"))
     counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
     anchors = counted.groupBy("rule_id").agg(F.min(F.struct("n", "gram"))["gram"].alias("anchor"))
     return rules.join(anchors, "rule_id")
@@ -100,13 +112,22 @@ def rule_index(rules: DataFrame) -> DataFrame:
 def scan_with_rule_table(texts: DataFrame, key: str, text: str, language: str, index: DataFrame) -> DataFrame:
     """One row per match of a table's rules and line; costs follow the rules whose needle a text holds.
 
-    A text meets rules by its own runs of three characters. Only where the
-    needle stands in it too the pattern is tried, line by line. Null texts and
-    those of fewer characters match nothing.
+    A text meets rules by its own runs of characters, of which only hashes move,
+    and those only that some rule has for an anchor. Only where the needle
+    stands in the text too the pattern is tried, line by line, so that hashes
+    need not be unique. ``texts`` and ``index`` are read twice; a caller stages
+    what is dear to derive. Null texts and those of fewer characters match nothing.
     """
-    grams = texts.select(key, text, language, F.explode(_trigrams(F.col(text))).alias("anchor"))
+    named = texts.select(key, text, language, F.xxhash64(key, text, language).alias("_text"))
+    runs = F.concat(*[_grams(F.col(text), length) for length in ANCHOR_LENGTHS])
+    grams = named.select("_text", F.explode(runs).alias("_run")).select("_text", F.xxhash64("_run").alias("_anchor"))
+    anchors = index.select(F.xxhash64("anchor").alias("_anchor"), "rule_id")
+    known = anchors.select("_anchor").distinct()
+    if index.count() <= SENT_ANCHORS:
+        known = F.broadcast(known)
+    met = grams.join(known, "_anchor", "left_semi").join(anchors, "_anchor").select("_text", "rule_id").distinct()
     rule = F.struct("rule_id", "pattern", "severity", "confidence", "description", "needle", F.col("language").alias("of"))
-    found = grams.join(index.select("anchor", rule.alias("_rule")), "anchor")
+    found = met.join(index.select("rule_id", rule.alias("_rule")), "rule_id").drop("rule_id").join(named, "_text")
     r = F.col("_rule")
     meant = F.contains(F.col(text), r["needle"]) & (r["of"].isNull() | (r["of"] == F.col(language)))
     hits = F.filter(

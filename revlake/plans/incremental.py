@@ -216,6 +216,7 @@ def source_rule_scan_many_rules(spark, sf_dir):
     )
     index = stage(security.rule_index(rules), "rule-index")
     found = E.changed_functions(B.diffs(spark, sf_dir)).select("pr_number", F.col("language").alias("text_language"), "source_code")
+    found = stage(found, "functions")
     hits = security.scan_with_rule_table(found, "pr_number", "source_code", "text_language", index)
     return hits.select("pr_number", "test_id", "line_number")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
 from revlake.sources import readers
 
@@ -31,3 +32,19 @@ def test_runs_with_derived_replies_take_diffs_apart_once(spark):
     for name in ("deliveries_to_reviews", "repeated_push", "rollback_failed"):
         plan = plan_of(QUERIES[name].build(spark, SF_DIR))
         assert "diff_text" not in plan and "diff --git" not in plan, name
+
+
+def test_rules_share_no_anchor_however_many_there_are(spark):
+    key = F.col("id").cast("string")
+    rules = spark.range(3000).select(key.alias("rule_id"), F.concat(F.lit("f"), key, F.lit("(")).alias("needle"))
+    shared = S.rule_index(rules).groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert shared <= 3
+
+
+def test_equal_texts_match_a_rule_once_each(spark):
+    fields = "rule_id string, language string, needle string, pattern string, severity string, confidence string, description string"
+    index = S.rule_index(spark.createDataFrame([("a", None, "evaluate(", r"evaluate\(", "LOW", "LOW", "d"), ("b", "go", "eva", "eva", "LOW", "LOW", "d")], fields))
+    texts = spark.createDataFrame([(1, "x\nevaluate(y)", "go")] * 2 + [(2, "evaluate(", "rust"), (3, None, "go"), (4, "ev", "go")], "k long, t string, lang string")
+    found = S.scan_with_rule_table(texts, "k", "t", "lang", index)
+    rows = sorted((r.k, r.test_id, r.line_number) for r in found.collect())
+    assert rows == [(1, "a", 2), (1, "a", 2), (1, "b", 2), (1, "b", 2), (2, "a", 1)]
