@@ -15,11 +15,11 @@ _WHOLE_TEXT = 2**30
 
 OPEN, DROPPED = 0, -1
 
-# Items folded together before their results are put in one list: appending
-# copies an array, so appended ones are kept short.
-FOLD_BLOCK = 128
+# Least number of items folded together before their results are put in one
+# list: every step copies what was appended, so appended ones are kept short.
+FOLD_BLOCK = 8
 
-# Halvings that find a place in any array.
+# No array has more halvings than this.
 _HALVINGS = 31
 
 
@@ -162,6 +162,11 @@ def _joined(chunks: Column, first: Column, width: Column | int) -> Column:
     return F.array_join(F.slice(chunks, first, width), "")
 
 
+def _block(items: Column) -> Column:
+    """Items of a block: with the root of their number, steps inside blocks copy about as much as steps over blocks."""
+    return F.greatest(F.lit(FOLD_BLOCK), F.ceil(F.sqrt(F.size(items))).cast("int"))
+
+
 def scanned(items: Column, start: Column, step, emit, kind: str) -> Column:
     """What ``emit`` makes of the state behind each item, as an array of ``kind``."""
 
@@ -175,11 +180,11 @@ def scanned(items: Column, start: Column, step, emit, kind: str) -> Column:
         def block(state: Column, first: Column) -> Column:
             here = F.struct(state["now"].alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
             return let(
-                F.aggregate(F.slice(bound, first, FOLD_BLOCK), here, inner),
+                F.aggregate(F.slice(bound, first, _block(bound)), here, inner),
                 lambda done: F.struct(done["now"].alias("now"), F.array_append(state["out"], done["out"]).alias("out")),
             )
 
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(FOLD_BLOCK))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), _block(bound))
         empty = F.struct(start.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("out"))
         return F.aggregate(firsts, empty, block, lambda state: F.flatten(state["out"]))
 
@@ -199,7 +204,9 @@ def _first_at_least(ordered: Column, value: Column, key=lambda x: x) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), start, halve, lambda s: s["low"])
+    # As many halvings as the number of elements has binary digits.
+    steps = F.slice(F.array(*[F.lit(0)] * _HALVINGS), 1, F.length(F.bin(F.size(ordered))))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
 def _stops(spec: LanguageSpec, text: Column, begin: Column) -> Column:
@@ -355,9 +362,10 @@ def brace_function(
 ) -> Column:
     """The function whose signature starts chunk ``index`` (0-based).
 
-    A struct of its ``source`` and its length as ``size``. Of a body that goes
-    beyond the windows only the size is told, which is -1 up to the end of the
-    text. ``ends`` are those of a text of many chunks, or null.
+    A struct of its ``source`` and its length as ``size``. Of a body whose end
+    the passes told, or that goes beyond the windows, only the size is told,
+    which is -1 up to the end of the text. ``ends`` are those of a text of many
+    chunks, or null.
     """
     first, count = index + 1, F.size(chunks)
     # A signature form that already holds the body's brace gives it back.
@@ -371,12 +379,16 @@ def brace_function(
 
         return let(body_end(spec, rest_from(text, head + 1)), source)
 
+    def end_of(ends: Column) -> Column:
+        return F.get(ends, index)["end"]
+
     def widen(found: Column, window: Column) -> Column:
-        # A window that already reached the end makes the wider ones moot.
+        # A window that already reached the end makes the wider ones moot, and
+        # an end that the passes told makes all of them moot.
         attempt = let(_joined(chunks, first, window["width"]), closed)
         here = index + window["seen"] < count
         if ends is not None:
-            here = here & (ends.isNull() | (window["width"] < BODY_WINDOWS[-1]))
+            here = here & (ends.isNull() | (end_of(ends).isNull() & (window["width"] < BODY_WINDOWS[-1])))
         return F.when(found.isNotNull(), found).when(here, attempt)
 
     def of(source: Column) -> Column:
@@ -397,7 +409,7 @@ def brace_function(
     def far(found: Column) -> Column:
         if ends is None:
             return F.when(found.isNull(), unclosed).otherwise(of(found))
-        end = F.get(ends, index)["end"]
+        end = end_of(ends)
         alone = let(let(_joined(chunks, first, count), closed), lambda text: F.when(text.isNull(), unclosed).otherwise(of(text)))
         return (
             F.when(found.isNotNull(), of(found))
@@ -527,7 +539,7 @@ def functions_in(
     def step_block(listed: Column):
         def step_from(state: Column, first: Column) -> Column:
             here = state_from(state, F.array().cast(item_type))
-            block = F.aggregate(F.slice(listed, first, FOLD_BLOCK), here, step)
+            block = F.aggregate(F.slice(listed, first, _block(listed)), here, step)
             return let(block, lambda done: state_from(done, F.array_append(state["found"], done["found"])))
 
         return step_from
@@ -537,7 +549,7 @@ def functions_in(
     start = state_from(zeros, F.array().cast(f"array<{item_type}>"))
 
     def fold(listed: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(listed), F.lit(1)), F.lit(FOLD_BLOCK))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(listed), F.lit(1)), _block(listed))
         return F.aggregate(firsts, start, step_block(listed), lambda state: F.flatten(state["found"]))
 
     def found_in(chunks: Column, ends: Column | None) -> Column:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from revlake.functions import lexing
+from revlake.languages import JAVASCRIPT
 from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
 from revlake.sources import readers
@@ -48,3 +50,13 @@ def test_equal_texts_match_a_rule_once_each(spark):
     found = S.scan_with_rule_table(texts, "k", "t", "lang", index)
     rows = sorted((r.k, r.test_id, r.line_number) for r in found.collect())
     assert rows == [(1, "a", 2), (1, "a", 2), (1, "b", 2), (1, "b", 2), (2, "a", 1)]
+
+
+def test_an_end_that_the_passes_told_is_not_searched_again(spark):
+    text = "function a() {\n  b();\n}\n// rest\n"
+    told = spark.createDataFrame([(text, [(0, True, 14, end)]) for end in (None, -1, 0, 20)], "t string, e array<struct<offset:int,is_function:boolean,first:int,end:int>>")
+    chunks = lexing.signature_chunks(JAVASCRIPT, F.col("t"))
+    found = lexing.functions_in(JAVASCRIPT, F.col("t"), chunks=chunks, ends=F.col("e"))
+    rows = told.select(F.transform(found, lambda f: F.length(f["source"]))).collect()
+    # Unknown, dropped, open, and one that only the passes could tell.
+    assert [r[0] for r in rows] == [[23], [], [len(text)], [20]]
