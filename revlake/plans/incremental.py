@@ -20,7 +20,7 @@ from revlake.plans.registered import (
 )
 from revlake.sources import bindings as B
 from revlake.sources import maintained as M
-from revlake.sources.readers import read_landed_diffs, read_reviews
+from revlake.sources.readers import read_landed_diffs, read_reviews, spread
 from revlake.sources.sinks import append_job_events, append_reviews
 from revlake.sources.staging import new_folder, stage
 from revlake.streaming import runs as R
@@ -240,6 +240,7 @@ def path_exclusion_many_repositories(spark, sf_dir):
     """A pattern set for every customer's repository."""
     sets = "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(_GLOBS)) + " END"
     repo = lambda key: F.concat(F.lit("org/c"), F.col(key).cast("string")).alias("repo_full_name")
-    configs = B.table(spark, sf_dir, "customer").select(repo("c_custkey"), F.expr(sets).alias("exclude_patterns"))
+    customers = spread(B.table(spark, sf_dir, "customer").select("c_custkey"))
+    configs = customers.select(repo("c_custkey"), F.expr(sets).alias("exclude_patterns"))
     files = B.orders_code(spark, sf_dir).select(repo("o_custkey"), "pr_number", "file_path")
     return D.drop_excluded(files, configs)

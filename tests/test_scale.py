@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions import lexing
 from revlake.languages import JAVASCRIPT
+from revlake.operators import joins
 from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
 from revlake.sources import readers
@@ -60,3 +61,20 @@ def test_an_end_that_the_passes_told_is_not_searched_again(spark):
     rows = told.select(F.transform(found, lambda f: F.length(f["source"]))).collect()
     # Unknown, dropped, open, and one that only the passes could tell.
     assert [r[0] for r in rows] == [[23], [], [len(text)], [20]]
+
+
+def test_a_lookup_of_many_rows_is_not_broadcast_whatever_its_estimate(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "keys")
+    spark.range(40_000).write.parquet(path)
+    wide = F.concat(F.lit("k"), F.col("id").cast("string"))
+    lookup = spark.read.parquet(path).select(wide.alias("key"), F.array_repeat(wide, 50).alias("more"))
+    facts = spark.range(1000).select("id", F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("key"))
+    plain = joins.lookup_join(facts, lookup, "key", F.col("id"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10_000)
+    monkeypatch.setattr(joins, "REPEATED_ROWS", 480_000)
+    monkeypatch.setattr(joins, "TASK_ROWS", 1_000)
+    salted = joins.lookup_join(facts, lookup, "key", F.col("id"))
+    assert joins.estimated_bytes(lookup) <= joins.broadcast_limit(lookup)
+    plan = plan_of(salted)
+    assert "12) as int) AS _salt" in plan and ", 480\n" in plan
+    assert salted.exceptAll(plain.select(salted.columns)).count() == 0 and salted.count() == 1000
