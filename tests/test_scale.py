@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from revlake.functions import lexing
+from revlake.functions import lexing, unified
 from revlake.languages import JAVASCRIPT
 from revlake.operators import joins
 from revlake.operators import security as S
@@ -78,3 +78,19 @@ def test_a_lookup_of_many_rows_is_not_broadcast_whatever_its_estimate(spark, tmp
     plan = plan_of(salted)
     assert "12) as int) AS _salt" in plan and ", 480\n" in plan
     assert salted.exceptAll(plain.select(salted.columns)).count() == 0 and salted.count() == 1000
+
+
+def test_a_hunk_header_is_read_once_and_not_for_every_line(spark):
+    chunk = F.col("t")
+    for expression, most in ((unified.added_lines(chunk), 3), (unified.hunk_is_consistent(chunk), 6)):
+        plan = plan_of(spark.createDataFrame([("",)], "t string").select(expression.alias("x")))
+        assert plan.count(unified.HUNK_HEADER) <= most
+
+
+def test_lines_of_other_beginnings_and_empty_ones_are_not_settled_by_signs(spark):
+    hunks = {
+        "@@ -1,2 +1,2 @@\n a\n-b\n+c\n": True, "@@ -1,2 +1,2 @@\n a\n-b\n+c": True, "@@ -1,2 +1,2 @@ s\n a\n-b\n+c\n\\ No newline\n": True,
+        "@@ -1 +1,2 @@\n a\n\n": False, "@@ -1 +1,2 @@\n a\n+b\nx\n": True, "@@ -1 +1,2 @@\n a\n-b\n": False, "@@ -1 +1 @@\n a\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n": True,
+    }
+    rows = spark.createDataFrame([(t,) for t in hunks], "t string").select("t", unified.hunk_is_consistent(F.col("t")).alias("ok")).collect()
+    assert {r["t"]: r["ok"] for r in rows} == hunks
