@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.tables import written
+from revlake.llm.tables import is_empty, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Stars already: each end has one centre, and no centre is an end.
         ends = e.select(F.col("v").alias("k"), F.lit(1).alias("end")).unionByName(e.select(F.col("u").alias("k"), F.lit(0).alias("end")).distinct())
         mixed = ends.groupBy("k").agg(F.sum("end").alias("ends"), F.count("*").alias("n")).filter("n > 1 and ends > 0")
-        if mixed.isEmpty():
+        if is_empty(mixed):
             return e.select(F.col("v").alias("key"), F.col("u").alias("label")).unionByName(
                 e.select(F.col("u").alias("key"), F.col("u").alias("label")).distinct()
             )
