@@ -1,9 +1,11 @@
 """Plans and partitions that keep a query's cost in proportion to its input."""
 
+from random import Random
+
 from pyspark.sql import functions as F
 
 from revlake.functions import lexing, unified
-from revlake.languages import JAVASCRIPT
+from revlake.languages import GO, JAVASCRIPT, RUST
 from revlake.operators import joins
 from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
@@ -94,3 +96,18 @@ def test_lines_of_other_beginnings_and_empty_ones_are_not_settled_by_signs(spark
     }
     rows = spark.createDataFrame([(t,) for t in hunks], "t string").select("t", unified.hunk_is_consistent(F.col("t")).alias("ok")).collect()
     assert {r["t"]: r["ok"] for r in rows} == hunks
+
+
+def test_bodies_of_few_levels_are_matched_whole_and_end_where_the_fold_ends(spark):
+    random = Random(7)
+    pieces = ["{", "}", "{", "}", ";", "\n", " a", "/", "//", "/*", "*/", '"', "'", "`", "\\", "é", "{}", ") {", "(b: i32)"]
+    texts = ["".join(random.choices(pieces, k=random.randrange(24))) for _ in range(4000)]
+    texts += ["{" * n + "x" + "}" * m for n in range(10) for m in range(10)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for spec in (JAVASCRIPT, RUST, GO):
+        rows = df.select(
+            "t", lexing.body_end(spec, F.col("t")).alias("end"), lexing.folded_body_end(spec, F.col("t")).alias("folded"),
+            F.length(F.regexp_extract("t", lexing.body_pattern(spec), 0)).alias("whole"),
+        ).collect()
+        assert not [(r.t, r.end, r.folded) for r in rows if r.end != r.folded], spec.language
+        assert sum(r.whole > 0 for r in rows) > 200 and sum(r.whole == 0 < r.folded for r in rows) > 5
