@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
-from revlake.llm.bitmaps import bitmap, passes
+from revlake.llm.bitmaps import Packed, bitmap, passes, unpacked
 from revlake.llm.tables import frugal, parts, unused, written
 
 #: Fixed masks: 1 counts, 0 is ignored.
@@ -80,14 +80,14 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return found.withColumn("_item", F.monotonically_increasing_id())
 
 
-def _regions(documents: DataFrame, seen: np.ndarray, short: list[int]) -> DataFrame:
+def _regions(documents: DataFrame, seen: Packed, short: list[int]) -> DataFrame:
     """Stretches of texts around seeds that the bitmap lets pass, with their words and seeds."""
     shared = documents.sparkSession.sparkContext.broadcast(seen)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     masks = [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = unpacked(shared.value)
         for b in (b.slice(low, high - low) for b in batches for low, high in parts(b.column(2))):
             body, offsets = B.flat(b.column(2))
             begins, _, hashes = B.words(body, offsets, B.ALNUM)
@@ -186,7 +186,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     and empty texts. Repeated rows give rows of their own, as far as id and text
     tell them apart. Empty tables give no rows; extra columns are ignored.
 
-    Only a bitmap of 2 to the 22 to 30 bits is broadcast, by the number of seeds;
+    Only a bitmap of 2 to the 22 to 30 bits is broadcast, by the number of seeds, of few seeds its set bits alone;
     beyond some 10 million seeds a foreign seed passes with a chance above 1 in 100. Seeds are joined
     as tables. Texts are cut into parts by bytes, so memory follows the longest.
     """

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm import bytetext as B
-from revlake.llm.bitmaps import bitmap, passes
+from revlake.llm.bitmaps import bitmap, passes, unpacked
 from revlake.llm.components import components
 from revlake.llm.tables import frugal, written
 
@@ -180,11 +180,12 @@ def class_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     seen = documents.sparkSession.sparkContext.broadcast(bitmap(ids, "h", BITMAP_LOG) if few else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if seen.value is None else unpacked(seen.value)
         for b in batches:
             column = b.column(1)
-            if seen.value is not None:
+            if bits is not None:
                 hashes = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                column = column.take(pa.array(np.flatnonzero(passes(seen.value, hashes))))
+                column = column.take(pa.array(np.flatnonzero(passes(bits, hashes))))
             for _, _, keys, starts, runs in _sets(column):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(runs.view(np.int64)))],
