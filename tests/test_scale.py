@@ -10,6 +10,7 @@ from revlake.operators import joins
 from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
 from revlake.sources import readers
+from revlake.sources.staging import stage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -55,6 +56,37 @@ def test_equal_texts_match_a_rule_once_each(spark):
     assert rows == [(1, "a", 2), (1, "a", 2), (1, "b", 2), (1, "b", 2), (2, "a", 1)]
 
 
+def test_runs_of_texts_are_filtered_where_they_stand_however_many_rules_there_are(spark, monkeypatch):
+    # As if there were more rules than once were sent to every task.
+    monkeypatch.setattr(S, "SENT_ANCHORS", 0, raising=False)
+    key = F.col("id").cast("string")
+    named = F.concat(F.lit("f"), key, F.lit("("))
+    index = spark.range(2000).select(
+        key.alias("rule_id"), F.lit(None).cast("string").alias("language"), named.alias("needle"), F.concat(F.lit(r"\bf"), key, F.lit(r"\(")).alias("pattern"),
+        *(F.lit("x").alias(c) for c in ("severity", "confidence", "description")),
+    )
+    index = stage(S.rule_index(index), "rules")
+    texts = spark.range(1000).select("id", F.concat(F.repeat(F.lit("other words, "), 20), named).alias("t"), F.lit("go").alias("lang"))
+    monkeypatch.setattr(S, "MOST_BLOCKS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.scan_with_rule_table(texts, "id", "t", "lang", index)
+        joins_ = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+        rows = found.select("id", "test_id", "line_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("BroadcastHashJoin" in line for line in joins_) == 1, joins_
+    assert sorted(tuple(r) for r in rows) == [(i, str(i), 1) for i in range(1000)]
+
+
+def test_the_filter_of_anchors_loses_none_and_lets_few_others_pass(spark):
+    anchors = spark.range(3000).select(F.xxhash64("id").alias("_anchor"))
+    grams = spark.range(100_000).select("id", F.xxhash64("id").alias("_anchor"))
+    passed = {r.id for r in S._known_anchors(grams, anchors).collect()}
+    assert passed >= set(range(3000)) and len(passed) < 3000 + 97_000 // 100
+    assert S._known_anchors(grams, anchors.limit(0)).count() == 0
+
+
 def test_an_end_that_the_passes_told_is_not_searched_again(spark):
     text = "function a() {\n  b();\n}\n// rest\n"
     told = spark.createDataFrame([(text, [(0, True, 14, end)]) for end in (None, -1, 0, 20)], "t string, e array<struct<offset:int,is_function:boolean,first:int,end:int>>")
