@@ -1,5 +1,6 @@
 """Plans and partitions that keep a query's cost in proportion to its input."""
 
+from pathlib import Path
 from random import Random
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from revlake.operators import joins
 from revlake.operators import security as S
 from revlake.plans.incremental import QUERIES
 from revlake.sources import readers
-from revlake.sources.staging import stage
+from revlake.sources.staging import shared_folder, stage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -87,6 +88,17 @@ def test_the_filter_of_anchors_loses_none_and_lets_few_others_pass(spark):
     assert S._known_anchors(grams, anchors.limit(0)).count() == 0
 
 
+def test_batches_of_a_stream_are_not_written_by_one_task(spark):
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("stream-runs-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES["stream_runs_finished"].build(spark, SF_DIR).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    (folder,) = set(Path(shared_folder(spark).removeprefix("file:")).glob("stream-runs-*")) - before
+    assert len(list(folder.glob("flagged/part-*"))) > 1
+
+
 def test_an_end_that_the_passes_told_is_not_searched_again(spark):
     text = "function a() {\n  b();\n}\n// rest\n"
     told = spark.createDataFrame([(text, [(0, True, 14, end)]) for end in (None, -1, 0, 20)], "t string, e array<struct<offset:int,is_function:boolean,first:int,end:int>>")
