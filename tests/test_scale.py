@@ -6,6 +6,7 @@ from random import Random
 from pyspark.sql import functions as F
 
 from revlake.functions import lexing, unified
+from revlake.functions.text import let
 from revlake.languages import GO, JAVASCRIPT, RUST
 from revlake.operators import joins
 from revlake.operators import security as S
@@ -99,6 +100,14 @@ def test_batches_of_a_stream_are_not_written_by_one_task(spark):
     assert len(list(folder.glob("flagged/part-*"))) > 1
 
 
+def test_a_value_used_several_times_is_neither_listed_nor_copied(spark):
+    rows = spark.createDataFrame([("ab",), (None,)], "t string")
+    found = rows.select(let(F.upper("t"), lambda v: F.concat(v, F.coalesce(v, F.lit("none")), v)).alias("x"), let(F.split("t", ""), F.size).alias("n"))
+    assert [tuple(r) for r in found.collect()] == [("ABABAB", 2), (None, None)]
+    plan = plan_of(found)
+    assert "transform(" not in plan and plan.count("upper(") == 1
+
+
 def test_an_end_that_the_passes_told_is_not_searched_again(spark):
     text = "function a() {\n  b();\n}\n// rest\n"
     told = spark.createDataFrame([(text, [(0, True, 14, end)]) for end in (None, -1, 0, 20)], "t string, e array<struct<offset:int,is_function:boolean,first:int,end:int>>")
